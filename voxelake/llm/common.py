@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxelake.shipping import ship
+
 #: Rows in one Arrow batch; texts differ widely in length, so batches are kept short.
 BATCH_ROWS = 512
 
@@ -63,6 +65,7 @@ def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     """``mapInArrow`` with short batches; ``fn`` takes and gives one RecordBatch."""
     arrow_batches(df.sparkSession)
+    ship(df.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
