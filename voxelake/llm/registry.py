@@ -8,8 +8,16 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 _WHERE = {
+    "op1_html": "html_crf",
+    "op2_quality": "quality",
     "op3_bpe": "bpe",
+    "op4_near_dedup": "near_dedup",
+    "op5_decontamination": "decontamination",
+    "op6_url_filter": "url_filter",
+    "op7_token_shards": "token_shards",
     "op8_sharding": "sharding",
+    "op9_neighbours": "neighbours",
+    "op10_toxicity": "toxicity",
 }
 
 
