@@ -35,6 +35,8 @@ from .common import arrow_batches, map_arrow, scratch, staged, table
 LENGTH = 2048
 SHARD_SLOTS = 8192
 END = 50256
+#: Documents of one staged chunk.
+CHUNK_DOCS = 32
 ROUNDS = 6
 #: Texts up to this length go to the library's encoder in one call.
 WHOLE_CHARS = 100_000
@@ -79,7 +81,7 @@ def _encoders(ranks, pattern: str):
 
 
 def chunks(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """doc_ids, lengths (with the end id), n, body: one row for each batch of documents."""
+    """doc_ids, lengths (with the end id), n, body: one row for each CHUNK_DOCS documents."""
     import zstandard
 
     ranks = bpe.broadcast_ranks(docs.sparkSession, ranks_path)
@@ -95,10 +97,14 @@ def chunks(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             else:
                 found = np.array(whole.encode_ordinary(t) if t else [], "<u2")
             ids += [found, np.array([END], "<u2")]
-        lengths = [len(x) + 1 for x in ids[::2]]
-        body = zstandard.ZstdCompressor(level=3).compress(np.concatenate(ids).tobytes())
-        doc = pa.array([[-1 if x is None else x for x in batch.column(0).to_pylist()]], pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([doc, pa.array([lengths], pa.list_(pa.int32())), pa.array([sum(lengths)], pa.int64()), pa.array([body], pa.binary())], ["doc_ids", "lengths", "n", "body"])
+        doc = [-1 if x is None else x for x in batch.column(0).to_pylist()]
+        pack, out = zstandard.ZstdCompressor(level=3), ([], [], [], [])
+        for at in range(0, len(doc), CHUNK_DOCS):
+            part = ids[2 * at : 2 * (at + CHUNK_DOCS)]
+            lengths = [len(x) + 1 for x in part[::2]]
+            for column, value in zip(out, (doc[at : at + CHUNK_DOCS], lengths, sum(lengths), pack.compress(np.concatenate(part).tobytes())), strict=True):
+                column.append(value)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64(), pa.binary()), strict=True)], ["doc_ids", "lengths", "n", "body"])
 
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_ids array<long>, lengths array<int>, n long, body binary")
 
@@ -149,7 +155,7 @@ def write_shards(docs: DataFrame, path: str, key: int = 20240607, length: int =
                     ["slot", "shard", "sequence", "at", "body", "doc_ids"],
                 )
 
-    arrow_batches(spark, 8)
+    arrow_batches(spark)
     ship(spark)
     pieces = placed(rows).select("doc_ids", "lengths", "body", "start").mapInArrow(cut, "slot long, shard int, sequence long, at int, body binary, doc_ids array<long>")
     shards = -(-n // shard_slots)
