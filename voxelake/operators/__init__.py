@@ -1 +1 @@
-
+"""Geometry predicates, index builds, aggregations and image pyramids."""

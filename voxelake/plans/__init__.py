@@ -1 +1 @@
-
+"""Point clouds and the queries over them."""
