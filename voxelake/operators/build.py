@@ -41,8 +41,8 @@ def depth_for(edge: float, resolution: float) -> int:
 
 def with_path(points: DataFrame, cube: Cube, depth: int, name: str = "path") -> DataFrame:
     """The octree path of each point at ``depth``."""
-    cells = [ids.cell_of(F.col(c), low, cube.edge, depth) for c, low in zip(POSITION, cube.low, strict=True)]
-    return points.withColumn(name, ids.octree_path(*cells, depth))
+    cells = {f"_cell_{c}": ids.cell_of(F.col(c), low, cube.edge, depth) for c, low in zip(POSITION, cube.low, strict=True)}
+    return points.withColumns(cells).withColumn(name, ids.octree_path(*map(F.col, cells), depth)).drop(*cells)
 
 
 @dataclass
