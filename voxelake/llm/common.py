@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -11,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelake.shipping import ship
+from voxelake.staging import shared_dir, staged
+
+__all__ = ["arrow_batches", "hash_sample", "map_arrow", "scratch", "shared_dir", "staged", "table"]
 
 #: Rows in one Arrow batch; texts differ widely in length, so batches are kept short.
 BATCH_ROWS = 512
@@ -20,41 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Where it is unset a local master gets a temporary folder; any other master is an error, because
-    executors could not see a folder of one machine.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    own = tempfile.mkdtemp(prefix="voxelake-")
-    spark.sparkContext.setCheckpointDir(f"file://{own}")
-    return f"file://{own}"
-
-
 def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Remove a scratch folder through Hadoop's file systems, whatever store it is in."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Keep Arrow batches short enough for whole texts of any usual length."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
