@@ -98,7 +98,7 @@ def chunks(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 found = np.array(whole.encode_ordinary(t) if t else [], "<u2")
             ids += [found, np.array([END], "<u2")]
         doc = [-1 if x is None else x for x in batch.column(0).to_pylist()]
-        pack, out = zstandard.ZstdCompressor(level=3), ([], [], [], [])
+        pack, out = zstandard.ZstdCompressor(level=9), ([], [], [], [])
         for at in range(0, len(doc), CHUNK_DOCS):
             part = ids[2 * at : 2 * (at + CHUNK_DOCS)]
             lengths = [len(x) + 1 for x in part[::2]]
@@ -144,7 +144,7 @@ def write_shards(docs: DataFrame, path: str, key: int = 20240607, length: int =
                 low = np.maximum(sequence * length - start, 0)
                 high = np.minimum((sequence + 1) * length - start, len(ids))
                 a, b = np.searchsorted(ends, low, side="right"), np.searchsorted(ends, high, side="left")
-                pack = zstandard.ZstdCompressor(level=1)
+                pack = zstandard.ZstdCompressor(level=6)
                 slot = feistel(sequence, n, key)
                 yield pa.RecordBatch.from_arrays(
                     [
