@@ -32,7 +32,7 @@ from .common import map_arrow, table
 #: Words that a worker remembers before it starts anew.
 CACHE_WORDS = 300_000
 #: White space as Unicode defines it, for cutting texts into pieces that can't share a token.
-_WS = r"\t-\r \x85\xa0  -     　"
+_WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PIECE = re.compile(rf"[{_WS}]*[^{_WS}]+|[{_WS}]+")
 #: Buckets of the literal rank map.
 BUCKETS = 1 << 16
@@ -113,6 +113,8 @@ class Encoder(dict):
 
         super().__init__()
         self.ranks, self.find = ranks, regex.compile(pattern).findall
+        #: Words without what stands around them: pieces differ more than words do.
+        self.words: dict[str, bytes] = {}
         self.pieces = [b""] * (max(ranks.values(), default=-1) + 1)
         for k, v in ranks.items():
             self.pieces[v] = k
@@ -120,7 +122,16 @@ class Encoder(dict):
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        ids = b"".join(i.to_bytes(4, "little") for w in self.find(piece) for i in fold_merges(w.encode("utf-8", "surrogatepass"), self.ranks))
+        if len(self.words) >= CACHE_WORDS:
+            self.words.clear()
+        parts = []
+        for w in self.find(piece):
+            if (found := self.words.get(w)) is None:
+                found = b"".join(i.to_bytes(4, "little") for i in fold_merges(w.encode("utf-8", "surrogatepass"), self.ranks))
+                if len(w) <= 64:
+                    self.words[w] = found
+            parts.append(found)
+        ids = b"".join(parts)
         if len(piece) <= 64:
             self[piece] = ids
         return ids

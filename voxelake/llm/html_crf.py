@@ -19,7 +19,6 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .common import map_arrow, table
 from .html_blocks import HEADINGS, Block, blocks
