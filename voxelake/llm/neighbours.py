@@ -70,20 +70,23 @@ class Tree:
         self.points = points[self.order]
         self.ends = np.cumsum([len(x) for x in leaves])
         self.starts = self.ends - [len(x) for x in leaves]
+        self.places = [np.arange(a, b) for a, b in zip(self.starts, self.ends, strict=True)]
         self.low = np.array([self.points[a:b].min(axis=0) for a, b in zip(self.starts, self.ends, strict=True)])
         self.high = np.array([self.points[a:b].max(axis=0) for a, b in zip(self.starts, self.ends, strict=True)])
 
     def batches(self, q: np.ndarray, leaves: int = 4):
-        """(positions, r^2): points in batches, and the squared distance below which all have been given."""
+        """(positions, r^2): points in batches, and the squared distance below which all have been given.
+        Each batch has twice the leaves of the one before, so a long search takes few steps."""
         gap = np.maximum(np.maximum(self.low - q, q - self.high), 0)
         bound = (gap * gap).sum(axis=1)
         visit = np.argsort(bound, kind="stable")
-        waiting, far = np.empty(0, np.int64), np.empty(0)
-        for at in range(0, len(visit), leaves):
-            rows = np.concatenate([np.arange(self.starts[v], self.ends[v]) for v in visit[at : at + leaves]])
+        waiting, far, at = np.empty(0, np.int64), np.empty(0), 0
+        while at < len(visit):
+            rows = np.concatenate([self.places[v] for v in visit[at : at + leaves]])
+            at, leaves = at + leaves, leaves * 2
             d = self.points[rows] - q
-            waiting, far = np.concatenate([waiting, rows]), np.concatenate([far, (d * d).sum(axis=1)])
-            reach = bound[visit[at + leaves]] if at + leaves < len(visit) else np.inf
+            waiting, far = np.concatenate([waiting, rows]), np.concatenate([far, np.einsum("ij,ij->i", d, d)])
+            reach = bound[visit[at]] if at < len(visit) else np.inf
             now = far <= reach
             yield self.order[waiting[now]], reach
             waiting, far = waiting[~now], far[~now]
@@ -104,21 +107,25 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
     points = vectors[first]
     norm = np.sqrt((points * points).sum(axis=1))
     unit = points / norm[:, None]
+    rough = unit.astype(np.float32)  # halves what a long search reads; scores themselves are doubles
     directions = np.random.default_rng(7).standard_normal((vectors.shape[1], PROJECTED))
     tree = Tree(unit @ directions)
     stop, out = _chi2_quantile(CONFIDENCE), []
     need = k + 1
     for qid, q in zip(query_ids.tolist(), queries, strict=True):
         qn = np.sqrt((q * q).sum())
-        best, rows = np.full(need, np.inf), []
+        best, rows, near = np.full(need, np.inf), [], []
+        asked = (q / qn).astype(np.float32)
         for found, reach in tree.batches(q / qn @ directions):
             if len(found):
                 rows.append(found)
-                cos = (points[found] * q).sum(axis=1) / (norm[found] * qn)
-                best = np.sort(np.concatenate([best, 2 - 2 * cos]))[:need]
+                near.append(rough[found] @ asked)
+                best = np.sort(np.concatenate([best, 2 - 2 * near[-1]]))[:need]
             if reach >= stop * max(best[-1], 0.0) and reach > 0:
                 break
-        rows = np.concatenate(rows) if rows else np.empty(0, np.int64)
+        rows, near = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (rows, near))
+        if len(rows) > need:  # the score itself, row by row alike, only for those that can be among the best
+            rows = rows[near >= np.partition(near, -need)[-need] - 1e-5]
         cos = (points[rows] * q).sum(axis=1) / (norm[rows] * qn)
         top = np.lexsort((ids[first[rows]], -cos))
         got: list[tuple[float, int]] = []
