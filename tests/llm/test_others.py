@@ -123,6 +123,39 @@ def test_leaks(spark, make_docs, monkeypatch, shuffled):
     assert decontamination.contaminated(make_docs(rows), table.limit(0)).count() == 0
 
 
+CAPITALS = [f"what is the capital city of {x}" for x in ("france", "peru", "kenya", "japan", "chile", "ghana", "nepal")]
+
+
+def test_templated_items_are_found():
+    index = decontamination.Index([(k, decontamination.word_hashes(t)) for k, t in enumerate(CAPITALS)])
+    for k, t in enumerate(CAPITALS):
+        assert dict(index.matches(f"so we ask {t} and go on"))[k] == 1.0
+        # The only words of its own are edited.
+        assert dict(index.matches(f"so {t.rsplit(' ', 1)[0]} nowhere"))[k] == 6 / 7
+    assert not index.matches("the city is of what capital")
+
+
+def test_matches_equal_alignment_of_whole_texts():
+    r = random.Random(8)
+    vocabulary = [f"v{k}" for k in range(40)]
+    words = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    items = [words(r.randint(1, 30)) for _ in range(40)] + [words(12)[:9] + ["end", str(k)] for k in range(8)]
+    items += [[*items[5][:-1], str(k)] for k in range(9)]
+    texts = []
+    for _ in range(120):
+        t = words(r.randint(0, 60))
+        for w in r.choice(items):
+            t += r.choice([[w], [w], [w], [w], ["x"], [], [w, "y"]])
+        texts.append(t + words(r.randint(0, 30)))
+    texts += [[w for pair in zip(items[k][::2], items[k][1::2], strict=False) for w in (*pair, "z")] for k in range(40)]
+    hashed = [decontamination.word_hashes(" ".join(t)) for t in items]
+    index = decontamination.Index(list(enumerate(hashed)))
+    for t in texts:
+        h = decontamination.word_hashes(" ".join(t))
+        scores = [(k, decontamination.align(x, h)) for k, x in enumerate(hashed)]
+        assert index.matches(" ".join(t)) == [(k, s) for k, s in scores if s >= (1.0 if len(hashed[k]) < 3 else 0.4)]
+
+
 # --- urls -------------------------------------------------------------------------------------
 
 

@@ -1,13 +1,17 @@
-"""Benchmark decontamination: rare n-gram seeds join training passages to test items, then
-Smith-Waterman alignment scores copies, also edited and paraphrased ones.
+"""Benchmark decontamination: pairs of words that training passages and test items share are counted by
+diagonal, then Smith-Waterman alignment scores copies, also edited and paraphrased ones.
 
-Texts are lower-cased runs of word characters. An item's seeds are its n-grams that at most
-``SEED_ITEMS`` items hold (all of them if it has none so rare; the whole item if it is shorter than n).
-A seed found in a document opens a window around the place where the item would lie; windows of one
-item that meet are merged, and the item is aligned with each by words: +1 for equal words, -1 for
-different ones, -1 for a gap. The score is the best alignment over the item's length; a document is
-contaminated if an item scores ``THRESHOLD`` or more. An item with a fifth of its words edited scores
-about 0.6 and keeps runs of three equal words, so seeds have three words.
+Texts are lower-cased runs of word characters. An item is aligned with a document by words: +1 for equal
+words, -1 for different ones, -1 for a gap. The score is the best alignment over the item's length; a
+document is contaminated if an item scores ``THRESHOLD`` or more. Items of fewer than ``N`` words must be
+found whole. What other items hold makes no difference to a score.
+
+Only places that can't reach the threshold are left unaligned. An alignment of score s with e edits has at
+most e + 1 runs of equal words, so it holds at least s - 1 pairs of neighbouring words of the item; and as
+an item of m words has at most m - s edits then, their places in the document less those in the item
+differ by m - s at most. Wherever that many hits lie so close, a window around them that the alignment can't
+leave is aligned; windows of one item that meet are merged. Scores therefore are those of the whole text.
+(An item of three to five words reaches the threshold by any two neighbouring words.)
 
 The items' seeds are broadcast while they are fewer than ``BROADCAST_SEEDS``; beyond it the documents'
 n-grams are joined with the seeds by a shuffle instead.
@@ -34,11 +38,13 @@ from voxelake.shipping import ship
 from .common import arrow_batches, map_arrow, staged, table
 
 N = 3
+#: Words of a hit.
+GRAM = 2
 SEED_ITEMS = 5
 THRESHOLD = 0.4
 BROADCAST_SEEDS = 2_000_000
-#: Hits on one diagonal band that a window needs: chance hits of common words open none.
-MIN_HITS = 2
+#: Words of a document that are looked up at a time.
+CHUNK_WORDS = 8192
 CACHE_WORDS = 300_000
 _WORD = re.compile(r"\w+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -90,58 +96,70 @@ def align(item: np.ndarray, passage: np.ndarray) -> float:
     return best / len(item)
 
 
+def least_score(size: int) -> int:
+    """The least score, in words, at which an item of ``size`` words counts."""
+    return size if size < N else next(s for s in range(1, size + 1) if s / size >= THRESHOLD)
+
+
 class Index:
-    """The items' word hashes and their seeds."""
+    """The items' word hashes and the places of their pairs of words."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]]):
         self.items = [(i, h) for i, h in items if len(h)]
-        self.where: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        self.short: dict[int, list[int]] = defaultdict(list)
-        holders: dict[int, set[int]] = defaultdict(set)
-        grams = [ngrams(h, N).tolist() for _, h in self.items]
-        for k, g in enumerate(grams):
-            for x in g:
-                holders[x].add(k)
-        for k, g in enumerate(grams):
-            if not g:
-                # Shorter than a seed: its first word is the seed, and it needs no second hit.
-                self.short[int(self.items[k][1][0])].append(k)
-            rare = [x for x in g if len(holders[x]) <= SEED_ITEMS]
-            keep = set(rare or g)
-            for at, x in enumerate(g):
-                if x in keep:
-                    self.where[x].append((k, at))
-        self.sorted = np.array(sorted(self.where), np.uint64)
+        self.single: dict[int, list[int]] = defaultdict(list)
+        for k, (_, h) in enumerate(self.items):
+            if len(h) < GRAM:
+                self.single[int(h[0])].append(k)
+        self.size = np.array([len(h) for _, h in self.items], np.int64)
+        least = np.array([least_score(m) for m in self.size.tolist()], np.int64)
+        #: Hits that an alignment at the threshold holds at least, and how far apart their diagonals can be.
+        self.need, self.slack = np.maximum(least - 1, 1), self.size - least
+        grams = [ngrams(h, GRAM) for _, h in self.items]
+        item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+        at = np.concatenate([np.arange(len(g)) for g in grams]) if grams else item
+        every = np.concatenate(grams) if grams else np.empty(0, np.uint64)
+        order = np.argsort(every, kind="stable")
+        self.item, self.at = item[order], at[order]
+        self.grams, self.first, self.count = np.unique(every[order], return_index=True, return_counts=True)
 
     def __len__(self) -> int:
-        return len(self.where)
+        return len(self.items)
+
+    def _close(self, grams: np.ndarray, start: int, wide: int) -> np.ndarray:
+        """item * wide + diagonal of the hits that begin ``need`` close ones of their item."""
+        place = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
+        hit = np.flatnonzero(self.grams[place] == grams)
+        n = self.count[place[hit]]
+        post = np.repeat(self.first[place[hit]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        item = self.item[post]
+        # Diagonals of a text are below wide / 2 either way.
+        key = np.sort(item * wide + (np.repeat(hit, n) + start - self.at[post] + wide // 2))
+        item = key // wide
+        last = np.arange(len(key)) + self.need[item] - 1
+        full = last < len(key)
+        full[full] = key[last[full]] - key[full] <= self.slack[item[full]]
+        return key[full]
 
     def windows(self, h: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(item, from, to) to align for a document."""
-        if len(self.sorted):
-            grams = ngrams(h, N)
-            place = np.searchsorted(self.sorted, grams)
-            hit = np.flatnonzero(self.sorted[np.minimum(place, len(self.sorted) - 1)] == grams)
-            starts: dict[int, list[int]] = defaultdict(list)
-            for p in hit.tolist():
-                for k, at in self.where[int(grams[p])]:
-                    starts[k].append(p - at)
-            for k, found in starts.items():
-                size = len(self.items[k][1])
-                # An item of few words has few seeds; those of longer ones need company.
-                need = min(MIN_HITS, max(1, size - N))
-                found.sort()
-                slack = max(4, size // 2)
-                begin = 0
-                for e in range(1, len(found) + 1):
-                    if e == len(found) or found[e] - found[e - 1] > slack:
-                        if e - begin >= need:
-                            yield k, max(0, found[begin] - slack), min(len(h), found[e - 1] + size + slack)
-                        begin = e
-        if self.short:
-            for p, x in enumerate(h.tolist()):
-                for k in self.short.get(x, ()):
-                    yield k, p, min(len(h), p + len(self.items[k][1]))
+        grams = ngrams(h, GRAM)
+        if len(self.grams) and len(grams):
+            longest = int(self.size.max())
+            wide = 2 * (len(h) + 4 * longest)
+            # A passage is no longer than twice its item, so each lies in one chunk.
+            step = max(CHUNK_WORDS, longest)
+            key = np.unique(np.concatenate([self._close(grams[s : s + step + 2 * longest], s, wide) for s in range(0, len(grams), step)]))
+            item, at = key // wide, key % wide - wide // 2
+            apart = (np.diff(item) != 0) | (np.diff(at) > (self.size + 2 * self.slack)[item[1:]])
+            begin = np.flatnonzero(np.concatenate([[True], apart])) if len(key) else ()
+            for x, y in zip(begin, [*begin[1:], len(key)], strict=True) if len(key) else ():
+                k = int(item[x])
+                yield k, max(0, int(at[x] - self.slack[k])), min(len(h), int(at[y - 1] + self.size[k] + self.slack[k]))
+        if self.single:
+            for x in self.single.keys() & set(h.tolist()):
+                p = int(np.argmax(h == np.uint64(x)))
+                for k in self.single[x]:
+                    yield k, p, p + 1
 
     def matches(self, text: str | None) -> list[tuple[int, float]]:
         """(item_id, score) at the threshold or above."""
