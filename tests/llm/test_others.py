@@ -156,6 +156,25 @@ def test_matches_equal_alignment_of_whole_texts():
         assert index.matches(" ".join(t)) == [(k, s) for k, s in scores if s >= (1.0 if len(hashed[k]) < 3 else 0.4)]
 
 
+def test_shuffled_leaks_equal_broadcast(spark, make_docs, monkeypatch):
+    r = random.Random(9)
+    vocabulary = [f"v{k}" for k in range(60)]
+    words = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    items = [(k, t) for k, t in enumerate([*CAPITALS, "one two", "zebra", "v1", "a b c", "\u00e9t\u00e9", "", None])]
+    items += [(100 + k, " ".join(words(r.randint(3, 25)))) for k in range(30)] + [(100, "quite another text of this id"), (None, "zebra")]
+    rows = [(k, f"some words {t} and more of them") for k, t in enumerate(CAPITALS)] + [(k + 50, f"some {t.rsplit(' ', 1)[0]} nowhere") for k, t in enumerate(CAPITALS)]
+    rows += [(20, "and one two three"), (21, "a zebra here"), (22, "zebra"), (23, "one, then two"), (24, "quite another text"), (25, None), (26, ""), (None, "l'\u00c9T\u00c9 vient"), (27, "a b x c")]
+    for k in range(60):
+        text = words(10) + [x for w in r.choice(items[14:44])[1].split() for x in r.choice([[w], [w], ["x"], [w, "y"], []])]
+        rows.append((300 + k, " ".join(text)))
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = lambda: sorted((-1 if x.doc_id is None else x.doc_id, x.item_id, x.score) for x in decontamination.leaks(make_docs(rows), table).collect())
+    sent = got()
+    monkeypatch.setattr(decontamination, "BROADCAST_SEEDS", 0)
+    assert got() == sent
+    assert {(k, k, 1.0) for k in range(7)} | {(20, 7, 1.0), (21, 8, 1.0), (22, 8, 1.0), (-1, 11, 1.0)} <= set(sent)
+
+
 # --- urls -------------------------------------------------------------------------------------
 
 

@@ -13,8 +13,9 @@ differ by m - s at most. Wherever that many hits lie so close, a window around t
 leave is aligned; windows of one item that meet are merged. Scores therefore are those of the whole text.
 (An item of three to five words reaches the threshold by any two neighbouring words.)
 
-The items' seeds are broadcast while they are fewer than ``BROADCAST_SEEDS``; beyond it the documents'
-n-grams are joined with the seeds by a shuffle instead.
+The items are broadcast up to 8 * ``BROADCAST_SEEDS`` characters; beyond it documents meet, by a shuffle, the
+items of which they hold one of the rarest hits, so many that an alignment at the threshold can't miss them
+all, and are then judged alike: both ways give the same rows.
 
 Defined cases: null or empty texts and items match nothing; texts are read whole; equal items each
 report; rows that repeat a doc_id are judged each on its own text and reported once for an item with
@@ -30,7 +31,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxelake.shipping import ship
@@ -40,7 +41,6 @@ from .common import arrow_batches, map_arrow, staged, table
 N = 3
 #: Words of a hit.
 GRAM = 2
-SEED_ITEMS = 5
 THRESHOLD = 0.4
 BROADCAST_SEEDS = 2_000_000
 #: Words of a document that are looked up at a time.
@@ -209,28 +209,41 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def _leaks_shuffled(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The same for benchmarks too large to send: n-grams of both sides meet in a join, and each
-    candidate pair is aligned alone. Items of fewer words than a seed are their own seed."""
+    """The same for benchmarks too large to send: hits of both sides meet in a join, and each candidate
+    pair is aligned alone. Of an item's places an alignment at the threshold hits ``need``, so all but
+    need - 1 of them, the commonest, are posted. Items of one word are posted by that word."""
+    docs = staged(docs.withColumn("row", F.monotonically_increasing_id()), "decontaminate")
+    items = staged(items.withColumn("item_row", F.monotonically_increasing_id()), "items")
+
+    def places(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids, out, keep, single = [], [], [], []
+        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            h = word_hashes(t)
+            g = ngrams(h, min(GRAM, len(h))) if len(h) else h
+            ids.append(np.full(len(g), i, np.int64))
+            out.append(g.view(np.int64))
+            keep.append(np.full(len(g), len(g) - max(least_score(len(h)) - 1, 1) + 1 if len(h) else 0, np.int64))
+            single.append(np.full(len(g), len(h) < GRAM))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, out, keep, single)], ["item_row", "gram", "keep", "single"]) if ids else None
+
+    posts = staged(map_arrow(items.select("item_row", "text"), places, "item_row long, gram long, keep long, single boolean"), "places")
+    common = posts.groupBy("gram").agg(F.count(F.lit(1)).alias("k"))
+    rank = F.row_number().over(Window.partitionBy("item_row").orderBy("k", "gram"))
+    seeds = posts.join(common, "gram").withColumn("rank", rank).where("rank <= keep").select("item_row", "gram").distinct()
+    singles = posts.where("single").limit(1).count() > 0
 
     def grams(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, out = [], []
         for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             h = word_hashes(t)
-            g = np.unique(ngrams(h, N)) if len(h) >= N else np.unique(h)
-            ids.append(np.full(len(g), -1 if i is None else i, np.int64))
+            g = np.unique(np.concatenate([ngrams(h, n) for n in ((1, GRAM) if singles else (GRAM,))]))
+            ids.append(np.full(len(g), i, np.int64))
             out.append(g.view(np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(out))], ["id", "gram"]) if ids else None
-
-    docs = docs.withColumn("row", F.monotonically_increasing_id())
-    docs = staged(docs, "decontaminate")
-    seeds = map_arrow(items.select("item_id", "text"), grams, "id long, gram long").select(F.col("id").alias("item_id"), "gram")
-    common = seeds.groupBy("gram").agg(F.count_distinct("item_id").alias("k"))
-    seeds = seeds.join(common, "gram")
-    rare = seeds.groupBy("item_id").agg(F.min("k").alias("least"))
-    seeds = seeds.join(rare, "item_id").where((F.col("k") <= SEED_ITEMS) | (F.col("least") > SEED_ITEMS)).select("item_id", "gram")
-    found = map_arrow(docs.select("row", "text"), grams, "id long, gram long").select(F.col("id").alias("row"), "gram")
-    pairs = found.join(seeds, "gram").select("row", "item_id").distinct()
-    wide = pairs.join(docs, "row").join(items.select("item_id", F.col("text").alias("item")), "item_id")
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(out))], ["row", "gram"]) if ids else None
+
+    found = map_arrow(docs.select("row", "text"), grams, "row long, gram long")
+    pairs = found.join(seeds, "gram").select("row", "item_row").distinct()
+    wide = pairs.join(docs, "row").join(items.select("item_row", "item_id", F.col("text").alias("item")), "item_row")
 
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
