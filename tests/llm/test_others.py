@@ -223,6 +223,19 @@ def test_links_spread_distrust(spark):
     assert got == {1: "block", 2: "block", 3: "allow"}
 
 
+def test_propagation_goes_on_to_the_end(spark):
+    hosts = ["bad", *(f"h{k}" for k in range(30))]
+    edges = spark.createDataFrame([(b, a, 1) for a, b in zip(hosts, hosts[1:], strict=False)], "src string, dst string, n long")
+    got = {r.host: r.distrust for r in url_filter.propagate(edges, spark.createDataFrame([("bad", 0.0, 1.0)], "host string, t double, d double")).collect()}
+    assert set(got) == set(hosts) and all(abs(got[h] - 0.15 * 0.85**k) < 1e-5 and got[h] > 0 for k, h in enumerate(hosts))
+
+
+def test_cycles_converge(spark):
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "src string, dst string, n long")
+    got = {r.host: (r.trust, r.distrust) for r in url_filter.propagate(edges, spark.createDataFrame([("a", 1.0, 0.0)], "host string, t double, d double")).collect()}
+    assert abs(got["a"][0] - 1 / 1.85) < 1e-5 and abs(got["b"][0] - 0.85 / 1.85) < 1e-5 and got["a"][1] == 0.0
+
+
 # --- neighbours -------------------------------------------------------------------------------
 
 

@@ -6,7 +6,9 @@ subdomains; the longest fitting rule (host and path together) decides, the first
 Other pages are judged by their host. Trust is a personalised PageRank from the hosts of allowed
 pages along links; distrust one from the hosts of blocked pages against the links' direction (who
 links to a blocked host becomes suspect). Edges are pairs of hosts, aggregated before they are joined,
-so a host with many pages or links is a few rows. A host is blocked if it has distrust and its share of
+so a host with many pages or links is a few rows. Rounds go on until all hosts together move by less than
+``TOLERANCE`` and no further host is reached, so a host has trust or distrust however many links it is from a
+seed; what is left is below TOLERANCE * DAMPING / (1 - DAMPING) for all hosts together. A host is blocked if it has distrust and its share of
 distrust in both reaches ``BLOCK_AT``.
 
 Only DataFrame functions are used. Defined cases: a null url, or one without ``://``, has empty host
@@ -16,6 +18,7 @@ that repeat are judged alike; an empty table gives an empty result; extra column
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,7 +29,9 @@ from .common import staged, table
 #: (verdict, host, path)
 Rule = tuple[str, str, str]
 RULES: tuple[Rule, ...] = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-DAMPING, ROUNDS, TOLERANCE, BLOCK_AT = 0.85, 20, 1e-6, 0.5
+DAMPING, TOLERANCE, BLOCK_AT = 0.85, 1e-6, 0.5
+#: Rounds after which the tolerance holds on any graph; only hosts further than that from a seed need more.
+ROUNDS = math.ceil(math.log(TOLERANCE / 4, DAMPING))
 #: Up to so many rules are one expression; more are joined by host suffix.
 INLINE_RULES = 64
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -82,19 +87,20 @@ def propagate(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     back = edges.groupBy("dst").agg(F.sum("n").alias("b"))
     flow = staged(edges.join(out, "src").join(back, "dst").select("src", "dst", (F.col("n") / F.col("o")).alias("forth"), (F.col("n") / F.col("b")).alias("back")), "flow")
     nodes = flow.select(F.col("src").alias("host")).union(flow.select("dst")).union(seeds.select("host")).distinct()
-    seeds = staged(nodes.join(seeds, "host", "left").select("host", F.coalesce("t", F.lit(0.0)).alias("t"), F.coalesce("d", F.lit(0.0)).alias("d")), "seeds")
-    ranks = seeds.select("host", F.col("t").alias("trust"), F.col("d").alias("distrust"))
-    for _ in range(ROUNDS):
-        there = flow.join(ranks.select(F.col("host").alias("src"), "trust"), "src").select(F.col("dst").alias("host"), (F.col("trust") * F.col("forth")).alias("x"), F.lit(0.0).alias("y"))
-        here = flow.join(ranks.select(F.col("host").alias("dst"), "distrust"), "dst").select(F.col("src").alias("host"), F.lit(0.0).alias("x"), (F.col("distrust") * F.col("back")).alias("y"))
-        got = there.union(here).groupBy("host").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-        mix = lambda seed, flowed: F.lit(1 - DAMPING) * F.col(seed) + F.lit(DAMPING) * F.coalesce(flowed, F.lit(0.0))
-        new = seeds.join(got, "host", "left").select("host", mix("t", "x").alias("trust"), mix("d", "y").alias("distrust"))
-        old, ranks = ranks, staged(new, "ranks")
-        moved = ranks.alias("a").join(old.alias("b"), "host").agg(F.sum(F.abs(F.col("a.trust") - F.col("b.trust")) + F.abs(F.col("a.distrust") - F.col("b.distrust")))).first()[0]
-        if (moved or 0.0) < TOLERANCE:
-            break
-    return ranks
+    ranks = staged(nodes.join(seeds, "host", "left").select("host", F.coalesce("t", F.lit(0.0)).alias("t"), F.coalesce("d", F.lit(0.0)).alias("d")).withColumns({"trust": F.col("t"), "distrust": F.col("d")}), "ranks")
+    zero = F.lit(0.0)
+    mix = lambda seed, flowed: F.lit(1 - DAMPING) * F.col(seed) + F.lit(DAMPING) * F.col(flowed)
+    while True:
+        there = flow.join(ranks.select(F.col("host").alias("src"), "trust"), "src").select(F.col("dst").alias("host"), (F.col("trust") * F.col("forth")).alias("x"), zero.alias("y"), zero.alias("t"), zero.alias("d"), zero.alias("trust"), zero.alias("distrust"))
+        here = flow.join(ranks.select(F.col("host").alias("dst"), "distrust"), "dst").select(F.col("src").alias("host"), zero, (F.col("distrust") * F.col("back")), zero, zero, zero, zero)
+        own = ranks.select("host", zero, zero, "t", "d", "trust", "distrust")
+        got = there.union(here).union(own).groupBy("host").agg(*(F.sum(c).alias(c) for c in ("x", "y", "t", "d", "trust", "distrust")))
+        moved = F.abs(mix("t", "x") - F.col("trust")) + F.abs(mix("d", "y") - F.col("distrust"))
+        reached = ((F.col("trust") == 0) & (mix("t", "x") > 0)) | ((F.col("distrust") == 0) & (mix("d", "y") > 0))
+        ranks = staged(got.select("host", "t", "d", mix("t", "x").alias("trust"), mix("d", "y").alias("distrust"), moved.alias("moved"), reached.alias("reached")), "ranks")
+        still = ranks.agg(F.sum("moved").alias("moved"), F.count_if("reached").alias("reached")).first()
+        if still["moved"] < TOLERANCE and not still["reached"]:
+            return ranks.select("host", "trust", "distrust")
 
 
 def judged(pages: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
