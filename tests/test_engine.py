@@ -335,6 +335,14 @@ def test_inpaint(spark):
     assert mixed.shape == (16, 28, 4) and (np.diff(mixed[0, 11:18, 0].astype(int)) <= 0).all()
 
 
+def test_octree_splits_below_level_20(spark):
+    points = spark.createDataFrame([(x, 0.0, 0.0) for x in (0.0, 0.05, 0.1, 0.15, 0.2, 1e6)], "x double, y double, z double")
+    cube = build.Cube.around(build.bounding_box(points))
+    depth = build.depth_for(cube.edge, 0.001)
+    split = build.split_nodes(build.with_path(points, cube, depth).select("path"), cube, depth, 0.001, 4)
+    assert depth == 30 and [s[-1] for s in split] == ["r" + "0" * k for k in range(23)]
+
+
 # --- files, streams -------------------------------------------------------------------------------
 
 

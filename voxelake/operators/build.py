@@ -19,7 +19,8 @@ from .geometry import Aabb, Cube
 
 # Points of a node that isn't split, and the share that moves up.
 MAX_POINTS_PER_NODE, SAMPLE = 100_000, 8
-MAX_DEPTH = 20
+#: Levels that a node id's 120 bits of path hold.
+MAX_DEPTH = 40
 DEFAULT_S2_LEVEL = 20
 #: Rows of one numbering cell of a node: larger nodes are numbered in cells, then offset.
 CELL_ROWS = 50_000
