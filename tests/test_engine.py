@@ -335,6 +335,16 @@ def test_inpaint(spark):
     assert mixed.shape == (16, 28, 4) and (np.diff(mixed[0, 11:18, 0].astype(int)) <= 0).all()
 
 
+def test_inpaint_of_wide_holes_equals_the_whole_image(spark):
+    whole = np.zeros((8, 40, 4), np.uint8)
+    whole[:, :14], whole[:, 26:] = (10, 20, 30, 255), (200, 100, 50, 255)
+    whole[2, 5:9] = 0
+    rows = [(1, k, 0, png.encode(np.ascontiguousarray(whole[:, 8 * k : 8 * k + 8]))) for k in range(5)]
+    got = {r.tile_x: png.decode(bytes(r.png)) for r in pyramid.inpainted(spark.createDataFrame(rows, pyramid.TILE_SCHEMA), 6, 8).collect()}
+    assert (np.concatenate([got[k] for k in range(5)], axis=1) == pyramid.filled(whole, 6)).all()
+    assert (pyramid.filled(whole, 6)[..., 3] == 255).all()
+
+
 def test_octree_splits_below_level_20(spark):
     points = spark.createDataFrame([(x, 0.0, 0.0) for x in (0.0, 0.05, 0.1, 0.15, 0.2, 1e6)], "x double, y double, z double")
     cube = build.Cube.around(build.bounding_box(points))

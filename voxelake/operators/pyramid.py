@@ -184,23 +184,26 @@ def filled(image: np.ndarray, d: int) -> np.ndarray:
 
 def inpainted(tiles: DataFrame, d: int, tile_px: int) -> DataFrame:
     """Leaf tiles with holes of up to ``2 d`` pixels filled across tile borders: each tile is seen with
-    its neighbours' nearest halves (nine rows a tile at most), filled, and cut out again. As all
-    tiles see the same pixels around a border, seams need no blending where d is at most a quarter tile."""
+    its neighbours' nearest halves (nine rows a tile at most), filled, and cut out again. Where d is above
+    a quarter tile, 4 d pixels around are seen, from as many neighbours as that takes: a pixel depends on
+    none beyond 3 d, so all tiles agree on what is around a border and seams need no blending."""
     if d == 0:
         return tiles
     ship(tiles.sparkSession)
-    half = tile_px // 2
-    spread = F.explode(F.array(*[F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for x in (-1, 0, 1) for y in (-1, 0, 1)]))
+    margin = tile_px // 2 if 4 * d <= tile_px else 4 * d
+    reach = -(-margin // tile_px)
+    near = range(-reach, reach + 1)
+    spread = F.explode(F.array(*[F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for x in near for y in near]))
     seen = tiles.withColumn("to", spread).select("level", "tile_x", "tile_y", "png", (F.col("tile_x") + F.col("to.dx")).alias("tx"), (F.col("tile_y") + F.col("to.dy")).alias("ty"))
     own = tiles.select(F.col("tile_x").alias("tx"), F.col("tile_y").alias("ty"))
 
     def fill(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        big = np.zeros((3 * tile_px, 3 * tile_px, 4), np.uint8)
+        big = np.zeros((len(near) * tile_px, len(near) * tile_px, 4), np.uint8)
         for x, y, b in zip(rows.tile_x, rows.tile_y, rows.png, strict=True):
-            left, top = (x - key[0] + 1) * tile_px, (key[1] - y + 1) * tile_px
+            left, top = (x - key[0] + reach) * tile_px, (key[1] - y + reach) * tile_px
             big[top : top + tile_px, left : left + tile_px] = png.decode(b)
-        view = big[half : 3 * tile_px - half, half : 3 * tile_px - half]
-        out = filled(view, d)[half : half + tile_px, half : half + tile_px]
+        cut = slice(reach * tile_px - margin, (reach + 1) * tile_px + margin)
+        out = filled(big[cut, cut], d)[margin : margin + tile_px, margin : margin + tile_px]
         return pd.DataFrame([(int(rows.level.iloc[0]), *key, png.encode(out))], columns=["level", "tile_x", "tile_y", "png"])
 
     return seen.join(own, ["tx", "ty"], "left_semi").groupBy("tx", "ty").applyInPandas(fill, TILE_SCHEMA)
