@@ -72,3 +72,14 @@ def test_toxicity_edge_rows(spark, make_docs):
     assert ids == {*range(40), 200, 201, None}
     assert toxicity.keep_clean(docs, docs, labels.limit(0)).count() == len(rows)
     assert toxicity.keep_clean(make_docs([]), docs, labels).count() == 0
+
+
+def test_toxicity_trains_on_one_text_of_each_id(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE", 60)
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda rows, toxic: seen.append((len(rows), int(toxic.sum()), sorted(r[0].tolist() for r in rows))))
+    rows = [(0, f"hot text number{'abcdefghij'[k % 10]} {'xyz'[k % 3]}") for k in range(500)] + [(k, f"some words of {k} there") for k in range(1, 60)]
+    labels = spark.createDataFrame([(k, 1, int(k > 40)) for k in range(60)], "doc_id long, quality int, toxic int")
+    for given in (rows, rows[::-1]):
+        toxicity.fit(make_docs(given), labels)
+    assert seen[0] == seen[1] and seen[0][:2] == (60, 19)

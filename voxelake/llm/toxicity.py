@@ -6,7 +6,8 @@ probabilities. Features are words, and beginnings of words at levels of how many
 text have them (languages that join words vary the rest). Labels say only toxic or not. Grades above 1
 come from them: a toxic document's grade rises with the number of its telling features (1, 2, 4).
 
-Labelled documents train the model up to ``SAMPLE`` by hashed id; near copies count once. A G test
+Labelled documents train the model up to ``SAMPLE`` by hashed id, with one text of an id that repeats
+(the one of the largest hash); near copies count once. A G test
 against the labels picks the features, so that chance words of few documents carry no weight.
 
 Defined cases: a null or empty text has expected severity 0; texts are read whole; rows that repeat an
@@ -173,13 +174,15 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], toxic: np.ndarray) ->
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = hash_sample(known, "doc_id", SAMPLE)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")  # SAMPLE rows at most
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")  # SAMPLE ids at most
+    # One text of each id, the same on every run, however many rows have the id.
+    texts = texts.groupBy("doc_id", "toxic").agg(F.max_by("text", F.when(F.col("text").isNotNull(), F.struct(F.xxhash64("text"), "text"))).alias("text"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [parts(t) for t in batch.column("text").to_pylist()]
         return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "h": pa.array([f[0] for f in found], pa.list_(pa.int64())), "k": pa.array([f[1] for f in found], pa.list_(pa.int32())), "n": pa.array([f[2] for f in found], pa.int32())})
 
-    found = map_arrow(texts.select("doc_id", "toxic", "text"), run, "doc_id long, toxic int, h array<long>, k array<int>, n int").limit(2 * SAMPLE).toArrow()
+    found = map_arrow(texts.select("doc_id", "toxic", "text"), run, "doc_id long, toxic int, h array<long>, k array<int>, n int").toArrow()
     ids, n = found["doc_id"].to_numpy(), found["n"].to_numpy()
     order = np.lexsort((n, ids))
     h, k = found["h"].combine_chunks(), found["k"].combine_chunks()
