@@ -83,3 +83,51 @@ def test_toxicity_trains_on_one_text_of_each_id(spark, make_docs, monkeypatch):
     for given in (rows, rows[::-1]):
         toxicity.fit(make_docs(given), labels)
     assert seen[0] == seen[1] and seen[0][:2] == (60, 19)
+
+
+def test_ordinal_slopes_equal_finite_differences():
+    r = np.random.default_rng(3)
+    z, theta, grade = r.normal(size=40), np.array([-0.5, 0.4, 1.3]), r.integers(0, toxicity.GRADES, 40)
+    p, part = toxicity.slopes(z, theta, grade)
+    # By enumeration: the grades' probabilities are differences of the cumulative ones and sum to one.
+    every = np.stack([toxicity.slopes(z, theta, np.full(40, g))[0] for g in range(toxicity.GRADES)])
+    assert np.allclose(every.sum(axis=0), 1) and np.allclose(p, every[grade, np.arange(40)])
+    for k in range(len(theta)):
+        step = np.zeros(3)
+        step[k] = 1e-6
+        slope = (np.log(toxicity.slopes(z, theta - step, grade)[0]) - np.log(toxicity.slopes(z, theta + step, grade)[0])) / 2e-6
+        assert np.allclose(slope, part[:, k], atol=1e-5)
+
+
+def test_chosen_entries_equal_a_plain_count():
+    r = np.random.default_rng(5)
+    rows = 80
+    toxic = r.random(rows) < 0.4
+    words = r.integers(20, 60, rows)
+    entries = [(h, k, d) for d in range(rows) for h in r.choice(30, 8, replace=False) for k in [int(r.integers(1, 9))] if not (h < 4 and not toxic[d])]
+    h = np.array([((int(e[0]) % 2 * 5) << 32) | int(e[0]) for e in entries])
+    k, d = np.array([e[1] for e in entries]), np.array([e[2] for e in entries])
+    chosen, at, at_row = toxicity.chosen_entries(h, k, d, words, toxic)
+    held = {}
+    for x, n, doc in zip(h.tolist(), k.tolist(), d.tolist(), strict=True):
+        begins = x >> 32 > 0
+        for level in range(toxicity.LEVELS):
+            if level < len(toxicity.COUNTS):
+                c = toxicity.COUNTS[level]
+                on = n >= c and (begins or c == 1)
+            else:
+                on = begins and n >= toxicity.SHARES[level - len(toxicity.COUNTS)] * words[doc]
+            if on:
+                held.setdefault(x * toxicity.LEVELS + level, set()).add(doc)
+    counts = {f: (len(docs), sum(bool(toxic[x]) for x in docs)) for f, docs in held.items()}
+    names = sorted(counts)
+    use = toxicity.telling(np.array([counts[f][0] for f in names]), np.array([counts[f][1] for f in names]), toxic.mean())
+    assert chosen.tolist() == [f for f, u in zip(names, use, strict=True) if u] and len(chosen)
+    assert sorted(zip(chosen[at].tolist(), at_row.tolist(), strict=True)) == sorted((f, x) for f in chosen.tolist() for x in held[f])
+
+
+@pytest.mark.parametrize("grade", [0, 1])
+def test_labels_of_one_kind_give_no_severity(make_docs, spark, grade):
+    docs = make_docs([(k, f"word{k} stupid text") for k in range(12)])
+    labels = spark.createDataFrame([(k, grade) for k in range(12)], "doc_id long, toxic int")
+    assert max(r.expected_severity for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()) < 1e-9

@@ -135,8 +135,8 @@ def train(rows: list[tuple[list[int], list[float], float]], rounds: int = 300, l
     w = np.zeros(WIDTH + 1)
     if not rows:
         return w
-    at = np.concatenate([np.array([*r[0], WIDTH]) for r in rows]).astype(int)
-    x = np.concatenate([np.array([*r[1], 1.0]) for r in rows])
+    at = np.concatenate([np.append(r[0], WIDTH) for r in rows]).astype(int)
+    x = np.concatenate([np.append(r[1], 1.0) for r in rows])
     row = np.repeat(np.arange(len(rows)), [len(r[0]) + 1 for r in rows])
     y = np.array([r[2] for r in rows])
     # The two classes weigh the same up to a factor, so that few bad documents are learned.
@@ -170,8 +170,11 @@ def fit(docs: DataFrame) -> np.ndarray:
             found.append((*features(t or "", m), votes(m)))
         return pa.RecordBatch.from_pydict({"at": pa.array([f[0] for f in found], pa.list_(pa.int32())), "x": pa.array([f[1] for f in found], pa.list_(pa.float32())), "pattern": [f[2] for f in found]})
 
-    sample = map_arrow(hash_sample(texts, "doc_id", SAMPLE).select("text"), describe, "at array<int>, x array<float>, pattern string").collect()
-    return train([(r["at"], r["x"], posterior.get(r["pattern"], 0.5)) for r in sample if r["at"]])
+    sample = map_arrow(hash_sample(texts, "doc_id", SAMPLE).select("text"), describe, "at array<int>, x array<float>, pattern string").toArrow()
+    at, x = sample["at"].combine_chunks(), sample["x"].combine_chunks()
+    # In one order on every run, whatever tasks ended first.
+    rows = [(at[k].values.to_numpy(), x[k].values.to_numpy(), posterior.get(p, 0.5)) for k, p in enumerate(sample["pattern"].to_pylist())]
+    return train(sorted((r for r in rows if len(r[0])), key=lambda r: (len(r[0]), r[0].tobytes(), r[1].tobytes())))
 
 
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:

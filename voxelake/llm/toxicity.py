@@ -12,8 +12,8 @@ against the labels picks the features, so that chance words of few documents car
 
 Defined cases: a null or empty text has expected severity 0; texts are read whole; rows that repeat an
 id are scored each on its own; labels with null ids or grades, or without a document, are ignored; a
-document labelled more than once is toxic if any label says so; without labels, or without toxic ones,
-every score is 0; an empty table gives an empty result; extra columns are ignored.
+document labelled more than once is toxic if any label says so; without labels, or with labels of one
+kind alone (none toxic, or all), nothing tells toxic texts from others and every score is 0; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -84,18 +84,46 @@ def distinct_rows(rows: list[np.ndarray]) -> list[int]:
     return keep
 
 
-def telling(feature: np.ndarray, row: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(chosen features, and each entry's position among them and row): those that toxic documents have
-    more often, by a G test at one expected error over all features tested."""
-    known, at = np.unique(feature, return_inverse=True)
-    n, bad = np.bincount(at), np.bincount(at, toxic[row])
+def telling(n: np.ndarray, bad: np.ndarray, rate: float) -> np.ndarray:
+    """Which features, each in ``n`` documents of which ``bad`` are toxic, toxic documents have more often than
+    their share ``rate`` of all: a G test at one expected error over all features tested."""
     use = n >= 3
-    rate = toxic.mean()
     with np.errstate(divide="ignore", invalid="ignore"):
-        g = 2 * (np.where(bad > 0, bad * np.log(bad / (n * rate)), 0) + np.where(n > bad, (n - bad) * np.log((n - bad) / (n * (1 - rate))), 0))
-    use &= (bad > n * rate) & (g > 2 * math.log(max(use.sum(), 2)))
-    place = np.cumsum(use) - 1
-    return known[use], place[at[use[at]]], row[use[at]]
+        toxic = np.where(bad > 0, bad * np.log(bad / (n * rate)), 0)
+        g = 2 * (toxic + np.where(n > bad, (n - bad) * np.log((n - bad) / (n * (1 - rate))), 0))
+    return use & (bad > n * rate) & (g > 2 * math.log(max(use.sum(), 2)))
+
+
+def chosen_entries(h: np.ndarray, k: np.ndarray, row: np.ndarray, words: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(telling features, and each entry's position among them and row) of entries with hash ``h``, held by
+    ``k`` words of document ``row``. A feature is hash * LEVELS + level; levels are gone through one by one,
+    so memory is that of the entries and not of all their levels."""
+    begins = h >> 32 > 0
+
+    def held(level: int) -> np.ndarray:
+        if level < len(COUNTS):
+            c = COUNTS[level]
+            return np.flatnonzero((k >= c) & (begins | (c == 1)))
+        return np.flatnonzero((k >= SHARES[level - len(COUNTS)] * words[row]) & begins)
+
+    tested = []
+    for level in range(LEVELS):
+        entries = held(level)
+        known, at = np.unique(h[entries], return_inverse=True)
+        n, bad = np.bincount(at), np.bincount(at, toxic[row[entries]])
+        tested.append((known[n >= 3] * LEVELS + level, n[n >= 3], bad[n >= 3]))
+    feature, n, bad = (np.concatenate(x) for x in zip(*tested, strict=True))
+    chosen = np.sort(feature[telling(n, bad, toxic.mean())])
+    places, rows = [], []
+    for level in range(LEVELS) if len(chosen) else ():
+        entries = held(level)
+        wanted = h[entries] * LEVELS + level
+        place = np.minimum(np.searchsorted(chosen, wanted), len(chosen) - 1)
+        hit = chosen[place] == wanted
+        places.append(place[hit])
+        rows.append(row[entries[hit]])
+    none = np.empty(0, np.int64)
+    return chosen, np.concatenate(places or [none]), np.concatenate(rows or [none])
 
 
 class Model:
@@ -122,28 +150,30 @@ class Model:
         return sum(1 / (1 + math.exp(-min(max(z - t, -40.0), 40.0))) for t in self.thresholds)
 
 
-def _descend(at, row, grade, w, theta, use, rounds: int, l1: float, l2: float):
-    """Proximal AdaGrad on the negative log likelihood of the cumulative logits, over the words ``use``."""
-    n, edges = len(grade), np.arange(1, GRADES)
-    at_use = use[at]
-    at, row = at[at_use], row[at_use]
-    exact_low = grade[:, None] == edges - 1
-    sq_w, sq_t = np.full(len(w), 1e-8), np.full(GRADES - 1, 1e-8)
+def slopes(z: np.ndarray, theta: np.ndarray, grade: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(probability of each row's grade, derivatives of its logarithm by z - theta_k) of cumulative logits."""
+    edges = np.arange(1, GRADES)
+    c = 1 / (1 + np.exp(-np.clip(z[:, None] - theta, -40, 40)))  # P(grade > k)
+    full = np.concatenate([np.ones((len(z), 1)), c, np.zeros((len(z), 1))], axis=1)
+    p = np.take_along_axis(full, grade[:, None], 1) - np.take_along_axis(full, grade[:, None] + 1, 1)
+    p = np.maximum(p, 1e-9)
+    slope = c * (1 - c)
+    # Plus at the lower edge of the grade, minus at its upper edge.
+    return p[:, 0], (np.where(grade[:, None] == edges, slope, 0) - np.where(grade[:, None] == edges - 1, slope, 0)) / p
+
+
+def _descend(at: np.ndarray, row: np.ndarray, grade: np.ndarray, width: int, rounds: int, l2: float) -> tuple[np.ndarray, np.ndarray]:
+    """AdaGrad on the negative log likelihood of the cumulative logits; thresholds are kept in order."""
+    n = len(grade)
+    w, theta = np.zeros(width), np.arange(1.0, GRADES)
+    sq_w, sq_t = np.full(width, 1e-8), np.full(GRADES - 1, 1e-8)
     for _ in range(rounds):
-        z = np.bincount(row, w[at], n)
-        c = 1 / (1 + np.exp(-np.clip(z[:, None] - theta, -40, 40)))  # P(grade > k)
-        full = np.concatenate([np.ones((n, 1)), c, np.zeros((n, 1))], axis=1)
-        p = np.maximum(np.take_along_axis(full, grade[:, None], 1) - np.take_along_axis(full, grade[:, None] + 1, 1), 1e-9)
-        slope = c * (1 - c)
-        # d log p / d (z - theta_k): plus at the lower edge of the grade, minus at its upper edge.
-        part = (np.where(grade[:, None] == edges, slope, 0) - np.where(exact_low, slope, 0)) / p
-        gw = np.bincount(at, (-part.sum(axis=1) / n)[row], len(w)) + l2 * w
+        _, part = slopes(np.bincount(row, w[at], n), theta, grade)
+        gw = np.bincount(at, (-part.sum(axis=1) / n)[row], width) + l2 * w
         gt = part.sum(axis=0) / n
         sq_w += gw * gw
         sq_t += gt * gt
-        step = 0.5 / np.sqrt(sq_w)
-        w = w - step * gw
-        w = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0)
+        w = w - 0.5 / np.sqrt(sq_w) * gw
         theta = np.maximum.accumulate(theta - 0.5 * gt / np.sqrt(sq_t)) + np.arange(GRADES - 1) * 1e-6
     return w, theta
 
@@ -154,17 +184,13 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], toxic: np.ndarray) ->
     rows, toxic = [rows[k] for k in keep], toxic[keep]
     if not toxic.any() or toxic.all():
         return Model({}, [40.0] * (GRADES - 1))
-    h, k = (np.concatenate([r[x] for r in rows]).astype(np.int64) for x in (0, 1))
+    h, k = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
     row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    share = k / np.array([r[2] for r in rows])[row]
-    begins = h >> 32 > 0
-    level = [(k >= c) & (begins | (c == 1)) for c in COUNTS] + [(share >= c) & begins for c in SHARES]
-    feature = np.concatenate([h[m] * LEVELS + x for x, m in enumerate(level)])
-    chosen, at, at_row = telling(feature, np.concatenate([row[m] for m in level]), toxic)
+    chosen, at, at_row = chosen_entries(h, k, row, np.array([r[2] for r in rows]), toxic)
     words = (chosen // LEVELS) >> 32 == 0
     n = np.bincount(at_row, words[at], len(rows))
     grade = np.where(toxic, 1 + (n >= 2) + (n >= 4), 0).astype(int)
-    w, theta = _descend(at, at_row, grade, np.zeros(len(chosen)), np.arange(1.0, GRADES), np.ones(len(chosen), bool), 1500, 0.0, 1e-5)
+    w, theta = _descend(at, at_row, grade, len(chosen), 1500, 1e-5)
     weights: dict[int, list[float]] = {}
     for f, v in zip(chosen.tolist(), w.tolist(), strict=True):
         weights.setdefault(f // LEVELS, [0.0] * LEVELS)[f % LEVELS] = v
