@@ -1,12 +1,16 @@
 """HTML to leaf blocks: runs of text without a block-level border, with the elements around them.
 
-Reading is by one pass of regular expressions, linear in the page, and forgiving: unclosed paragraphs,
-list items and cells end where the next one begins, stray end tags are ignored, an unclosed comment,
-script or tag takes the rest of the page."""
+Reading is by one pass of regular expressions and forgiving: unclosed paragraphs, list items and cells end
+where the next one begins, stray end tags are ignored, an unclosed comment, script, style or tag takes the
+rest of the page, of other elements without text (video, svg, select) that aren't closed only the tag goes.
+Time is linear in the page: open elements are found by the places of their names, each text is told its
+``NEAREST`` nearest ancestors, and a missing end tag is looked for once."""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -16,6 +20,10 @@ HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page.
 DROPPED = frozenset("script style noscript template textarea title iframe object svg select noembed noframes xmp applet audio video canvas".split())
+#: Of these, elements whose content is no markup, so that without an end tag they have no end.
+RAW = frozenset("script style xmp iframe noembed noframes textarea".split())
+#: Ancestors that a block is described by, from the nearest on.
+NEAREST = 64
 #: An opening tag of the key ends an open element of the value, up to the nearest of the stops.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 STOPS = frozenset("ul ol dl table article section div body html main aside nav header footer form td th blockquote".split())
@@ -53,6 +61,10 @@ def blocks(html: str | None) -> list[Block]:
     if not html:
         return found
     stack: list[_Open] = []
+    #: Positions in the stack of the open elements of each name, and of all that border blocks.
+    places: dict[str, list[int]] = defaultdict(list)
+    borders: list[int] = []
+    endless: set[str] = set()
     parts: list[str] = []
     around: tuple[tuple[str, ...], frozenset[str]] | None = None
     linked = 0
@@ -60,9 +72,10 @@ def blocks(html: str | None) -> list[Block]:
     def add(raw: str) -> None:
         nonlocal around, linked
         if around is None and not raw.isspace():
-            around = tuple(x.tag for x in stack), frozenset(m for x in stack for m in x.marks)
+            near = stack[-NEAREST:]
+            around = tuple(x.tag for x in near), frozenset(m for x in near for m in x.marks)
         parts.append(raw)
-        if any(x.tag == "a" for x in stack):
+        if places["a"]:
             linked += len(raw)
 
     def flush() -> None:
@@ -74,9 +87,22 @@ def blocks(html: str | None) -> list[Block]:
         parts.clear()
         around, linked = None, 0
 
+    def push(name: str, attributes: str) -> None:
+        places[name].append(len(stack))
+        if name in BLOCK:
+            borders.append(len(stack))
+        stack.append(_Open(name, _marks(attributes) if attributes else ()))
+
     def pop_to(index: int) -> None:
+        for x in stack[index:]:
+            places[x.tag].pop()
+            if x.tag in BLOCK:
+                borders.pop()
         del stack[index:]
 
+    def last(names) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=-1)
+
     at, size = 0, len(html)
     while at < size:
         lt = html.find("<", at)
@@ -110,12 +136,16 @@ def blocks(html: str | None) -> list[Block]:
         at = tag.end()
         closing, name, attributes = tag[1], tag[2].lower(), tag[3]
         if name in DROPPED and not closing:
-            end = _END_OF[name].search(html, at) if not attributes.endswith("/") or name not in ("svg",) else None
+            parts.append(" ")
+            if attributes.endswith("/") and name == "svg" or name in endless:
+                continue
+            end = _END_OF[name].search(html, at)
             if end is not None:
                 at = end.end()
-            elif not attributes.endswith("/"):
+            elif name in RAW and not attributes.endswith("/"):
                 at = size
-            parts.append(" ")
+            else:
+                endless.add(name)
             continue
         if name == "br" or name == "wbr":
             parts.append(" " if name == "br" else "")
@@ -123,25 +153,19 @@ def blocks(html: str | None) -> list[Block]:
         if name in BLOCK:
             flush()
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag == name or name in HEADINGS and stack[k].tag in HEADINGS:
-                    pop_to(k)
-                    break
-                if name not in BLOCK and stack[k].tag in BLOCK:
-                    break
+            k = last(HEADINGS if name in HEADINGS else (name,))
+            if k >= 0 and (name in BLOCK or not borders or k > borders[-1]):
+                pop_to(k)
             continue
         if name in VOID:
             continue
         if name in BLOCK:
-            ended, cut = ENDS.get(name, ()), None
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag == "p" or stack[k].tag in ended:
-                    cut = k
-                elif stack[k].tag in STOPS:
-                    break
-            if cut is not None:
-                pop_to(cut)
+            ended = ("p", *ENDS.get(name, ()))
+            stop = last(STOPS.difference(ended))
+            cut = [own[k] for t in ended if (own := places.get(t)) and (k := bisect_right(own, stop)) < len(own)]
+            if cut:
+                pop_to(min(cut))
         if not attributes.endswith("/") or name in BLOCK:
-            stack.append(_Open(name, _marks(attributes) if attributes else ()))
+            push(name, attributes)
     flush()
     return found
