@@ -10,15 +10,17 @@ resume anywhere.
 
 Texts are tokenised once: compressed chunks of ids are staged, their lengths give the places in the
 stream (per file first, then within each file), and only then are slots known. A shard is written under
-another name and moved when whole, so a task that is run again writes the same bytes.
+a name of its own attempt and moved when whole, so a task that is run again, or twice at a time, leaves
+the same bytes. All is written once, before the table of what was written is returned.
 
 Defined cases: a null or empty text is only its end id; texts are taken whole, of any length; rows that
-repeat a doc_id are packed each; a null doc_id is packed and reported as -1; an empty table gives no
+repeat a doc_id are packed and reported each; a null doc_id is packed and reported as null; an empty table gives no
 shard and no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -38,6 +40,8 @@ END = 50256
 #: Documents of one staged chunk.
 CHUNK_DOCS = 32
 ROUNDS = 6
+#: One task writes one shard, up to so many tasks; beyond it each writes several, one after the other.
+MAX_TASKS = 100_000
 #: Texts up to this length go to the library's encoder in one call.
 WHOLE_CHARS = 100_000
 #: Rows of chunk places that may be broadcast; above it they are joined by a shuffle.
@@ -97,7 +101,7 @@ def chunks(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             else:
                 found = np.array(whole.encode_ordinary(t) if t else [], "<u2")
             ids += [found, np.array([END], "<u2")]
-        doc = [-1 if x is None else x for x in batch.column(0).to_pylist()]
+        doc = batch.column(0).to_pylist()
         pack, out = zstandard.ZstdCompressor(level=9), ([], [], [], [])
         for at in range(0, len(doc), CHUNK_DOCS):
             part = ids[2 * at : 2 * (at + CHUNK_DOCS)]
@@ -122,7 +126,7 @@ def placed(rows: DataFrame) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, key: int = 20240607, length: int = LENGTH, shard_slots: int = SHARD_SLOTS, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """Writes ``path``/shard-NNNNN.bin when evaluated; one row (SCHEMA) for each sequence written."""
+    """Writes ``path``/shard-NNNNN.bin; one row (SCHEMA) for each sequence written."""
     import zstandard
 
     default = bpe.default_vocabulary()
@@ -138,7 +142,7 @@ def write_shards(docs: DataFrame, path: str, key: int = 20240607, length: int =
             for r in batch.to_pylist():
                 ids = np.frombuffer(zstandard.decompress(r["body"]), "<u2")
                 start, ends = r["start"], np.cumsum(r["lengths"])
-                doc = np.array(r["doc_ids"], np.int64)
+                doc = r["doc_ids"]
                 first, last = start // length, (start + len(ids) - 1) // length
                 sequence = np.arange(first, last + 1)
                 low = np.maximum(sequence * length - start, 0)
@@ -150,7 +154,7 @@ def write_shards(docs: DataFrame, path: str, key: int = 20240607, length: int =
                     [
                         pa.array(slot), pa.array((slot // shard_slots).astype(np.int32)), pa.array(sequence), pa.array((low + start - sequence * length).astype(np.int32)),
                         pa.array([pack.compress(ids[x:y].tobytes()) for x, y in zip(low, high, strict=True)], pa.binary()),
-                        pa.array([doc[x : y + 1].tolist() for x, y in zip(a, b, strict=True)], pa.list_(pa.int64())),
+                        pa.array([doc[x : y + 1] for x, y in zip(a, b, strict=True)], pa.list_(pa.int64())),
                     ],
                     ["slot", "shard", "sequence", "at", "body", "doc_ids"],
                 )
@@ -159,21 +163,21 @@ def write_shards(docs: DataFrame, path: str, key: int = 20240607, length: int =
     ship(spark)
     pieces = placed(rows).select("doc_ids", "lengths", "body", "start").mapInArrow(cut, "slot long, shard int, sequence long, at int, body binary, doc_ids array<long>")
     shards = -(-n // shard_slots)
-    dealt = pieces.repartitionByRange(max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")) * 4)), "shard").sortWithinPartitions("slot", "at")
+    dealt = pieces.repartitionByRange(min(shards, MAX_TASKS), "shard").sortWithinPartitions("slot", "at")
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(path)
         store.create_dir(root, recursive=True)
-        out, name = None, ""
+        out, name, own = None, "", f"part-{uuid.uuid4().hex}"
         held: dict | None = None
 
         def close() -> None:
             nonlocal out
             if out is not None:
                 out.close()
-                store.move(f"{name}.part", name)
+                store.move(f"{name}.{own}", name)
                 out = None
 
         def done(x: dict) -> tuple:
@@ -185,7 +189,7 @@ def write_shards(docs: DataFrame, path: str, key: int = 20240607, length: int =
             if wanted != name:
                 close()
                 name = wanted
-                out = store.open_output_stream(f"{name}.part")
+                out = store.open_output_stream(f"{name}.{own}")
             raw = ids.tobytes()
             out.write(raw)
             return x["slot"], x["shard"], at * length * 2, x["sequence"], len(x["ids"]), zlib.crc32(raw), x["doc_ids"]
@@ -201,7 +205,7 @@ def write_shards(docs: DataFrame, path: str, key: int = 20240607, length: int =
                 ids = np.frombuffer(zstandard.decompress(r["body"]), "<u2")
                 if held is not None and held["slot"] == r["slot"]:
                     held["ids"] = np.concatenate([held["ids"], ids])
-                    held["doc_ids"] += [d for d in r["doc_ids"] if d not in held["doc_ids"][-1:]]
+                    held["doc_ids"] += r["doc_ids"]  # pieces are of different chunks, and so of different rows
                     continue
                 if held is not None:
                     found.append(done(held))
@@ -212,7 +216,7 @@ def write_shards(docs: DataFrame, path: str, key: int = 20240607, length: int =
             yield rows_of([done(held)])
         close()
 
-    return dealt.select("slot", "shard", "sequence", "body", "doc_ids").mapInArrow(write, SCHEMA)
+    return staged(dealt.select("slot", "shard", "sequence", "body", "doc_ids").mapInArrow(write, SCHEMA), "written")
 
 
 def read_slots(path: str, first: int, count: int, length: int = LENGTH, shard_slots: int = SHARD_SLOTS) -> np.ndarray:
