@@ -1,9 +1,10 @@
 import random
+import time
 
 import numpy as np
 import pytest
 
-from voxelake.llm import decontamination, html_blocks, html_crf, html_pages, neighbours, sharding, url_filter
+from voxelake.llm import decontamination, html_blocks, html_crf, html_pages, neighbours, sharding, token_shards, url_filter
 
 # --- extraction -------------------------------------------------------------------------------
 
@@ -274,3 +275,44 @@ def test_few_candidates(spark):
 
 def test_chi_square():
     assert abs(neighbours.chi2_cdf(15.507) - 0.95) < 1e-3
+
+
+@pytest.mark.parametrize("tag", ["video src=x", "svg", "audio", "canvas", "object", "select", "title"])
+def test_unclosed_elements_keep_the_page(tag):
+    found = [b.text for b in html_blocks.blocks(f"<article><p>One.</p><{tag}><p>Two.</p><p>Three.</p></article>")]
+    assert found == ["One.", "Two.", "Three."]
+    assert [b.text for b in html_blocks.blocks("<p>One.<script>var x;<p>Two.")] == ["One."]
+
+
+def test_deep_pages_are_read_in_linear_time():
+    began = time.process_time()
+    n = 40_000
+    found = html_blocks.blocks("".join(f"<div class=c{k}>t{k}" for k in range(n)) + "</section></i><svg><b>" * n)
+    assert len(found) == n and time.process_time() - began < 20
+
+
+def test_nested_lists_and_cells_end_where_the_next_begins():
+    page = "<ul><li>a<ul><li>b<li>c</ul><li>d</ul><table><tr><td>e<td>f<tr><td><p>g<p>h</table><h2>i</h3>j"
+    assert [b.text for b in html_blocks.blocks(page)] == list("abcdefghij")
+
+
+def test_shards_report_every_row(make_docs, tmp_path):
+    rows = [(7, "a b c")] * 100 + [(None, "d e"), (-1, "f")]
+    docs = make_docs(rows).withColumnRenamed("source", "slot")
+    found = token_shards.write_shards(docs, f"file://{tmp_path}/shards").collect()
+    ids = [i for r in found for i in r.doc_ids]
+    assert ids.count(7) == 100 and ids.count(None) == 1 and ids.count(-1) == 1
+    assert not list((tmp_path / "shards").glob("*.part-*"))
+    assert sum(r.n_tokens for r in found) >= 102
+
+
+def test_only_rows_that_hold_an_item_go(spark, monkeypatch):
+    item = "alpha beta gamma delta epsilon zeta"
+    kinds = "doc_id long, text string, item_id int"
+    docs = spark.createDataFrame([(*r, 1) for r in [(None, f"x {item} y"), (None, "clean"), (4, item), (4, "clean too"), (5, None)]], kinds)
+    items = spark.createDataFrame([(1, item), (None, "clean too"), (2, None)], "item_id long, text string")
+    want = ["None", "clean", "clean too"]
+    assert sorted(str(r.text) for r in decontamination.keep_clean(docs, items).collect()) == want
+    monkeypatch.setattr(decontamination, "BROADCAST_SEEDS", 0)
+    assert sorted(str(r.text) for r in decontamination.keep_clean(docs, items).collect()) == want
+    assert decontamination.keep_clean(docs, items).columns == ["doc_id", "text", "item_id"]

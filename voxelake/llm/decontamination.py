@@ -18,8 +18,9 @@ items of which they hold one of the rarest hits, so many that an alignment at th
 all, and are then judged alike: both ways give the same rows.
 
 Defined cases: null or empty texts and items match nothing; texts are read whole; equal items each
-report; rows that repeat a doc_id are judged each on its own text and reported once for an item with
-the best score; a null doc_id is reported as null; empty tables give an empty result; extra columns
+report; rows that repeat a doc_id, or have none, are judged each on its own text and reported once for an
+item with the best score (:func:`keep_clean` drops only the rows that hold one); items without an id or text
+match nothing; empty tables give an empty result; extra columns
 are ignored; of equal scores the smallest item_id is named.
 """
 
@@ -185,16 +186,27 @@ def _index(sent) -> Index:
     return _INDEXES[name]
 
 
-def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, item_id, score: the items that each document holds."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
+def _sent(spark: SparkSession, items: DataFrame):
+    """The items as a broadcast, or nothing if they have more than 8 * BROADCAST_SEEDS characters."""
     words = items.agg(F.sum(F.length("text"))).first()[0] or 0
     if words > 8 * BROADCAST_SEEDS:
-        return _leaks_shuffled(docs, items)
-    rows = sorted((r["item_id"], r["text"]) for r in items.collect())  # 8 * BROADCAST_SEEDS characters at most
-    sent = spark.sparkContext.broadcast((str(hash(tuple(rows))), rows))
+        return None
+    rows = sorted((r["item_id"], r["text"]) for r in items.collect())
+    return spark.sparkContext.broadcast((str(hash(tuple(rows))), rows))
+
+
+def _usable(items: DataFrame) -> DataFrame:
+    return items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
+
+
+def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, item_id, score: the items that each document holds."""
+    docs, items = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _usable(items)
+    sent = _sent(docs.sparkSession, items)
+    if sent is None:
+        docs = staged(docs.withColumn("row", F.monotonically_increasing_id()), "decontaminate")
+        found = _row_leaks(docs, items).join(docs.select("row", "doc_id"), "row")
+        return found.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         index, out = _index(sent), ([], [], [])
@@ -202,17 +214,17 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
             for item, score in index.matches(text):
                 for column, value in zip(out, (doc, item, score), strict=True):
                     column.append(value)
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["doc_id", "item_id", "score"])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["doc_id", "item_id", "score"])
 
     found = map_arrow(docs, run, "doc_id long, item_id long, score double")
     return found.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
 
 
-def _leaks_shuffled(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The same for benchmarks too large to send: hits of both sides meet in a join, and each candidate
-    pair is aligned alone. Of an item's places an alignment at the threshold hits ``need``, so all but
-    need - 1 of them, the commonest, are posted. Items of one word are posted by that word."""
-    docs = staged(docs.withColumn("row", F.monotonically_increasing_id()), "decontaminate")
+def _row_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """row, item_id, score of ``docs`` (row, text), for benchmarks too large to send: hits of both sides meet in
+    a join, and each candidate pair is aligned alone. Of an item's places an alignment at the threshold hits
+    ``need``, so all but need - 1 of them, the commonest, are posted. Items of one word are posted by that
+    word."""
     items = staged(items.withColumn("item_row", F.monotonically_increasing_id()), "items")
 
     def places(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -243,20 +255,19 @@ def _leaks_shuffled(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     found = map_arrow(docs.select("row", "text"), grams, "row long, gram long")
     pairs = found.join(seeds, "gram").select("row", "item_row").distinct()
-    wide = pairs.join(docs, "row").join(items.select("item_row", "item_id", F.col("text").alias("item")), "item_row")
+    wide = pairs.join(docs.select("row", "text"), "row").join(items.select("item_row", "item_id", F.col("text").alias("item")), "item_row")
 
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = []
             for item, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 score.append(max((s for _, s in Index([(0, word_hashes(item))]).matches(text)), default=0.0))
-            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64())], ["doc_id", "item_id", "score"])
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64())], ["row", "item_id", "score"])
             yield out.filter(pa.array([s > 0 for s in score]))
 
     arrow_batches(docs.sparkSession)
     ship(docs.sparkSession)
-    hits = wide.select("doc_id", "item_id", "item", "text").mapInArrow(check, "doc_id long, item_id long, score double")
-    return hits.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
+    return wide.select("row", "item_id", "item", "text").mapInArrow(check, "row long, item_id long, score double")
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -266,11 +277,23 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no item."""
-    found = staged(contaminated(docs, items).select(F.col("doc_id").alias("_id")), "contaminated")
-    few = found.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS
-    found = F.broadcast(found) if few else found
-    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["_id"]), "left_anti")
+    """The rows of ``docs`` that hold no item: each is judged on its own text, whatever its id."""
+    items = _usable(items)
+    sent = _sent(docs.sparkSession, items)
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    at = docs.columns.index("text")
+    named = docs.toDF(*own)
+    if sent is None:
+        rows = staged(named.withColumn("row", F.monotonically_increasing_id()), "decontaminate")
+        found = _row_leaks(rows.select("row", F.col(own[at]).alias("text")), items).select("row").distinct()
+        return rows.join(found, "row", "left_anti").select(*own).toDF(*docs.columns)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        index = _index(sent)
+        return batch.filter(pa.array([not index.matches(t) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    kinds = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(own, docs.schema, strict=True))
+    return map_arrow(named, run, kinds).toDF(*docs.columns)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
