@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from voxelake.functions import attributes, codec, colour, geodesy, ids, s2
 from voxelake.operators import build, lod, pyramid, query, xray
-from voxelake.operators.geometry import CROSS, IN, OUT, Aabb, AllPoints, CellUnion, Cube, Frustum, MercatorRect, Obb, perspective, perspective_fov
+from voxelake.operators.geometry import CROSS, IN, OUT, Aabb, AllPoints, CellUnion, Cube, Frustum, Hull, MercatorRect, Obb, perspective, perspective_fov
 from voxelake.plans.cloud import Client, PointCloud, Providers
 from voxelake.sources import blob, meta, ply, png, rawnode, synthetic, terrain
 from voxelake.streaming import delivery
@@ -192,6 +192,64 @@ def test_mercator_rect(spark):
     assert small.relations(-centre[None] - 1, -centre[None] + 1) == [OUT]
 
 
+def test_mercator_rect_limits():
+    assert MercatorRect.of_pixels((0, 0), (200, 200), 0) is None and MercatorRect.of_pixels((0, 0), (0.5, 1.5), 0) is None
+    assert MercatorRect.of_pixels((0, 0), (1, 1), 0) == MercatorRect(0.0, 0.0, 1 / 256, 1 / 256)
+    assert MercatorRect.of_pixels((255.5, 10), (0.25, 10.5), 0) is not None  # over the date line
+
+
+@pytest.fixture(scope="module")
+def globe(spark):
+    """Points all over the Earth and above it, some in dense spots, in small cells."""
+    r = np.random.default_rng(12)
+    lat, lon = np.arcsin(r.uniform(-1, 1, 3000)), r.uniform(-np.pi, np.pi, 3000)
+    lat[:800], lon[:800] = r.normal(0.9, 0.05, 800), r.normal(np.pi, 0.1, 800)
+    p = geodesy.ecef_np(lat, lon, r.uniform(-400, 6000, 3000))
+    df = spark.createDataFrame([(k, *map(float, v)) for k, v in enumerate(p)], "id long, x double, y double, z double")
+    return PointCloud.of_s2(build.build_s2(df, 7))
+
+
+ROUND = [MercatorRect(0.5 - w / 2, 0.3, 0.5 + w / 2, 0.3 + w) for w in (0.0005, 0.01, 0.05, 0.16, 0.5)]
+ROUND += [MercatorRect(1 - w / 2, 0.25, w / 2, 0.25 + w) for w in (0.001, 0.02, 0.1, 0.6)]
+ROUND += [MercatorRect(0.0, 0.0, 1.0, 0.1), MercatorRect(0.2, 0.8, 0.9, 1.0), MercatorRect(0.0, 0.0, 1.0, 1.0)]
+
+
+def test_pruned_globe_equals_scan(globe):
+    found, few = 0, 0
+    for location in ROUND:
+        q = query.PointQuery(["id"], location)
+        got = rows(globe.query(q).select("id"))
+        assert got == rows(globe.query(q, prune=False).select("id")) == rows(q.run(globe.points).select("id")), location
+        found, few = found + len(got), few + (sum(map(len, globe.nodes_in(location))) < globe.nodes.count() / 4)
+    assert found > 1000 and few >= 5
+    x = 6378137.0
+    for location in (Aabb((-x, 0.0, 0.0), (0.0, x, x)), Obb((0.0, 0.0, x), ((0.6, -0.8, 0.0), (0.8, 0.6, 0.0), (0.0, 0.0, 1.0)), (x, x / 2, x / 2))):
+        q = query.PointQuery(["id"], location)
+        assert rows(globe.query(q).select("id")) == rows(q.run(globe.points).select("id"))
+
+
+def test_pruned_cells_equal_scan(globe):
+    cells = [int(r["cell"]) & (1 << 64) - 1 for r in globe.nodes.orderBy(F.desc("num_points")).limit(3).collect()]
+    wide = int(s2.parents(np.array(cells[:1], np.uint64), 2)[0])
+    for location in (CellUnion((cells[0],)), CellUnion(tuple(cells)), CellUnion((wide, cells[2]))):
+        q = query.PointQuery(["id"], location)
+        found = globe.query(q)
+        assert rows(found.select("id")) == rows(q.run(globe.points).select("id")) and found.count() > 0
+        assert "Python" not in found._jdf.queryExecution().toString() and "Arrow" not in found._jdf.queryExecution().toString()
+
+
+def test_hulls_of_boxes_and_views():
+    corners = np.array([[x, y, z] for x in (0, 2) for y in (0, 3) for z in (0, 5)], float)
+    found = Hull.of_corners(corners)
+    assert np.allclose(np.abs(found.edges), np.eye(3)) and np.allclose(np.abs(found.normals), np.eye(3))
+    view = LOCATIONS[3].hull()
+    # Two sides across, one for each of left, right, up and down; near and far planes are parallel.
+    assert len(view.edges) == 6 and len(view.normals) == 5
+    inside = view.corners.mean(0)
+    for n in view.normals:
+        assert (view.corners @ n).min() <= inside @ n <= (view.corners @ n).max()
+
+
 # --- index builds -------------------------------------------------------------------------------
 
 

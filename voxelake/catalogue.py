@@ -229,6 +229,11 @@ def _s2_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cloud.query(PointQuery(["o_orderkey"], _union_cells())).select("o_orderkey")
 
 
+def _rect_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cloud = PointCloud.of_s2(build.build_s2(views.ecef_cloud(spark, sf_dir), 6))
+    return cloud.query(PointQuery(["o_orderkey"], RECT)).select("o_orderkey")
+
+
 def _tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     pixels = xray.render(views.line_cloud(spark, sf_dir), RASTER, RASTER_BOX, xray.XRay())
     return staged(pyramid.tile_images(pixels, RASTER.level, RASTER.tile_px), "leaves")
@@ -318,6 +323,7 @@ def queries() -> dict[str, Query]:
         "visible_nodes": _visible,
         "s2_partition": _s2_cells,
         "s2_union_query": _s2_query,
+        "mercator_rect_pruned": _rect_pruned,
         "pyramid": _pyramid,
         "inpaint": _inpaint,
         "merge": _merge,
@@ -356,6 +362,7 @@ def oracle_sql() -> dict[str, str]:
     lat, lon = _latlon()
     mx, my = _mercator("la", "lo")
     q["mercator_rect"] = f"select o_orderkey from (select o_orderkey, {mx} as mx, {my} as my from (select o_orderkey, {lat} as la, {lon} as lo from {ECEF}) a) b where mx >= {RECT.west!r} and mx < {RECT.east!r} and my >= {RECT.north!r} and my < {RECT.south!r}"
+    q["mercator_rect_pruned"] = q["mercator_rect"]
     cell = lambda c, e: f"cast(greatest(0, least(31, floor(({c}-{_num(0)})/{_num(e)}*{_num(32)}))) as bigint)"
     grid = f"(select {cell('x', 64)} as qx, {cell('y', 128)} as qy, count(*) as n from {LINE} group by 1, 2)"
     key = "+".join(f"((qx>>{k})&1)*{2 << 2 * k}+((qy>>{k})&1)*{1 << 2 * k}" for k in range(5))

@@ -54,7 +54,7 @@ class PointQuery:
         wanted = sorted(kinds) if self.attributes is None else list(self.attributes)
         for name in wanted:
             if name not in kinds:
-                raise KeyError(f"Data type for attribute '{name}' not found.")
+                raise KeyError(f"the cloud has no attribute '{name}'")
         for name in self.intervals:
             if name not in wanted:
                 raise ValueError(f"filter attribute '{name}' is not among the attributes asked for")
@@ -71,8 +71,12 @@ class PointQuery:
         return out
 
     def run(self, points: DataFrame) -> DataFrame:
-        """The rows of an unindexed cloud: one filter and a projection, both pushed into the scan."""
+        """The rows of an unindexed cloud: one filter and a projection. Besides the location's test there are
+        comparisons with its bounds, which the scan can use to skip row groups."""
         wanted = self.check(points)
+        bounds = None if isinstance(self.location, Aabb) else self.location.bounds()
+        for c, low, high in zip(POSITION, *bounds, strict=True) if bounds is not None else ():
+            points = points.where((F.col(c) >= float(low)) & (F.col(c) <= float(high)))
         return points.where(self.condition()).select(*POSITION, *wanted)
 
     def to_json(self) -> str:

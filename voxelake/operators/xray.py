@@ -4,6 +4,7 @@ One pass over the points: tiles are part of the grouping key, never separate que
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -155,11 +156,11 @@ class Raster:
 
     @classmethod
     def over(cls, box: Aabb, pixel_m: float, tile_px: int = 256) -> Raster:
-        """Doubled until it covers the box."""
-        level, edge = 0, tile_px * pixel_m
-        while edge < box.diagonal[0] or edge < box.diagonal[1]:
-            level, edge = level + 1, edge * 2
-        return cls((box.low[0], box.low[1]), edge, level, tile_px)
+        """The smallest one that covers the box."""
+        tile, longest = tile_px * pixel_m, float(max(box.diagonal[:2]))
+        level = max(0, math.ceil(math.log2(longest / tile))) if longest > 0 else 0
+        level += math.ldexp(tile, level) < longest  # where the logarithm was rounded down
+        return cls((box.low[0], box.low[1]), math.ldexp(tile, level), level, tile_px)
 
 
 def rasterised(points: DataFrame, raster: Raster, box: Aabb) -> DataFrame:

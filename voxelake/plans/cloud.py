@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from voxelake.functions import ids
 from voxelake.functions.attributes import POSITION
 from voxelake.operators import build
-from voxelake.operators.geometry import IN, OUT, Aabb, Cube, Location
+from voxelake.operators.geometry import IN, OUT, Aabb, CellUnion, Cube, Location
 from voxelake.operators.query import PointQuery, within
 from voxelake.streaming.delivery import POINTS_PER_BATCH, for_each_batch
 
@@ -72,8 +72,11 @@ class PointCloud:
     def query(self, query: PointQuery, prune: bool = True) -> DataFrame:
         """Rows of the nodes inside, and of the crossing ones those that pass the test."""
         wanted = query.check(self.points.drop(*INDEX_COLUMNS))
-        test = query.location.contains(*(F.col(c) for c in POSITION))
         points = self.points
+        if isinstance(query.location, CellUnion) and "leaf" in points.columns:
+            test = query.location.contains_leaf(F.col("leaf"))  # ranges of the stored leaf, which the scan can use
+        else:
+            test = query.location.contains(*(F.col(c) for c in POSITION))
         if prune:
             inside, cross = self.nodes_in(query.location)
             if (bounds := query.location.bounds()) is not None:
