@@ -267,6 +267,20 @@ def test_octree_invariants(points, tree):
     assert near.where(F.abs(F.col("x") - F.col("ex")) > 0.5).count() == 0
 
 
+@pytest.mark.parametrize(("inline", "sent"), [(0, 1_000_000), (0, 0)])
+def test_octree_of_many_nodes(spark, monkeypatch, inline, sent):
+    pts = synthetic.local_box(spark, 4000, 3).select("id", "x", "y", "z").cache()
+    few = build.build_octree(pts, 0.01, ["id"], 2)
+    splits = few.nodes.count() - few.nodes.where("num_points > 0").count() + few.nodes.count() // 3
+    assert splits > 1000
+    want, tables = sorted(few.points.select("id", "node_id").collect()), sorted(few.nodes.select("node_id", "num_points").collect())
+    monkeypatch.setattr(build, "INLINE_NODES", inline)
+    monkeypatch.setattr(build, "BROADCAST_NODES", sent)
+    many = build.build_octree(pts, 0.01, ["id"], 2)
+    assert sorted(many.points.select("id", "node_id").collect()) == want
+    assert sorted(many.nodes.select("node_id", "num_points").collect()) == tables
+
+
 def test_identical_points(spark):
     df = spark.range(3001).select("id", *(F.when(F.col("id") == 0, v).otherwise(0.0).alias(c) for c, v in zip("xyz", (-200.0, -40.0, 30.0), strict=True)))
     t = build.build_octree(df, 1.0, ["id"], 500)

@@ -24,6 +24,11 @@ MAX_DEPTH = 40
 DEFAULT_S2_LEVEL = 20
 #: Rows of one numbering cell of a node: larger nodes are numbered in cells, then offset.
 CELL_ROWS = 50_000
+#: Levels that one pass over the points counts.
+STEP = 3
+#: Split nodes of a level up to this many are an IN list; up to the other number they are broadcast (some 40
+#: bytes each), and so are sizes and offsets of nodes; beyond it they are joined by a shuffle.
+INLINE_NODES, BROADCAST_NODES = 200, 1_000_000
 
 
 def bounding_box(points: DataFrame) -> Aabb:
@@ -54,37 +59,75 @@ class Octree:
     resolution: float
 
 
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_NODES else df
+
+
+def _prefix(level: int):
+    """Of ``path``, the node at ``level``."""
+    return F.substring("path", 1, level + 1)
+
+
+def under(rows: DataFrame, level: int, nodes: list[str]) -> DataFrame:
+    """The rows whose ``path`` goes through one of ``nodes``, which are of ``level``."""
+    if len(nodes) <= INLINE_NODES:
+        return rows.where(_prefix(level).isin(nodes))
+    listed = rows.sparkSession.createDataFrame([(n,) for n in nodes], "_node string")
+    return rows.join(_small(listed, len(nodes)), _prefix(level) == F.col("_node"), "left_semi")
+
+
 def split_nodes(paths: DataFrame, cube: Cube, depth: int, resolution: float, most: int) -> list[list[str]]:
     """By level, the nodes that split: more than ``most`` points and longer than the resolution; the
-    root always does. Each level is one aggregation of the counts below it; what comes to the driver are
-    nodes with over ``most`` points, at most rows / most for each level."""
-    counts = staged(paths.groupBy("path").agg(F.count(F.lit(1)).alias("n")), "paths")
+    root always does. A pass counts the nodes of STEP levels below those that were large, so never more than
+    8 ** STEP for each of them; what comes to the driver are nodes with over ``most`` points, at most
+    rows / most for each level."""
     split: list[list[str]] = [["r"]]
-    for level in range(1, depth):
-        if cube.edge / (1 << level) <= resolution:
-            break
-        node = F.substring("path", 1, level + 1)
-        large = counts.groupBy(node.alias("node")).agg(F.sum("n").alias("n")).where(F.col("n") > most)
-        above = set(split[-1])
-        found = [r["node"] for r in large.select("node").collect() if r["node"][:-1] in above]
-        if not found:
-            break
-        split.append(sorted(found))
+    last = next((k for k in range(1, depth) if cube.edge / (1 << k) <= resolution), depth) - 1
+    while (level := len(split) - 1) < last:
+        deep = min(level + STEP, last)
+        rows = under(paths, level, split[-1]) if level else paths
+        counts = staged(rows.groupBy(_prefix(deep).alias("path")).agg(F.count(F.lit(1)).alias("n")), "counts")
+        for k in range(level + 1, deep + 1):
+            large = counts.groupBy(_prefix(k).alias("node")).agg(F.sum("n").alias("n")).where(F.col("n") > most)
+            found = sorted(r["node"] for r in large.select("node").collect())  # below large nodes, as they are large
+            if not found:
+                return split
+            split.append(found)
     return split
 
 
-def sampled_up(points: DataFrame, node: str, order: list[str]) -> DataFrame:
+def leaf_levels(placed: DataFrame, split: list[list[str]]) -> DataFrame:
+    """Adds ``_level``, one below the deepest split node on a point's path."""
+    deepest = F.lit(1)
+    for level, nodes in enumerate(split):
+        if len(nodes) <= INLINE_NODES:
+            hit = _prefix(level).isin(nodes)
+        else:
+            listed = placed.sparkSession.createDataFrame([(n, True) for n in nodes], f"_node{level} string, _hit{level} boolean")
+            placed = placed.join(_small(listed, len(nodes)), _prefix(level) == F.col(f"_node{level}"), "left")
+            hit = F.col(f"_hit{level}").isNotNull()
+        deepest = F.when(hit, F.lit(level + 1)).otherwise(deepest)
+    helpers = [c for k in range(len(split)) for c in (f"_node{k}", f"_hit{k}")]
+    return placed.withColumn("_level", deepest).drop(*helpers)
+
+
+def sampled_up(points: DataFrame, node: str, order: list[str], nodes: int = 0) -> DataFrame:
     """Adds ``_up``: every SAMPLE-th row of its node (from the first) moves up. Numbers are exact also
-    for nodes of any size: rows are numbered in cells of the order and offset by the counts before."""
+    for nodes of any size: rows are numbered in cells of the order and offset by the counts before. Of
+    ``nodes`` (at most so many) sizes and offsets are broadcast, so the numbering is the only shuffle of the
+    rows."""
     cell = F.pmod(F.xxhash64(*order), F.lit(1 << 30))
     sizes = points.groupBy(node).agg(F.count(F.lit(1)).alias("_size"))
-    celled = points.join(sizes, node).withColumn("_cell", F.when(F.col("_size") <= CELL_ROWS, F.lit(0)).otherwise(cell % F.ceil(F.col("_size") / CELL_ROWS)).cast("int"))
+    few = nodes or BROADCAST_NODES + 1
+    cells = F.when(F.col("_size") <= CELL_ROWS, F.lit(0)).otherwise(cell % F.ceil(F.col("_size") / CELL_ROWS))
+    celled = points.join(_small(sizes, few), node).withColumn("_cell", cells.cast("int"))
     counts = celled.groupBy(node, "_cell").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(node).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select(F.col(node), F.col("_cell"), before.alias("_start"))
     inside = F.row_number().over(Window.partitionBy(node, "_cell").orderBy(*order))
-    numbered = celled.withColumn("_in", inside).join(starts, [node, "_cell"])
-    return numbered.withColumn("_at", F.col("_start") + F.col("_in") - 1).withColumn("_up", F.col("_at") % SAMPLE == 0).drop("_cell", "_size", "_n", "_start", "_in")
+    numbered = celled.withColumn("_in", inside).join(_small(starts, few), [node, "_cell"])
+    numbered = numbered.withColumn("_at", F.col("_start") + F.col("_in") - 1).withColumn("_up", F.col("_at") % SAMPLE == 0)
+    return numbered.drop("_cell", "_size", "_n", "_start", "_in")
 
 
 def build_octree(points: DataFrame, resolution: float, order: list[str], most: int = MAX_POINTS_PER_NODE, box: Aabb | None = None) -> Octree:
@@ -95,35 +138,30 @@ def build_octree(points: DataFrame, resolution: float, order: list[str], most: i
     placed = staged(with_path(points, cube, depth), "placed")
     split = split_nodes(placed.select("path"), cube, depth, resolution, most)
     spark = points.sparkSession
-    flat = [(n,) for level in split for n in level]
-    parents = spark.createDataFrame(flat, "node string")
-    # A point's leaf is one level below the deepest split node on its path: each level is a semi-join.
-    leaf = placed
-    deepest = F.lit(1)
-    if len(flat) <= 1000:
-        for level, nodes in enumerate(split):
-            deepest = F.when(F.substring("path", 1, level + 1).isin(nodes), F.lit(level + 1)).otherwise(deepest)
-        leaf = leaf.withColumn("_level", deepest)
-    else:
-        marks = parents.select("node", F.length("node").alias("_level"))
-        prefixes = placed.select("path").distinct().withColumn("node", F.explode(F.transform(F.sequence(F.lit(1), F.lit(len(split))), lambda k: F.substring(F.col("path"), F.lit(1), k))))
-        levels = prefixes.join(marks, "node").groupBy("path").agg(F.max("_level").alias("_level"))
-        leaf = placed.join(levels, "path")
-    leaf = leaf.withColumn("node_id", F.substring(F.col("path"), F.lit(1), F.col("_level") + 1)).drop("path", "_level")
+    parents = spark.createDataFrame([(n,) for level in split for n in level], "node string")
+    leaf = leaf_levels(placed, split)
+    leaf = leaf.withColumn("node_id", F.substring(F.col("path"), F.lit(1), F.col("_level") + 1)).drop("path")
+    # Dealt out by level, so that each level of the loop reads its own points only.
+    leaf = staged(leaf, "leaf", "_level")
+    leaves = staged(leaf.groupBy("node_id").agg(F.count(F.lit(1)).alias("n")), "leaves")
+    # A node of a level is a leaf or a split node, or the parent of one; each is in a cell or a few.
+    nodes = 2 * leaves.count() + sum(map(len, split)) + placed.count() // CELL_ROWS
     final: DataFrame | None = None
-    waiting = leaf.withColumns({"_child": F.lit(0), "_at": F.lit(0).cast("long")})
-    leaves = staged(leaf.select("node_id").distinct(), "leaves")
+    up: DataFrame | None = None
+    fresh = {"_child": F.lit(0), "_at": F.lit(0).cast("long")}
     for level in range(len(split), 0, -1):
-        here = F.length("node_id") == level + 1
-        numbered = staged(sampled_up(waiting.where(here), "node_id", ["_child", "_at", *order]), f"level{level}")
+        here = leaf.where(F.col("_level") == level).drop("_level").withColumns(fresh)
+        here = here if up is None else here.unionByName(up)
+        numbered = staged(sampled_up(here, "node_id", ["_child", "_at", *order], nodes), f"level{level}")
         stay = numbered.where(~F.col("_up")).drop("_up", "_child", "_at")
         final = stay if final is None else final.unionByName(stay)
-        up = numbered.where("_up").withColumns({"_child": F.substring("node_id", -1, 1).cast("int") + 1, "node_id": ids.parent_path(F.col("node_id"))}).drop("_up")
-        waiting = waiting.where(~here).unionByName(up)
+        child = F.substring("node_id", -1, 1).cast("int") + 1
+        up = numbered.where("_up").withColumns({"_child": child, "node_id": ids.parent_path(F.col("node_id"))}).drop("_up")
+    waiting = up
     root = waiting.drop("_child", "_at")
     final = root if final is None else final.unionByName(root)
     final = final.withColumn("level", ids.path_level(F.col("node_id")))
-    names = leaves.union(parents).distinct()
+    names = leaves.select("node_id").union(parents).distinct()
     counted = final.groupBy("node_id").agg(F.count(F.lit(1)).alias("num_points"))
     return Octree(final, node_table(names.join(counted, "node_id", "left"), cube, resolution), box, resolution)
 
