@@ -316,3 +316,36 @@ def test_only_rows_that_hold_an_item_go(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "BROADCAST_SEEDS", 0)
     assert sorted(str(r.text) for r in decontamination.keep_clean(docs, items).collect()) == want
     assert decontamination.keep_clean(docs, items).columns == ["doc_id", "text", "item_id"]
+
+
+def test_sharding_query_equals_a_plain_version(spark, sf):
+    import math
+    import zlib
+    from collections import defaultdict
+
+    import xxhash
+
+    def shard(key, count):
+        def score(k):
+            h = 42
+            for part in (key.to_bytes(8, "little", signed=True), k.to_bytes(4, "little"), b"shard"):
+                h = xxhash.xxh64_intdigest(part, h)
+            return -1 / math.log(((h >> 11) + 0.5) / 2**53)
+
+        return max(range(count), key=lambda k: (score(k), -k))
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    slots, moved = defaultdict(list), 0
+    for r in sharding.op8_sharding(spark, sf).collect():
+        raw = (texts[r.doc_id] or "").encode()
+        assert (r.size, r.text_crc32, r.law) == (len(raw) + 1, zlib.crc32(raw), "key")
+        assert (r.shard, r.grown_shard) == (shard(r.doc_id, 8), shard(r.doc_id, 9)) and r.grown_shard in (r.shard, 8)
+        slots[r.shard].append(r.slot)
+        moved += r.grown_shard == 8
+    assert 0 < moved < len(texts) / 4 and sum(map(len, slots.values())) == len(texts)
+    assert all(sorted(found) == list(range(len(found))) for found in slots.values())
+
+
+def test_sharding_of_very_long_texts(make_docs):
+    found = {r.doc_id: r.size for r in sharding.shard_documents(make_docs([(1, "ä" * 500_000), (2, None)]), [1.0] * 8).collect()}
+    assert found == {1: 1_000_001, 2: 1}
