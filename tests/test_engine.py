@@ -192,6 +192,12 @@ def test_mercator_rect(spark):
     assert small.relations(-centre[None] - 1, -centre[None] + 1) == [OUT]
 
 
+def test_token_of_no_cell(spark):
+    cells = spark.createDataFrame([(0,), (1 << 60,), (None,)], "cell long")
+    got = [r[0] for r in cells.select(s2.token_column(F.col("cell"))).collect()]
+    assert got == [s2.token(0), s2.token(1 << 60), None] == ["X", "1", None]
+
+
 def test_mercator_rect_limits():
     assert MercatorRect.of_pixels((0, 0), (200, 200), 0) is None and MercatorRect.of_pixels((0, 0), (0.5, 1.5), 0) is None
     assert MercatorRect.of_pixels((0, 0), (1, 1), 0) == MercatorRect(0.0, 0.0, 1 / 256, 1 / 256)

@@ -177,4 +177,5 @@ def in_union(leaf: Column, cells: Sequence[int]) -> Column:
 
 
 def token_column(cell: Column) -> Column:
-    return F.regexp_replace(F.lower(F.lpad(F.hex(cell), 16, "0")), "0+$", "")
+    """As :func:`token`: hexadecimal without the zeros at the end, X for no cell."""
+    return F.when(cell == 0, F.lit("X")).otherwise(F.regexp_replace(F.lower(F.lpad(F.hex(cell), 16, "0")), "0+$", ""))
