@@ -266,6 +266,34 @@ def test_neighbours_recall_and_ties(spark, monkeypatch):
     assert hit / (5 * 40) >= 0.9 and set(got.query_id) == set(range(0, 2000, 50))
 
 
+def _exact(x, queries, k):
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    out = {}
+    for q in queries:
+        cos = unit @ unit[q]
+        cos[q] = -2
+        out[q] = set(np.argsort(-cos)[:k].tolist())
+    return out
+
+
+@pytest.mark.parametrize(("depth", "block"), [(12, 250), (1, 250)])
+def test_neighbours_of_clusters_meet_few_cells(spark, monkeypatch, depth, block):
+    """Recall over several cells, and over cells of several blocks; queries skip the cells far from them."""
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", block)
+    monkeypatch.setattr(neighbours, "MAX_DEPTH", depth)
+    visits = []
+    whole = neighbours._elsewhere
+    monkeypatch.setattr(neighbours, "_elsewhere", lambda *a: visits.append(whole(*a)) or visits[-1])
+    r = np.random.default_rng(4)
+    x = (r.standard_normal((40, 32))[r.integers(0, 40, 4000)] + 0.05 * r.standard_normal((4000, 32))).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = neighbours.nearest(df, df.where("vec_id % 50 = 0"), 5).toPandas()
+    want = _exact(x.astype(float), range(0, 4000, 50), 5)
+    assert len(got) == 400
+    assert sum(len(want[q] & set(g.vec_id)) for q, g in got.groupby("query_id")) / 400 >= 0.95
+    assert visits[0].count() < 80 * (2 ** min(depth, 4) - 1) / 2
+
+
 def test_few_candidates(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
     got = sorted((r["rank"], r.vec_id) for r in neighbours.nearest(df, df.where("vec_id = 0"), 5).collect())

@@ -7,9 +7,14 @@ verified on the original vectors. The search stops when, with r the projected di
 the distance of the k-th best so far, chi2(r^2 / d^2) >= ``CONFIDENCE``: a better row not yet seen
 would have been projected nearer with that probability.
 
-Rows are dealt by hashed id to blocks of about ``BLOCK_ROWS`` with a tree each, queries to chunks, and
-each (block, chunk) cell is searched alone; a query's best of all blocks are merged. Equal vectors of a
-block are one point of its tree with its smallest ids, so a vector that many rows share costs one.
+The tree's top splits at medians of a bounded sample of all rows' projections (``SAMPLE``), so that a cell
+holds about ``BLOCK_ROWS``; every row goes to its cell, whose box is measured over all its rows. A query is
+searched in its own cell first. The distance of its k-th best there bounds, by the same test, how far it
+still has to look, and it is sent only to cells whose box is nearer than that; each search there starts with
+the bound. So clustered queries meet few cells, while for vectors without neighbours much nearer than the
+rest the test itself asks for most rows. Cells larger than a block are dealt to several by hashed id, cells
+with many queries to several chunks. Of equal vectors the k + 1 smallest ids are kept, as a query can't
+return more of them (one may be its own), so a vector that many rows share costs one.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite
 components take no part, neither do null ids; rows that repeat an id and vector count once; candidates
@@ -28,10 +33,14 @@ from pyspark.sql import functions as F
 
 from voxelake.shipping import ship
 
-from .common import staged, table
+from .common import hash_sample, map_arrow, staged, table
 
 PROJECTED, CONFIDENCE, LEAF = 8, 0.97, 48
 BLOCK_ROWS, CHUNK_QUERIES = 16_384, 2_048
+#: Rows whose projections choose the top splits, and the most levels of these (64 bytes a row and 128 a cell).
+SAMPLE, MAX_DEPTH = 32_768, 12
+#: Squared distances below this are rounding.
+SLACK = 1e-9
 
 
 def chi2_cdf(x: float) -> float:
@@ -51,6 +60,29 @@ def _chi2_quantile(p: float) -> float:
     return high
 
 
+class Top:
+    """The tree's top: ``depth`` levels of splits at the median of the widest dimension of a sample."""
+
+    def __init__(self, points: np.ndarray, depth: int):
+        self.depth = depth
+        self.axis = np.zeros(2**depth - 1, np.int64)
+        self.value = np.full(2**depth - 1, np.inf)
+        own = [points]
+        for node in range(2**depth - 1):
+            p = own[node]
+            if len(p) > 1:
+                self.axis[node] = np.argmax(p.max(axis=0) - p.min(axis=0))
+                self.value[node] = np.median(p[:, self.axis[node]])
+            right = p[:, self.axis[node]] > self.value[node]
+            own += [p[~right], p[right]]
+
+    def cell(self, points: np.ndarray) -> np.ndarray:
+        node, each = np.zeros(len(points), np.int64), np.arange(len(points))
+        for _ in range(self.depth):
+            node = 2 * node + 1 + (points[each, self.axis[node]] > self.value[node])
+        return node - (2**self.depth - 1)
+
+
 class Tree:
     """kd-tree: split at the median of the widest dimension down to leaves; leaves keep their boxes."""
 
@@ -92,8 +124,12 @@ class Tree:
             waiting, far = waiting[~now], far[~now]
 
 
-def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """(query_id, vec_id, cosine): each query's k best in one block."""
+def _directions(width: int) -> np.ndarray:
+    return np.random.default_rng(7).standard_normal((width, PROJECTED))
+
+
+def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, limits: np.ndarray, k: int) -> list[tuple[int, int, float]]:
+    """(query_id, vec_id, cosine): each query's k best in one block, of those within its squared distance."""
     if not len(ids) or not len(query_ids):
         return []
     order = np.argsort(ids, kind="stable")
@@ -108,11 +144,11 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
     norm = np.sqrt((points * points).sum(axis=1))
     unit = points / norm[:, None]
     rough = unit.astype(np.float32)  # halves what a long search reads; scores themselves are doubles
-    directions = np.random.default_rng(7).standard_normal((vectors.shape[1], PROJECTED))
+    directions = _directions(vectors.shape[1])
     tree = Tree(unit @ directions)
     stop, out = _chi2_quantile(CONFIDENCE), []
     need = k + 1
-    for qid, q in zip(query_ids.tolist(), queries, strict=True):
+    for qid, q, limit in zip(query_ids.tolist(), queries, limits.tolist(), strict=True):
         qn = np.sqrt((q * q).sum())
         best, rows, near = np.full(need, np.inf), [], []
         asked = (q / qn).astype(np.float32)
@@ -121,9 +157,11 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
                 rows.append(found)
                 near.append(rough[found] @ asked)
                 best = np.sort(np.concatenate([best, 2 - 2 * near[-1]]))[:need]
-            if reach >= stop * max(best[-1], 0.0) and reach > 0:
+            if reach > stop * max(min(best[-1], limit), 0.0) + SLACK:
                 break
         rows, near = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (rows, near))
+        within = 2 - 2 * near <= limit + 1e-5
+        rows, near = rows[within], near[within]
         if len(rows) > need:  # the score itself, row by row alike, only for those that can be among the best
             rows = rows[near >= np.partition(near, -need)[-need] - 1e-5]
         cos = (points[rows] * q).sum(axis=1) / (norm[rows] * qn)
@@ -138,38 +176,113 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
     return out
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, vec_id, score for ``vectors`` and ``queries`` (vec_id, embedding)."""
+def _lists(values: np.ndarray) -> pa.ListArray:
+    """The rows of a matrix as Arrow lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32()), pa.array(values.ravel()))
+
+
+def _matrix(column, width: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
+
+
+def _usable(df: DataFrame) -> DataFrame:
+    """vec_id, v of the distinct rows that take part."""
+    v = F.transform(F.col("embedding"), lambda x: x.cast("double"))
+    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
+    return df.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(fine).distinct()
+
+
+def _projected(df: DataFrame, width: int) -> DataFrame:
+    """vec_id, v and p, the projections of the unit vector."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        v = _matrix(batch.column(1), width)
+        p = v / np.sqrt((v * v).sum(axis=1))[:, None] @ _directions(width)
+        return pa.RecordBatch.from_arrays([*batch.columns, _lists(p)], ["vec_id", "v", "p"])
+
+    return map_arrow(df.where(F.size("v") == width).select("vec_id", "v"), run, "vec_id long, v array<double>, p array<double>")
 
-    def usable(df: DataFrame) -> DataFrame:
-        v = F.transform(F.col("embedding"), lambda x: x.cast("double"))
-        fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
-        return df.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(fine).distinct()
-
-    rows = staged(usable(vectors), "vectors")
-    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    width = sizes["d"] if sizes else 0
-    rows, asked = rows.where(F.size("v") == width), usable(queries).where(F.size("v") == width)
-    asked = staged(asked, "queries")
-    n, m = rows.count(), asked.count()
-    blocks, chunks = max(1, -(-n // BLOCK_ROWS)), max(1, -(-m // CHUNK_QUERIES))
-    b, c = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(chunks))
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    left = rows.withColumn("b", b).withColumn("c", every(chunks)).select("vec_id", "v", (F.col("b") * chunks + F.col("c")).alias("cell"))
-    right = asked.withColumn("c", c).withColumn("b", every(blocks)).select("vec_id", "v", (F.col("b") * chunks + F.col("c")).alias("cell"))
-
-    def run(own: pa.Table, asking: pa.Table) -> pa.Table:
-        def arrays(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-            flat = t["v"].combine_chunks()
-            return t["vec_id"].to_numpy(), flat.flatten().to_numpy().reshape(len(t), -1) if len(t) else np.empty((0, width))
-
-        found = search_block(*arrays(own), *arrays(asking), k)
+
+def _celled(df: DataFrame, top: Top) -> DataFrame:
+    """``df`` with the cell of its ``p``."""
+    names = df.columns
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        cell = top.cell(_matrix(batch.column("p"), PROJECTED))
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], [*names, "cell"])
+
+    return map_arrow(df, run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) + ", cell long")
+
+
+def _elsewhere(asked: DataFrame, cells: list, top: Top) -> DataFrame:
+    """vec_id, v, lim, cell: each query of (vec_id, v, p, lim) with the cells besides its own that the stopping
+    test doesn't rule out. ``cells``: (cell, low, high), at most 2^MAX_DEPTH."""
+    numbers = np.array([c["cell"] for c in cells])
+    low, high = (np.array([c[x] for c in cells], float) for x in ("low", "high"))
+    stop = _chi2_quantile(CONFIDENCE)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        p, limit = _matrix(batch.column("p"), PROJECTED), batch.column("lim").to_numpy(zero_copy_only=False)
+        home, row, cell = top.cell(p), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for i in range(len(p)):
+            gap = np.maximum(np.maximum(low - p[i], p[i] - high), 0)
+            to = numbers[((gap * gap).sum(axis=1) <= stop * max(limit[i], 0.0) + SLACK) & (numbers != home[i])]
+            row.append(np.full(len(to), i))
+            cell.append(to)
+        sent = batch.select(["vec_id", "v", "lim"]).take(pa.array(np.concatenate(row)))
+        return pa.RecordBatch.from_arrays([*sent.columns, pa.array(np.concatenate(cell))], ["vec_id", "v", "lim", "cell"])
+
+    return map_arrow(asked.select("vec_id", "v", "p", "lim"), run, "vec_id long, v array<double>, lim double, cell long")
+
+
+def _searched(rows: DataFrame, visits: DataFrame, sizes: DataFrame, width: int, k: int) -> DataFrame:
+    """query_id, vec_id, score: the k best of each visit (vec_id, v, lim, cell) to a cell of ``rows``."""
+    blocks, chunks = F.ceil(F.col("n") / BLOCK_ROWS).alias("blocks"), F.ceil(F.col("asking") / CHUNK_QUERIES).alias("chunks")
+    asking = visits.groupBy("cell").agg(F.count(F.lit(1)).alias("asking"))
+    deals = F.broadcast(sizes.join(asking, "cell").select("cell", blocks, chunks))  # at most 2^MAX_DEPTH rows
+    each = lambda count: F.explode(F.sequence(F.lit(1), F.col(count)))
+    own = rows.join(deals, "cell").withColumn("b", F.pmod(F.xxhash64("vec_id"), F.col("blocks")) + 1).withColumn("c", each("chunks"))
+    asks = visits.join(deals, "cell").withColumn("c", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("chunks")) + 1).withColumn("b", each("blocks"))
+    key = ["cell", "b", "c"]
+
+    def run(block: pa.Table, asked: pa.Table) -> pa.Table:
+        queries = (asked["vec_id"].to_numpy(), _matrix(asked["v"], width), asked["lim"].to_numpy())
+        found = search_block(block["vec_id"].to_numpy(), _matrix(block["v"], width), *queries, k)
         return pa.table({"query_id": pa.array([f[0] for f in found], pa.int64()), "vec_id": pa.array([f[1] for f in found], pa.int64()), "score": pa.array([f[2] for f in found], pa.float64())})
 
-    ship(vectors.sparkSession)
-    found = left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(run, "query_id long, vec_id long, score double")
+    ship(rows.sparkSession)
+    left, right = own.select(*key, "vec_id", "v"), asks.select(*key, "vec_id", "v", "lim")
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(run, "query_id long, vec_id long, score double")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return found.distinct().withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score for ``vectors`` and ``queries`` (vec_id, embedding)."""
+    own = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
+    kept = staged(_usable(vectors).withColumn("own", own).where(F.col("own") <= k + 1).select("vec_id", "v"), "distinct")
+    sizes = kept.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    width = sizes["d"] if sizes else 1
+    rows, asked = staged(_projected(kept, width), "vectors"), staged(_projected(_usable(queries), width), "queries")
+    depth = min(MAX_DEPTH, max(0, math.ceil(math.log2(max(rows.count(), 1) / BLOCK_ROWS))))
+    sample = hash_sample(rows.select("vec_id", "p"), "vec_id", SAMPLE).toPandas().sort_values("vec_id") if depth else None
+    top = Top(np.array(sample["p"].tolist()) if depth else np.empty((0, PROJECTED)), depth)
+    placed = _celled(rows, top)
+    box = [F.array(*(f(F.get("p", F.lit(i))) for i in range(PROJECTED))).alias(name) for f, name in ((F.min, "low"), (F.max, "high"))]
+    cells = staged(_celled(rows.select("p"), top).groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *box), "cells")
+    home = _celled(asked, top).select("vec_id", "v", F.lit(float("inf")).alias("lim"), "cell")
+    first = staged(_searched(placed, home, cells, width, k), "home")
+    found = first
+    if depth:
+        reached = _best(first, k).where(F.col("rank") == k).select("query_id", (2 - 2 * F.col("score")).alias("lim"))
+        bounded = asked.join(reached, asked["vec_id"] == reached["query_id"], "left").withColumn("lim", F.coalesce("lim", F.lit(float("inf"))))
+        visits = staged(_elsewhere(bounded, cells.select("cell", "low", "high").collect(), top), "visits")
+        found = first.union(_searched(placed, visits, cells, width, k))
+    return _best(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
