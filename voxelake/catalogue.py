@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -14,8 +15,8 @@ from voxelake.operators import build, lod, pyramid, xray
 from voxelake.operators.geometry import Aabb, CellUnion, Cube, Frustum, MercatorRect, Obb, perspective_fov
 from voxelake.operators.query import PointQuery
 from voxelake.plans.cloud import Client, PointCloud
-from voxelake.sources import blob, views
-from voxelake.staging import staged
+from voxelake.sources import blob, ply, views
+from voxelake.staging import shared_dir, staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "octree_query_pruned"
@@ -140,6 +141,24 @@ def _mercator(lat: str, lon: str) -> tuple[str, str]:
     return f"({_num(0.5)}+{lon}/{_num(2 * np.pi)})", f"({_num(0.5)}-ln((1+{s})/(1-{s}))/{_num(4 * np.pi)})"
 
 
+def _s2_tokens(level: int) -> str:
+    """ECEF rows with the token of their S2 cell: the curve's digits by one join a level with its rules."""
+    face = """case when abs(x) >= abs(y) and abs(x) >= abs(z) then case when x < 0 then 3 else 0 end
+ when abs(y) >= abs(z) then case when y < 0 then 4 else 1 end else case when z < 0 then 5 else 2 end end"""
+    u = "case face when 0 then y/x when 1 then -x/y when 2 then -x/z when 3 then z/x when 4 then z/y else -y/z end"
+    v = "case face when 0 then z/x when 1 then z/y when 2 then -y/z when 3 then y/x when 4 then -x/y else -x/z end"
+    n = 1 << level
+    half = "0.5*sqrt(1+3*abs({0}))"
+    cell = lambda t: f"cast(greatest(0, least({n - 1}, floor((case when {t} >= 0 then {half.format(t)} else 1-{half.format(t)} end)*{n}))) as int)"
+    rules = ", ".join(f"({o}, {ij}, {k}, {o ^ turn})" for o in range(4) for k, (ij, turn) in enumerate(zip(s2._POS_TO_IJ[o], s2._POS_TO_ORIENTATION, strict=True)))
+    rows = f"(select o_orderkey, face, {cell('u')} as i, {cell('v')} as j, face & 1 as o, 0 as pos from (select *, {u} as u, {v} as v from (select *, {face} as face from {ECEF}) a) b)"
+    for bit in range(level - 1, -1, -1):
+        rows = f"(select o_orderkey, face, i, j, r.turned as o, pos*4+r.k as pos from {rows} p{bit} join (values {rules}) r(o, ij, k, turned) on r.o = p{bit}.o and r.ij = ((i>>{bit})&1)*2+((j>>{bit})&1))"
+    spare = -(4 + 2 * level) % 4  # bits up to the next hexadecimal digit
+    digits = (4 + 2 * level + spare) // 4
+    return f"(select o_orderkey, lpad(lower(to_hex(((face::bigint << {2 * level + 1}) + pos*2+1) << {spare})), {digits}, '0') as token from {rows} c) s"
+
+
 # --- queries ------------------------------------------------------------------------------------
 
 
@@ -234,6 +253,12 @@ def _rect_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cloud.query(PointQuery(["o_orderkey"], RECT)).select("o_orderkey")
 
 
+def _ply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/ply-{uuid.uuid4().hex}"
+    ply.write_folder(views.line_cloud(spark, sf_dir), folder)
+    return _flat(ply.read(spark, folder)).select(*_LINE_COLUMNS.split(", "))
+
+
 def _tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     pixels = xray.render(views.line_cloud(spark, sf_dir), RASTER, RASTER_BOX, xray.XRay())
     return staged(pyramid.tile_images(pixels, RASTER.level, RASTER.tile_px), "leaves")
@@ -328,6 +353,7 @@ def queries() -> dict[str, Query]:
         "inpaint": _inpaint,
         "merge": _merge,
         "node_blob": _blob,
+        "ply_roundtrip": _ply,
     }
 
 
@@ -363,6 +389,10 @@ def oracle_sql() -> dict[str, str]:
     mx, my = _mercator("la", "lo")
     q["mercator_rect"] = f"select o_orderkey from (select o_orderkey, {mx} as mx, {my} as my from (select o_orderkey, {lat} as la, {lon} as lo from {ECEF}) a) b where mx >= {RECT.west!r} and mx < {RECT.east!r} and my >= {RECT.north!r} and my < {RECT.south!r}"
     q["mercator_rect_pruned"] = q["mercator_rect"]
+    q["s2_partition"] = f"select token, count(*) as num_points from {_s2_tokens(6)} group by 1"
+    wanted = ", ".join(f"'{s2.token(c)}'" for c in _union_cells().cells)
+    q["s2_union_query"] = f"select o_orderkey from {_s2_tokens(3)} where token in ({wanted})"
+    q["ply_roundtrip"] = q["all_points"]
     cell = lambda c, e: f"cast(greatest(0, least(31, floor(({c}-{_num(0)})/{_num(e)}*{_num(32)}))) as bigint)"
     grid = f"(select {cell('x', 64)} as qx, {cell('y', 128)} as qy, count(*) as n from {LINE} group by 1, 2)"
     key = "+".join(f"((qx>>{k})&1)*{2 << 2 * k}+((qy>>{k})&1)*{1 << 2 * k}" for k in range(5))

@@ -1,4 +1,5 @@
-"""PLY files as a Spark data source: ``spark.read.format("ply").load(path)`` and a single-file writer.
+"""PLY files as a Spark data source: ``spark.read.format("ply").load(path)`` over a file, a folder or a
+pattern, a writer of folders by many tasks, and one of single files.
 
 A reader task takes a range of the fixed-width vertex records, so one large file is read by many tasks.
 Values are little-endian binary; positions are doubles with the header's offset added; red, green, blue
@@ -6,8 +7,10 @@ Values are little-endian binary; positions are doubles with the header's offset
 
 from __future__ import annotations
 
+import fnmatch
 import io
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,6 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from voxelake.functions.attributes import TYPES, type_of
 from voxelake.shipping import ship
+from voxelake.staging import staged
 
 # The format's names of scalar types.
 SCALARS = {
@@ -28,6 +32,8 @@ SCALARS = {
 NAMES = {"I8": "char", "U8": "uchar", "I16": "short", "U16": "ushort", "I32": "int", "U32": "uint", "I64": "longlong", "U64": "ulonglong", "F32": "float", "F64": "double"}
 COLOURS = ("red", "green", "blue"), ("r", "g", "b")
 RECORDS_PER_PARTITION, RECORDS_PER_BATCH = 2_000_000, 65_536
+#: Points of one file that is written into a folder; a task holds so many.
+RECORDS_PER_FILE = 1_000_000
 COUNT_DIGITS = 20
 
 
@@ -87,16 +93,40 @@ def parse_header(stream: io.BufferedIOBase) -> Header:
     return h
 
 
-def _open(path: str):
+def _store(path: str):
+    """(file system, path on it)."""
     from pyarrow import fs
 
     if "://" in path or path.startswith("file:"):
-        store, where = fs.FileSystem.from_uri(path)
-    else:
-        store, where = fs.LocalFileSystem(), path
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), path
+
+
+def _open(path: str):
+    store, where = _store(path)
     return store.open_input_file(where)
 
 
+def files_of(path: str) -> list[str]:
+    """The file itself, the ``.ply`` files of a folder, or those that fit a pattern in the last part."""
+    from pyarrow import fs
+
+    parent, _, last = path.rpartition("/")
+    if any(c in last for c in "*?["):
+        folder, fits = parent or ".", last
+    else:
+        store, where = _store(path)
+        if store.get_file_info(where).type != fs.FileType.Directory:
+            return [path]
+        folder, fits = path.rstrip("/"), "*.ply"
+    store, where = _store(folder)
+    names = (i.base_name for i in store.get_file_info(fs.FileSelector(where)) if i.type == fs.FileType.File)
+    found = sorted(n for n in names if fnmatch.fnmatchcase(n, fits) and n[0] not in "._")
+    if not found:
+        raise FileNotFoundError(f"no PLY files in {path}")
+    return [f"{folder}/{n}" for n in found]
+
+
 def read_header(path: str) -> Header:
     with _open(path) as f:
         return parse_header(io.BufferedReader(f))
@@ -141,11 +171,16 @@ class _Reader(DataSourceReader):
         self.path, self.schema, self.records = path, schema, records
 
     def partitions(self) -> list[_Range]:
-        n = read_header(self.path).count
-        return [_Range(self.path, k, min(self.records, n - k)) for k in range(0, n, self.records)] or [_Range(self.path, 0, 0)]
+        out = []
+        for path in files_of(self.path):
+            n = read_header(path).count
+            out += [_Range(path, k, min(self.records, n - k)) for k in range(0, n, self.records)]
+        return out or [_Range(files_of(self.path)[0], 0, 0)]
 
     def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
         h = read_header(part.path)
+        if schema_of(h).simpleString() != self.schema.simpleString():
+            raise ValueError(f"{part.path} has other properties than the first file")
         with _open(part.path) as f:
             f.seek(h.length + part.first * h.dtype.itemsize)
             left = part.count
@@ -166,7 +201,7 @@ class PlyDataSource(DataSource):
         return "ply"
 
     def schema(self) -> T.StructType:
-        return schema_of(read_header(self.options["path"]))
+        return schema_of(read_header(files_of(self.options["path"])[0]))
 
     def reader(self, schema: T.StructType) -> _Reader:
         return _Reader(self.options["path"], schema, int(self.options.get("recordsperpartition", self.options.get("recordsPerPartition", RECORDS_PER_PARTITION))))
@@ -178,9 +213,9 @@ def register(spark: SparkSession) -> None:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """The file with its attribute types in column metadata (a data source's own are dropped)."""
+    """The file, or all files of a folder or pattern, with their attribute types in column metadata (a data source's own are dropped)."""
     register(spark)
-    own = {f.name: f for f in schema_of(read_header(path))}
+    own = {f.name: f for f in schema_of(read_header(files_of(path)[0]))}
     df = spark.read.format("ply").load(path)
     return df.select(*(df[c].alias(c, metadata=own[c].metadata) for c in df.columns))
 
@@ -202,6 +237,60 @@ def _layout(schema: T.StructType) -> list[tuple[str, str, tuple[str, ...]]]:
     return out
 
 
+def _header(layout: list[tuple[str, str, tuple[str, ...]]], n: int) -> bytes:
+    props = "".join(f"property {NAMES[k]} {name}\n" for _, k, names in layout for name in names)
+    return f"ply\nformat binary_little_endian 1.0\nelement vertex {n:0{COUNT_DIGITS}d}\n{props}end_header\n".encode()
+
+
+def _records(layout: list[tuple[str, str, tuple[str, ...]]], batch: pa.RecordBatch) -> np.ndarray:
+    out = np.empty(batch.num_rows, np.dtype([(n, TYPES[k].dtype) for _, k, names in layout for n in names]))
+    for column, kind, names in layout:
+        values = batch.column(column)
+        for k, name in enumerate(names):
+            own = values if len(names) == 1 else values.field(k)
+            out[name] = own.to_numpy(zero_copy_only=False).astype(TYPES[kind].dtype)
+    return out
+
+
+def write_folder(points: DataFrame, folder: str, records: int = RECORDS_PER_FILE) -> DataFrame:
+    """Files of up to ``records`` points in a folder that all executors see, written by all tasks at once;
+    file, n of each. Rows are staged first and a file's name is that of its task, so a task that is run
+    again, or twice at a time, leaves the same files; each is written under a name of its own and moved."""
+    layout = _layout(points.schema)
+
+    def save(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        store, root = _store(folder)
+        store.create_dir(root, recursive=True)
+        task, count, held, waiting = TaskContext.get().partitionId(), 0, [], 0
+
+        def close() -> pa.RecordBatch:
+            name = f"part-{task:05d}-{count:05d}.ply"
+            own = f"{root}/.{name}.{uuid.uuid4().hex}"
+            with store.open_output_stream(own) as f:
+                f.write(_header(layout, waiting))
+                for part in held:
+                    f.write(part.tobytes())
+            store.move(own, f"{root}/{name}")
+            return pa.RecordBatch.from_pydict({"file": [name], "n": pa.array([waiting], pa.int64())})
+
+        for batch in batches:
+            rows = _records(layout, batch)
+            while len(rows):
+                held.append(rows[: records - waiting])
+                waiting, rows = waiting + len(held[-1]), rows[len(held[-1]) :]
+                if waiting == records:
+                    yield close()
+                    count, held, waiting = count + 1, [], 0
+        if waiting or (task == 0 and not count):  # an empty table is a file without points
+            yield close()
+
+    ship(points.sparkSession)
+    rows = staged(points, "points")
+    return staged(rows.mapInArrow(save, "file string, n long"), "files")
+
+
 def write(points: DataFrame, path: str, append: bool = False) -> int:
     """One local file, written batch by batch as the rows arrive; gives the number of points in it. The
     count in the header has a fixed width, so that appending can rewrite it in place."""
@@ -210,10 +299,6 @@ def write(points: DataFrame, path: str, append: bool = False) -> int:
     layout = _layout(points.schema)
     dtype = np.dtype([(n, TYPES[k].dtype) for _, k, names in layout for n in names])
 
-    def header(n: int) -> bytes:
-        props = "".join(f"property {NAMES[k]} {name}\n" for _, k, names in layout for name in names)
-        return f"ply\nformat binary_little_endian 1.0\nelement vertex {n:0{COUNT_DIGITS}d}\n{props}end_header\n".encode()
-
     n = 0
     if append:
         old = read_header(path)
@@ -222,20 +307,13 @@ def write(points: DataFrame, path: str, append: bool = False) -> int:
         n = old.count
     with open(path, "r+b" if append else "wb") as f:
         if append:
-            f.seek(len(header(n)) + n * dtype.itemsize)
+            f.seek(len(_header(layout, n)) + n * dtype.itemsize)
         else:
-            f.write(header(0))
+            f.write(_header(layout, 0))
         for batch in arrow_batches(points):
-            out = np.empty(batch.num_rows, dtype)
-            for column, kind, names in layout:
-                if len(names) == 1:
-                    out[names[0]] = batch.column(column).to_numpy(zero_copy_only=False).astype(TYPES[kind].dtype)
-                else:
-                    for k, name in enumerate(names):
-                        out[name] = batch.column(column).field(k).to_numpy(zero_copy_only=False).astype(TYPES[kind].dtype)
-            f.write(out.tobytes())
+            f.write(_records(layout, batch).tobytes())
             n += batch.num_rows
         f.seek(0)
-        f.write(header(n))
+        f.write(_header(layout, n))
         f.seek(0, 2)
     return n
