@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from voxelake.functions import attributes, codec, colour, geodesy, ids, s2
 from voxelake.operators import build, lod, pyramid, query, xray
 from voxelake.operators.geometry import CROSS, IN, OUT, Aabb, AllPoints, CellUnion, Cube, Frustum, Hull, MercatorRect, Obb, perspective, perspective_fov
+from voxelake.plans import pyramids
 from voxelake.plans.cloud import Client, PointCloud, Providers
 from voxelake.sources import blob, meta, ply, png, rawnode, synthetic, terrain
 from voxelake.streaming import delivery
@@ -396,6 +397,47 @@ def test_pyramid(spark, points):
     assert back.tolist() == [[[9, 9, 9, 255], [1, 2, 3, 200]]]
 
 
+def test_whole_pyramids_and_their_files(spark, points, tmp_path):
+    box = build.bounding_box(points)
+    size = max(box.diagonal[:2]) / 100
+    whole = pyramids.build(points, box, size, xray.XRay(), 32)
+    assert whole.raster.level == 2 and whole.image("r") and whole.image("r000000") is None
+    images = lambda p: {(r.level, r.tile_x, r.tile_y): bytes(r.png) for r in p.tiles.collect()}
+    want = images(whole)
+    folder = str(tmp_path / "whole")
+    assert pyramids.write(whole, folder) == len(want)
+    back = pyramids.read(spark, folder)
+    assert images(back) == want and back.raster == whole.raster
+    quarters = [pyramids.build(points, box, size, xray.XRay(), 32, root=f"r{k}") for k in range(4)]
+    for q in quarters:
+        pyramids.write(q, str(tmp_path / "parts"))
+    parts = [pyramids.read(spark, str(tmp_path / "parts"), f"r{k}") for k in range(4)]
+    assert images(parts[3]) == {k: v for k, v in want.items() if k[0] and (k[1] >> k[0] - 1, k[2] >> k[0] - 1) == (1, 1)}
+    assert images(pyramids.merge(parts)) == want
+    with pytest.raises(ValueError, match="deepest"):
+        pyramids.merge([parts[0], pyramids.build(points, box, size * 2, xray.XRay(), 32, root="r1")])
+    with pytest.raises(ValueError, match="tile sizes"):
+        pyramids.merge([parts[0], pyramids.build(points, box, size, xray.XRay(), 16, root="r1")])
+    with pytest.raises(ValueError):
+        pyramids.build(points, box, size, xray.XRay(), 32, root="r0000")
+
+
+def test_inpainting_sees_neighbouring_pyramids(spark):
+    """A quarter inpainted with its neighbours equals the same quarter of the whole, upper levels too."""
+    r = np.random.default_rng(3)
+    image = r.integers(0, 255, (64, 64, 4)).astype(np.uint8)
+    image[..., 3] = np.where(r.random((64, 64)) < 0.3, 0, 255)
+    leaf = lambda x, y: png.encode(image[(3 - y) * 16 : (4 - y) * 16, x * 16 : (x + 1) * 16])
+    made = lambda xs, ys: spark.createDataFrame([(2, x, y, leaf(x, y)) for x in xs for y in ys], pyramid.TILE_SCHEMA)
+    raster = xray.Raster((0.0, 0.0), 64.0, 2, 16)
+    whole = pyramids.inpaint(pyramids.Pyramid(made(range(4), range(4)), raster), 2)
+    halves = [(range(0, 2), range(0, 2)), (range(0, 2), range(2, 4)), (range(2, 4), range(0, 2)), (range(2, 4), range(2, 4))]
+    parts = [pyramids.Pyramid(made(*h), raster, f"r{k}") for k, h in enumerate(halves)]
+    images = lambda p: {(t.level, t.tile_x, t.tile_y): bytes(t.png) for t in p.tiles.collect()}
+    got = images(pyramids.inpaint(parts[1], 2, [parts[0], *parts[2:]]))
+    assert len(got) == 5 and got == {k: v for k, v in images(whole).items() if k in got}
+
+
 def test_inpaint(spark):
     image = np.zeros((16, 16, 4), np.uint8)
     image[2:14, 2:14] = (100, 50, 20, 255)
@@ -454,6 +496,38 @@ def test_ply_round_trip(spark, points, tmp_path):
     assert (r.x, r.y, r.z, int(r.t), r.s, r.color.blue) == (11.0, 22.0, 33.0, 2**63 + 1, -5, 9)
 
 
+def test_ply_folders(spark, points, tmp_path):
+    folder = str(tmp_path / "many")
+    flat = points.select("x", "y", "z", "color", "intensity")
+    listed = ply.write_folder(flat.repartition(3), folder, records=700).collect()
+    assert sum(r.n for r in listed) == 6000 and max(r.n for r in listed) == 700 and len(listed) > 8
+    want = rows(flat)
+    assert rows(ply.read(spark, folder)) == want
+    assert rows(ply.read(spark, f"file://{folder}/part-*.ply")) == want
+    assert ply.read(spark, f"{folder}/{listed[0].file}").count() == listed[0].n
+    empty = str(tmp_path / "empty")
+    ply.write_folder(flat.limit(0), empty)
+    assert ply.read(spark, empty).count() == 0
+    with pytest.raises(FileNotFoundError):
+        ply.files_of(f"{folder}/none*.ply")
+    ply.write_folder(flat.select("x", "y", "z"), str(tmp_path / "other"))
+    (tmp_path / "other" / "part-00000-00000.ply").rename(tmp_path / "many" / "zz.ply")
+    with pytest.raises(Exception, match="other properties"):
+        ply.read(spark, folder).count()
+
+
+def test_stored_s2_cloud(spark, globe, tmp_path):
+    cloud = build.S2Cloud(globe.points, globe.nodes, globe.box)
+    folder = str(tmp_path / "s2")
+    rawnode.write_s2(cloud, folder)
+    back = PointCloud.of_s2(rawnode.read_s2(spark, folder))
+    assert back.num_points() == globe.num_points() and rows(back.nodes.select("token", "num_points")) == rows(globe.nodes.select("token", "num_points"))
+    assert back.box == globe.box
+    where = CellUnion((s2.from_token(globe.nodes.first().token),))
+    ask = query.PointQuery([], where)
+    assert rows(back.query(ask)) == rows(globe.query(ask)) and back.query(ask).count()
+
+
 def test_raw_nodes_and_meta(spark, tree, tmp_path):
     folder = str(tmp_path / "octree")
     rawnode.write_octree(tree.points.select("node_id", "x", "y", "z", "color", "intensity"), tree.nodes, tree.box, 0.5, folder)

@@ -210,9 +210,13 @@ def build_s2(points: DataFrame, level: int = DEFAULT_S2_LEVEL) -> S2Cloud:
     if bad:
         raise ValueError("a point is not near the Earth's surface (ECEF metres are needed)")
     celled = staged(points.withColumn("leaf", s2.leaf_column(points.sparkSession, x, y, z)).withColumn("cell", s2.parent_column(F.col("leaf"), level)), "cells")
+    return S2Cloud(celled, s2_nodes(celled), bounding_box(celled))
+
+
+def s2_nodes(celled: DataFrame) -> DataFrame:
+    """Cells with their counts, boxes and tokens."""
     aggs = [f(c).alias(f"{n}_{c}") for n, f in (("min", F.min), ("max", F.max)) for c in POSITION]
-    nodes = celled.groupBy("cell").agg(F.count(F.lit(1)).alias("num_points"), *aggs).withColumn("token", s2.token_column(F.col("cell")))
-    return S2Cloud(celled, nodes, bounding_box(celled))
+    return celled.groupBy("cell").agg(F.count(F.lit(1)).alias("num_points"), *aggs).withColumn("token", s2.token_column(F.col("cell")))
 
 
 def write_clustered(df: DataFrame, path: str, key: str, mode: str = "error") -> None:

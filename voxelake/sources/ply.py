@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import fnmatch
 import io
-import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -23,6 +22,8 @@ from voxelake.functions.attributes import TYPES, type_of
 from voxelake.shipping import ship
 from voxelake.staging import staged
 
+from .files import put, store_of
+
 # The format's names of scalar types.
 SCALARS = {
     "char": "I8", "int8": "I8", "uchar": "U8", "uint8": "U8", "short": "I16", "int16": "I16", "ushort": "U16", "uint16": "U16",
@@ -93,17 +94,8 @@ def parse_header(stream: io.BufferedIOBase) -> Header:
     return h
 
 
-def _store(path: str):
-    """(file system, path on it)."""
-    from pyarrow import fs
-
-    if "://" in path or path.startswith("file:"):
-        return fs.FileSystem.from_uri(path)
-    return fs.LocalFileSystem(), path
-
-
 def _open(path: str):
-    store, where = _store(path)
+    store, where = store_of(path)
     return store.open_input_file(where)
 
 
@@ -115,11 +107,11 @@ def files_of(path: str) -> list[str]:
     if any(c in last for c in "*?["):
         folder, fits = parent or ".", last
     else:
-        store, where = _store(path)
+        store, where = store_of(path)
         if store.get_file_info(where).type != fs.FileType.Directory:
             return [path]
         folder, fits = path.rstrip("/"), "*.ply"
-    store, where = _store(folder)
+    store, where = store_of(folder)
     names = (i.base_name for i in store.get_file_info(fs.FileSelector(where)) if i.type == fs.FileType.File)
     found = sorted(n for n in names if fnmatch.fnmatchcase(n, fits) and n[0] not in "._")
     if not found:
@@ -261,18 +253,13 @@ def write_folder(points: DataFrame, folder: str, records: int = RECORDS_PER_FILE
     def save(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        store, root = _store(folder)
+        store, root = store_of(folder)
         store.create_dir(root, recursive=True)
         task, count, held, waiting = TaskContext.get().partitionId(), 0, [], 0
 
         def close() -> pa.RecordBatch:
             name = f"part-{task:05d}-{count:05d}.ply"
-            own = f"{root}/.{name}.{uuid.uuid4().hex}"
-            with store.open_output_stream(own) as f:
-                f.write(_header(layout, waiting))
-                for part in held:
-                    f.write(part.tobytes())
-            store.move(own, f"{root}/{name}")
+            put(store, root, name, _header(layout, waiting), *(part.tobytes() for part in held))
             return pa.RecordBatch.from_pydict({"file": [name], "n": pa.array([waiting], pa.int64())})
 
         for batch in batches:

@@ -12,10 +12,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelake.functions import codec
+from voxelake.functions import codec, s2
 from voxelake.functions.attributes import POSITION, TYPES, attribute_types
+from voxelake.operators.build import S2Cloud, s2_nodes
 from voxelake.operators.geometry import Cube
 from voxelake.shipping import ship
+from voxelake.staging import staged
 
 from . import meta
 
@@ -58,25 +60,27 @@ def read_node(folder: str, node: str, attributes: dict[str, str], encoding: str,
     return p, out
 
 
-def read_octree(spark: SparkSession, folder: str, attributes: dict[str, str] | None = None) -> DataFrame:
-    """All points with node_id; nodes are read by many tasks, each node by one."""
+def _parsed(folder: str) -> meta.CloudMeta:
     with open(os.path.join(folder, "meta.pb"), "rb") as f:
-        m = meta.parse(f.read())
-    kinds = attributes if attributes is not None else {"color": "U8Vec3"}
-    root = Cube.around(m.box)
-    listed = [(n, e) for n, (k, e) in m.nodes.items() if k]
+        return meta.parse(f.read())
+
+
+def _read(spark: SparkSession, folder: str, listed: list[tuple[str, str]], kinds: dict[str, str], root: Cube | None) -> DataFrame:
+    """All points of the listed (node, encoding) with node_id; nodes are read by many tasks, each by one.
+    Without a root cube positions are plain doubles."""
     ship(spark)
 
     def load(frames):
         for frame in frames:
             for node, encoding in zip(frame.node_id, frame.encoding, strict=True):
-                p, found = read_node(folder, node, kinds, encoding, root.node(node))
+                p, found = read_node(folder, node, kinds, encoding, root.node(node) if root else None)
                 out = {"node_id": node, **{c: p[:, k] for k, c in enumerate(POSITION)}}
                 for name, data in found.items():
+                    number = float if data.dtype.kind == "f" else np.int64
                     if data.ndim > 1:
-                        out |= {f"{name}_{k}": data[:, k].astype(float if data.dtype.kind == "f" else np.int64) for k in range(data.shape[1])}
+                        out |= {f"{name}_{k}": data[:, k].astype(number) for k in range(data.shape[1])}
                     else:
-                        out[name] = data.astype(float if data.dtype.kind == "f" else np.int64)
+                        out[name] = data.astype(number)
                 yield pd.DataFrame(out)
 
     fields = ["node_id string", *(f"{c} double" for c in POSITION)]
@@ -93,16 +97,42 @@ def read_octree(spark: SparkSession, folder: str, attributes: dict[str, str] | N
     return df.select(*cols)
 
 
-def write_octree(points: DataFrame, nodes: DataFrame, box, resolution: float, folder: str) -> None:
-    """Export to a folder that all executors see: each node by one task, then the metadata."""
+def read_octree(spark: SparkSession, folder: str, attributes: dict[str, str] | None = None) -> DataFrame:
+    """All points of a stored octree with node_id."""
+    m = _parsed(folder)
+    listed = [(n, e) for n, (k, e) in m.nodes.items() if k]
+    return _read(spark, folder, listed, attributes if attributes is not None else {"color": "U8Vec3"}, Cube.around(m.box))
+
+
+def read_s2(spark: SparkSession, folder: str, attributes: list[str] | None = None) -> S2Cloud:
+    """A stored S2 cloud: files named by cell tokens, of which the metadata lists cells and attributes.
+    Leaf cells are found again from the positions, so queries prune as on a cloud that was built."""
+    m = _parsed(folder)
+    kinds = {n: k for n, k in m.attributes.items() if attributes is None or n in attributes}
+    listed = [(s2.token(c), "F64") for c, n in m.cells.items() if n]
+    points = _read(spark, folder, listed, kinds, None)
+    tokens = spark.createDataFrame([(s2.token(c), c - (1 << 64) if c >> 63 else c) for c, n in m.cells.items() if n], "node_id string, cell long")
+    leaf = s2.leaf_column(spark, *map(F.col, POSITION))
+    celled = staged(points.withColumn("leaf", leaf).join(tokens, "node_id").drop("node_id"), "cells")
+    return S2Cloud(celled, s2_nodes(celled), m.box)
+
+
+def write_s2(cloud: S2Cloud, folder: str) -> None:
+    """Export to a folder that all executors see: each cell by one task, then the metadata."""
+    kinds = attribute_types(cloud.points.drop("leaf", "cell"))
+    named = cloud.points.withColumn("node_id", s2.token_column(F.col("cell"))).drop("leaf", "cell")
+    _save(named.withColumn("position_encoding", F.lit("F64")), kinds, folder, None)
+    cells = {r["cell"] % (1 << 64): r["num_points"] for r in cloud.nodes.select("cell", "num_points").collect()}
+    with open(os.path.join(folder, "meta.pb"), "wb") as f:
+        f.write(meta.serialise(meta.CloudMeta(cloud.box, cells=cells, attributes=kinds)))
+
+
+def _save(points: DataFrame, kinds: dict[str, str], folder: str, root: Cube | None) -> None:
     os.makedirs(folder, exist_ok=True)
-    kinds = attribute_types(points.drop("node_id", "level"))
     ship(points.sparkSession)
-    flat = [F.col("node_id"), *map(F.col, POSITION)]
+    flat = [F.col("node_id"), *map(F.col, POSITION), F.col("position_encoding")]
     for name, kind in kinds.items():
         flat += [F.col(f"{name}.{p}").alias(f"{name}_{k}") for k, p in enumerate(("red", "green", "blue") if kind == "U8Vec3" else ("x", "y", "z"))] if TYPES[kind].dims > 1 else [F.col(name)]
-    root = Cube.around(box)
-    encodings = nodes.select("node_id", "position_encoding")
 
     def save(rows: pd.DataFrame) -> pd.DataFrame:
         node, encoding = rows.node_id.iloc[0], rows.position_encoding.iloc[0]
@@ -110,10 +140,17 @@ def write_octree(points: DataFrame, nodes: DataFrame, box, resolution: float, fo
         for name, kind in kinds.items():
             t = TYPES[kind]
             data[name] = rows[[f"{name}_{k}" for k in range(t.dims)]].to_numpy(t.dtype) if t.dims > 1 else rows[name].to_numpy(t.dtype)
-        n = write_node(folder, node, rows[list(POSITION)].to_numpy(), data, encoding, root.node(node))
+        n = write_node(folder, node, rows[list(POSITION)].to_numpy(), data, encoding, root.node(node) if root else None)
         return pd.DataFrame([(node, n)], columns=["node_id", "bytes"])
 
-    points.select(*flat).join(encodings, "node_id").groupBy("node_id").applyInPandas(save, "node_id string, bytes long").agg(F.sum("bytes")).collect()
+    points.select(*flat).groupBy("node_id").applyInPandas(save, "node_id string, bytes long").agg(F.sum("bytes")).collect()
+
+
+def write_octree(points: DataFrame, nodes: DataFrame, box, resolution: float, folder: str) -> None:
+    """Export to a folder that all executors see: each node by one task, then the metadata."""
+    kinds = attribute_types(points.drop("node_id", "level"))
+    encodings = nodes.select("node_id", "position_encoding")
+    _save(points.join(encodings, "node_id"), kinds, folder, Cube.around(box))
     listed = {r["node_id"]: (r["num_points"], r["position_encoding"]) for r in nodes.select("node_id", "num_points", "position_encoding").collect()}
     with open(os.path.join(folder, "meta.pb"), "wb") as f:
         f.write(meta.serialise(meta.CloudMeta(box, resolution, listed)))
