@@ -6,9 +6,10 @@ import __spark_entry__
 import duckdb
 import pytest
 
-from voxelake import catalogue
+from voxelake import catalogue, catalogue_nodes
 
-ORACLE = catalogue.oracle_sql()
+ORACLE = catalogue.oracle_sql() | catalogue_nodes.oracle_sql()
+QUERIES = catalogue.queries() | catalogue_nodes.queries()
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +22,7 @@ def tables(sf):
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_rows_equal_sql(spark, sf, tables, name):
-    df = catalogue.queries()[name](spark, sf)
+    df = QUERIES[name](spark, sf)
     found = tables.execute(ORACLE[name])
     names = [c[0] for c in found.description]
     assert sorted(names) == sorted(df.columns)
@@ -30,9 +31,9 @@ def test_rows_equal_sql(spark, sf, tables, name):
     assert got == want and got
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(ORACLE)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_other_queries_give_rows(spark, sf, name):
-    assert catalogue.queries()[name](spark, sf).count() > 0
+    assert QUERIES[name](spark, sf).count() > 0
 
 
 def test_entry(spark):

@@ -155,6 +155,24 @@ def test_pruned_query_equals_scan(points, tree, location):
         assert len(inside) + len(cross) < cloud.nodes.where("num_points > 0").count()
 
 
+@pytest.mark.parametrize("location", LOCATIONS, ids=lambda v: type(v).__name__)
+def test_nodes_told_by_tasks_give_the_same_rows(tree, monkeypatch, location):
+    cloud, q = PointCloud.of_octree(tree), query.PointQuery(["id"], location)
+    want = rows(cloud.query(q).select("id"))
+    inside, cross = cloud.nodes_in(location)
+    told = {r["node_id"]: r["inside"] for r in cloud.related(location).collect()}
+    assert told == dict.fromkeys(inside, True) | dict.fromkeys(cross, False)
+    monkeypatch.setattr("voxelake.plans.cloud.DRIVER_NODES", 0)
+    assert rows(cloud.query(q).select("id")) == want
+
+
+def test_neighbour_paths_agree_with_ids(spark):
+    cells = spark.createDataFrame([(x, y) for x in range(4) for y in range(4)], "x long, y long")
+    for name, dx, dy in ids.DIRECTIONS:
+        for r in cells.select("x", "y", ids.neighbour_path(F.col("x"), F.col("y"), 2, dx, dy).alias("n")).collect():
+            assert r["n"] == ids.quad_neighbour(ids.quad_node(2, r["x"], r["y"]), name)
+
+
 def test_boundaries_and_nan(spark):
     df = spark.createDataFrame([(0.0, 0.0, 0.0), (1.0, 0.0, 0.0), (0.5, 0.5, 0.5), (float("nan"), 0.5, 0.5)], "x double, y double, z double")
     assert df.where(Aabb((0.0,) * 3, (1.0,) * 3).contains(*map(F.col, "xyz"))).count() == 2

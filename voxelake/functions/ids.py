@@ -118,6 +118,12 @@ def quad_path(x: Column, y: Column, depth: int) -> Column:
     return F.concat(F.lit("r"), *(digit(k) for k in range(depth - 1, -1, -1)))
 
 
+def neighbour_path(x: Column, y: Column, depth: int, dx: int, dy: int) -> Column:
+    """The quadtree node so many cells away on the same level; null beyond the border."""
+    nx, ny, last = x + dx, y + dy, (1 << depth) - 1
+    return F.when(nx.between(0, last) & ny.between(0, last), quad_path(nx, ny, depth))
+
+
 def parent_path(node: Column) -> Column:
     """Null for the root."""
     return F.when(F.length(node) > 1, F.substring(node, F.lit(1), F.length(node) - 1))

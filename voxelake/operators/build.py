@@ -145,14 +145,14 @@ def build_octree(points: DataFrame, resolution: float, order: list[str], most: i
     leaf = staged(leaf, "leaf", "_level")
     leaves = staged(leaf.groupBy("node_id").agg(F.count(F.lit(1)).alias("n")), "leaves")
     # A node of a level is a leaf or a split node, or the parent of one; each is in a cell or a few.
-    nodes = 2 * leaves.count() + sum(map(len, split)) + placed.count() // CELL_ROWS
+    most_nodes = 2 * leaves.count() + sum(map(len, split)) + placed.count() // CELL_ROWS
     final: DataFrame | None = None
     up: DataFrame | None = None
     fresh = {"_child": F.lit(0), "_at": F.lit(0).cast("long")}
     for level in range(len(split), 0, -1):
         here = leaf.where(F.col("_level") == level).drop("_level").withColumns(fresh)
         here = here if up is None else here.unionByName(up)
-        numbered = staged(sampled_up(here, "node_id", ["_child", "_at", *order], nodes), f"level{level}")
+        numbered = staged(sampled_up(here, "node_id", ["_child", "_at", *order], most_nodes), f"level{level}")
         stay = numbered.where(~F.col("_up")).drop("_up", "_child", "_at")
         final = stay if final is None else final.unionByName(stay)
         child = F.substring("node_id", -1, 1).cast("int") + 1
@@ -163,7 +163,9 @@ def build_octree(points: DataFrame, resolution: float, order: list[str], most: i
     final = final.withColumn("level", ids.path_level(F.col("node_id")))
     names = leaves.select("node_id").union(parents).distinct()
     counted = final.groupBy("node_id").agg(F.count(F.lit(1)).alias("num_points"))
-    return Octree(final, node_table(names.join(counted, "node_id", "left"), cube, resolution), box, resolution)
+    # Counted once and stored, so that queries filter a table of nodes and not the points.
+    nodes = staged(node_table(names.join(counted, "node_id", "left"), cube, resolution), "nodes")
+    return Octree(final, nodes, box, resolution)
 
 
 def node_table(counts: DataFrame, cube: Cube, resolution: float) -> DataFrame:
@@ -210,7 +212,7 @@ def build_s2(points: DataFrame, level: int = DEFAULT_S2_LEVEL) -> S2Cloud:
     if bad:
         raise ValueError("a point is not near the Earth's surface (ECEF metres are needed)")
     celled = staged(points.withColumn("leaf", s2.leaf_column(points.sparkSession, x, y, z)).withColumn("cell", s2.parent_column(F.col("leaf"), level)), "cells")
-    return S2Cloud(celled, s2_nodes(celled), bounding_box(celled))
+    return S2Cloud(celled, staged(s2_nodes(celled), "nodes"), bounding_box(celled))
 
 
 def s2_nodes(celled: DataFrame) -> DataFrame:

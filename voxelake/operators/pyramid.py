@@ -4,7 +4,7 @@ Tiles are rows (level, tile_x, tile_y, png); y counts upwards as in quadtree ids
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import lru_cache, reduce
 
 import numpy as np
@@ -33,6 +33,21 @@ def tile_images(pixels: DataFrame, level: int, tile_px: int) -> DataFrame:
     return pixels.groupBy("tile_x", "tile_y").applyInPandas(draw, TILE_SCHEMA)
 
 
+def tile_pixels(tiles: DataFrame) -> DataFrame:
+    """level, tile_x, tile_y, px, py, red, green, blue, alpha of the pixels that aren't wholly transparent."""
+    ship(tiles.sparkSession)
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for level, x, y, data in zip(frame.level, frame.tile_x, frame.tile_y, frame.png, strict=True):
+                image = png.decode(data)
+                py, px = np.nonzero(image[..., 3])
+                channels = dict(zip(("red", "green", "blue", "alpha"), image[py, px].T.astype(np.int32), strict=True))
+                yield pd.DataFrame({"level": level, "tile_x": x, "tile_y": y, "px": px.astype(np.int32), "py": py.astype(np.int32), **channels})
+
+    return tiles.select("level", "tile_x", "tile_y", "png").mapInPandas(read, "level int, tile_x int, tile_y int, px int, py int, red int, green int, blue int, alpha int")
+
+
 def on_background(image: np.ndarray, rgba: Sequence[int]) -> np.ndarray:
     """Pixels of little alpha get the background colour."""
     out = image.copy()

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -17,10 +17,14 @@ from voxelake.functions.attributes import POSITION
 from voxelake.operators import build
 from voxelake.operators.geometry import IN, OUT, Aabb, CellUnion, Cube, Location
 from voxelake.operators.query import PointQuery, within
+from voxelake.shipping import ship
+from voxelake.staging import staged
 from voxelake.streaming.delivery import POINTS_PER_BATCH, for_each_batch
 
 #: Node ids up to this many are an IN list, which skips row groups; more are joined.
 INLINE_NODES = 1000
+#: Up to so many nodes near a location are told on the driver, more by tasks.
+DRIVER_NODES = 20_000
 #: What an index adds to the attributes.
 INDEX_COLUMNS = ("node_id", "level", "cell", "leaf")
 
@@ -56,11 +60,20 @@ class PointCloud:
         low, high = json.loads(meta["box"])
         return cls(spark.read.parquet(f"{path}/points"), spark.read.parquet(f"{path}/nodes"), meta["key"], Aabb(tuple(low), tuple(high)))
 
-    def nodes_in(self, location: Location) -> tuple[list, list]:
-        """(inside, crossing): node keys by their boxes' relation. Metadata of nodes comes to the driver;
-        it is as many rows as points / points of a node."""
+    def _near(self, location: Location) -> DataFrame:
+        """The nodes with points whose boxes meet the location's bounds: comparisons that the scan can use."""
+        nodes = self.nodes.where("num_points > 0")
+        for c, low, high in zip(POSITION, *bounds, strict=True) if (bounds := location.bounds()) is not None else ():
+            nodes = nodes.where((F.col(f"min_{c}") <= float(high)) & (F.col(f"max_{c}") >= float(low)))
+        return nodes
+
+    def nodes_in(self, location: Location) -> tuple[list, list] | None:
+        """(inside, crossing): node keys by their boxes' relation, told on the driver; None if more than
+        DRIVER_NODES are near."""
         cols = [f"{e}_{c}" for e in ("min", "max") for c in POSITION]
-        table = self.nodes.where("num_points > 0").select(self.key, *cols).toArrow()
+        table = self._near(location).select(self.key, *cols).limit(DRIVER_NODES + 1).toArrow()
+        if table.num_rows > DRIVER_NODES:
+            return None
         if not table.num_rows:
             return [], []
         low, high = (np.stack([table[f"{e}_{c}"].to_numpy() for c in POSITION], -1) for e in ("min", "max"))
@@ -69,6 +82,23 @@ class PointCloud:
         # A half-open box may leave out points on its upper faces, so only boxes well inside skip the test.
         return [k for k, r in zip(keys, rel, strict=True) if r == IN], [k for k, r in zip(keys, rel, strict=True) if r not in (IN, OUT)]
 
+    def related(self, location: Location) -> DataFrame:
+        """``key``, ``inside`` of the nodes with points that the location meets, told by the tasks that read the
+        nodes table."""
+        cols = [f"{e}_{c}" for e in ("min", "max") for c in POSITION]
+        kind = self.nodes.schema[self.key].dataType.simpleString()
+        ship(self.nodes.sparkSession)
+
+        def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                low, high = (np.stack([batch.column(f"{e}_{c}").to_numpy() for c in POSITION], -1) for e in ("min", "max"))
+                rel = np.array(location.relations(low, high) if len(low) else [], dtype=str)
+                out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(rel == IN)], ["key", "inside"])
+                yield out.filter(pa.array(rel != OUT))
+
+        found = self._near(location).select(self.key, *cols).mapInArrow(tell, f"key {kind}, inside boolean")
+        return found.withColumnRenamed("key", self.key)
+
     def query(self, query: PointQuery, prune: bool = True) -> DataFrame:
         """Rows of the nodes inside, and of the crossing ones those that pass the test."""
         wanted = query.check(self.points.drop(*INDEX_COLUMNS))
@@ -78,13 +108,17 @@ class PointCloud:
         else:
             test = query.location.contains(*(F.col(c) for c in POSITION))
         if prune:
-            inside, cross = self.nodes_in(query.location)
             if (bounds := query.location.bounds()) is not None:
                 # Comparisons with literals reach the scan; the test itself may be more than that.
                 for c, a, b in zip(POSITION, *bounds, strict=True):
                     points = points.where((F.col(c) >= float(a)) & (F.col(c) <= float(b)))
-            key = F.col(self.key)
-            if len(inside) + len(cross) <= INLINE_NODES:
+            key, told = F.col(self.key), self.nodes_in(query.location)
+            if told is None:
+                met = staged(self.related(query.location).select(self.key), "met")
+                few = met.count() <= build.BROADCAST_NODES
+                points = points.join(F.broadcast(met) if few else met, self.key, "left_semi")
+            elif sum(map(len, told)) <= INLINE_NODES:
+                inside, cross = told
                 found = F.lit(False)
                 if cross:
                     found = key.isin(cross) & test
@@ -92,9 +126,10 @@ class PointCloud:
                     found = found | (key.isin(inside) & self._within(query.location, test))
                 test = found
             else:
-                kind = "string" if isinstance(next(iter([*inside, *cross])), str) else "long"
-                wanted_nodes = self.points.sparkSession.createDataFrame([(k,) for k in [*inside, *cross]], f"{self.key} {kind}")
-                points = points.join(wanted_nodes, self.key, "left_semi")
+                wanted_nodes = [k for keys in told for k in keys]
+                kind = "string" if isinstance(wanted_nodes[0], str) else "long"
+                listed = self.points.sparkSession.createDataFrame([(k,) for k in wanted_nodes], f"{self.key} {kind}")
+                points = points.join(F.broadcast(listed), self.key, "left_semi")
         for name, (low, high) in query.intervals.items():
             test = test & within(F.col(name), low, high)
         return points.where(test).select(*POSITION, *wanted)
