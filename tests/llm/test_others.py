@@ -1,10 +1,11 @@
 import random
 import time
 
+import duckdb
 import numpy as np
 import pytest
 
-from voxelake.llm import decontamination, html_blocks, html_crf, html_pages, neighbours, sharding, token_shards, url_filter
+from voxelake.llm import decontamination, html_blocks, html_crf, html_pages, neighbours, registry, sharding, token_shards, url_filter
 
 # --- extraction -------------------------------------------------------------------------------
 
@@ -218,6 +219,17 @@ def test_propagation_equals_plain_iteration(spark):
         assert abs(r.trust - x[r.host]) < 1e-5 and abs(r.distrust - y[r.host]) < 1e-5
 
 
+@pytest.mark.parametrize(("name", "source"), [("op6_url_filter", "pages"), ("op9_neighbours", "embeddings")])
+def test_query_equals_sql(spark, sf, name, source):
+    con = duckdb.connect()
+    con.execute(f"create view {source} as select * from '{sf}/{source}.parquet'")
+    found = con.execute(registry.oracle_sql()[name])
+    names = [c[0] for c in found.description]
+    got = registry.queries()[name](spark, sf)
+    assert sorted(names) == sorted(got.columns)
+    assert sorted((tuple(r[c] for c in names) for r in got.collect()), key=str) == sorted(found.fetchall(), key=str)
+
+
 def test_links_spread_distrust(spark):
     pages = [(1, "http://bad.net/x", ""), (2, "http://friend.example/1", '<a class="q" href="http://bad.net/x">l</a><A HREF=//bad.net/y>m</A>'), (3, "http://calm.example/", "<a href='/own'>o</a>")]
     got = {r.page_id: r.verdict for r in url_filter.judged(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}

@@ -288,3 +288,23 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return nearest(rows, rows.where(F.col("vec_id") % 50 == 0), 5)
+
+
+def _sql(width: int = 64, k: int = 5) -> str:
+    """The exact search in plain SQL over vectors of ``width``; it equals the query wherever that misses no neighbour.
+    Products are summed in eight interleaved parts and those by pairs, as numpy sums a row."""
+
+    def total(term: str) -> str:
+        parts = ["(" + "+".join(term.format(i=i) for i in range(j + 1, width + 1, 8)) + ")" for j in range(8)]
+        while len(parts) > 1:
+            parts = [f"({a}+{b})" for a, b in zip(parts[::2], parts[1::2], strict=True)]
+        return parts[0]
+
+    return f"""with fine as (select vec_id, v from (select distinct vec_id, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings where vec_id is not null and embedding is not null) a
+ where len(v) = {width} and len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0),
+rows as (select vec_id, v, sqrt({total('v[{i}]*v[{i}]')}) as norm from fine),
+pairs as (select q.vec_id as query_id, p.vec_id as vec_id, {total('p.v[{i}]*q.v[{i}]')}/(p.norm*q.norm) as score from rows q join rows p on q.vec_id % 50 = 0 and p.vec_id <> q.vec_id)
+select query_id, cast(rank as int) as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from pairs) b where rank <= {k}"""
+
+
+ORACLE_SQL = _sql()

@@ -33,6 +33,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """The others train models, hash as SQL engines don't, or iterate until they converge; tests hold them
-    to plain versions."""
-    return {"op4_near_dedup": import_module(f"{__package__}.near_dedup").ORACLE_SQL}
+    """The others train models or hash and encode as SQL engines don't; tests hold them to plain versions."""
+    return {name: import_module(f"{__package__}.{_WHERE[name]}").ORACLE_SQL for name in ("op4_near_dedup", "op6_url_filter", "op9_neighbours")}

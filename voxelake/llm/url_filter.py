@@ -104,7 +104,7 @@ def propagate(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def judged(pages: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict, and the host's trust and distrust."""
+    """page_id, host, path, rule, verdict, and the host's trust and distrust (the query leaves those two out)."""
     own = pages.select("page_id", "html", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     known = ruled(own.select("page_id", "host", "path"), rules)
     by_host = staged(known.where("host <> ''").groupBy("host").agg(F.count_if(F.col("rule_verdict") == "allow").alias("a"), F.count_if(F.col("rule_verdict") == "block").alias("b")), "hosts")
@@ -117,4 +117,36 @@ def judged(pages: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged(table(spark, sf_dir, "pages"))
+    return judged(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _sql() -> str:
+    """The query in plain SQL: ROUNDS rounds over all hosts, so it reaches hosts up to so many links from a seed."""
+    ranked = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
+    fits = [f"(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}')" for _, h, p in ranked]
+    rule = "case " + " ".join(f"when {f} then '{r[1] + r[2]}'" for f, r in zip(fits, ranked, strict=True)) + " end"
+    ruled_as = "case " + " ".join(f"when {f} then '{r[0]}'" for f, r in zip(fits, ranked, strict=True)) + " end"
+    lower = lambda v: f"translate({v}, '{_UPPER}', '{_LOWER}')"
+    rest = lambda v: f"regexp_extract({v}, '(?s)://(.*)$', 1)"
+    host = lambda v: f"coalesce({lower(f"regexp_extract({rest(v)}, '^[^/?#]*')")}, '')"
+    link = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*["'']?((?:https?:)?//[^"''\s>]+)"""
+    return f"""with recursive own as (
+ select page_id, html, {host('url')} as host, coalesce(regexp_extract({rest('url')}, '^[^/?#]*([^?#]*)', 1), '') as path from pages),
+known as (select page_id, host, path, {rule} as rule, {ruled_as} as ruled from own),
+seeds as (select host, count(*) filter (ruled = 'allow') as a, count(*) filter (ruled = 'block') as b from known where host <> '' group by host),
+seeded as (select host, cast(a as double)/greatest(sum(a) over (), 1) as t, cast(b as double)/greatest(sum(b) over (), 1) as d from seeds),
+links as (select host as src, unnest(regexp_extract_all(html, '{link}', 1)) as link from own),
+edges as (select src, dst, cast(count(*) as double) as n from (select src, {host("case when starts_with(link, '//') then 'http:' || link else link end")} as dst from links) l
+ where src <> dst and src <> '' and dst <> '' group by src, dst),
+flow as (select src, dst, n/sum(n) over (partition by src) as forth, n/sum(n) over (partition by dst) as back from edges),
+nodes as (select h as host, coalesce(t, 0) as t, coalesce(d, 0) as d from (select src as h from edges union select dst from edges union select host from seeds) e left join seeded on seeded.host = h),
+moves as (select src as f, dst as h, forth as x, cast(0 as double) as y, cast(0 as double) as keep from flow
+ union all select dst, src, 0, back, 0 from flow union all select host, host, 0, 0, 1 from nodes),
+ranks(k, host, t, d, trust, distrust) as (select 0, host, t, d, t, d from nodes
+ union all select k+1, m.h, max(keep*t), max(keep*d), {1 - DAMPING!r}*max(keep*t)+{DAMPING}*sum(x*trust), {1 - DAMPING!r}*max(keep*d)+{DAMPING}*sum(y*distrust)
+ from ranks join moves m on m.f = ranks.host where k < {ROUNDS} group by k, m.h)
+select page_id, known.host as host, path, rule, coalesce(ruled, case when distrust > 0 and distrust >= {BLOCK_AT}*(trust+distrust) then 'block' end, 'allow') as verdict
+from known left join (select * from ranks where k = {ROUNDS}) r on r.host = known.host"""
+
+
+ORACLE_SQL = _sql()
