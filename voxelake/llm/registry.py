@@ -18,8 +18,11 @@ _WHERE = {
     "op8_sharding": "sharding",
     "op9_neighbours": "neighbours",
     "op10_toxicity": "toxicity",
+    "op11_quality_rules": "quality_rules",
 }
 
+_WITH_SQL = ("op4_near_dedup", "op6_url_filter", "op9_neighbours", "op11_quality_rules")
+
 
 def _lazy(module: str, name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,4 +37,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """The others train models or hash and encode as SQL engines don't; tests hold them to plain versions."""
-    return {name: import_module(f"{__package__}.{_WHERE[name]}").ORACLE_SQL for name in ("op4_near_dedup", "op6_url_filter", "op9_neighbours")}
+    return {name: import_module(f"{__package__}.{_WHERE[name]}").ORACLE_SQL for name in _WITH_SQL}
