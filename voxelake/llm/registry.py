@@ -19,10 +19,11 @@ _WHERE = {
     "op9_neighbours": "neighbours",
     "op10_toxicity": "toxicity",
     "op11_quality_rules": "quality_rules",
+    "op12_conversations": "conversations",
     "op13_merkle": "merkle",
 }
 
-_WITH_SQL = ("op4_near_dedup", "op6_url_filter", "op9_neighbours", "op11_quality_rules", "op13_merkle")
+_WITH_SQL = ("op4_near_dedup", "op6_url_filter", "op9_neighbours", "op11_quality_rules", "op12_conversations", "op13_merkle")
 
 
 def _lazy(module: str, name: str) -> Callable[[SparkSession, str], DataFrame]:
