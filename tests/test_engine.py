@@ -1,3 +1,4 @@
+import heapq
 import math
 
 import numpy as np
@@ -6,7 +7,9 @@ from pyspark.sql import functions as F
 
 from voxelake.functions import attributes, codec, colour, geodesy, ids, s2
 from voxelake.operators import build, lod, pyramid, query, xray
-from voxelake.operators.geometry import CROSS, IN, OUT, Aabb, AllPoints, CellUnion, Cube, Frustum, Hull, MercatorRect, Obb, perspective, perspective_fov
+from voxelake.operators.geometry import (
+    CROSS, IN, OUT, Aabb, AllPoints, CellUnion, Cube, Frustum, Hull, MercatorRect, Obb, box_columns, box_corners, perspective, perspective_fov,
+)
 from voxelake.plans import pyramids
 from voxelake.plans.cloud import Client, PointCloud, Providers
 from voxelake.sources import blob, meta, ply, png, rawnode, synthetic, terrain
@@ -116,20 +119,53 @@ def test_s2_cells():
     assert s2.normalised(s2.children(up)) == [up] and s2.normalised([up, *s2.children(up)]) == [up]
 
 
+def test_leaf_cells_as_columns(spark):
+    """All over the Earth, and at poles, face borders and corners, the centre and a NaN."""
+    r = np.random.default_rng(8)
+    p = r.standard_normal((20_000, 3)) * 6.4e6
+    p[:2000, 1] = p[:2000, 0]
+    p[2000:4000, 2] = -p[2000:4000, 1]
+    special = np.array([v for v in np.ndindex(3, 3, 3)], float) - 1
+    p = np.concatenate([p, special, special * 6.4e6])
+    df = spark.createDataFrame([(k, *map(float, v)) for k, v in enumerate(p)], "k long, x double, y double, z double")
+    found = df.select("k", s2.leaf_column(*map(F.col, "xyz")).alias("leaf"))
+    assert "Python" not in found._jdf.queryExecution().toString()
+    assert [x["leaf"] for x in found.orderBy("k").collect()] == s2.leaf_cells(p).view(np.int64).tolist()
+    nan = spark.createDataFrame([(float("nan"), 1.0, 1.0), (None, 1.0, 1.0)], "x double, y double, z double")
+    assert [x[0] for x in nan.select(s2.leaf_column(*map(F.col, "xyz"))).collect()] == [None, None]
+
+
 # --- geometry -----------------------------------------------------------------------------------
 
 
-def test_separating_axes():
+def how(spark, location, low, high):
+    """The relation of each box to a location."""
+    boxes = [(k, *map(float, (*a, *b))) for k, (a, b) in enumerate(zip(low, high, strict=True))]
+    df = spark.createDataFrame(boxes, "k int, " + ", ".join(f"{e}_{c} double" for e in ("min", "max") for c in "xyz"))
+    return [r[0] for r in df.orderBy("k").select(location.relation(*box_columns())).collect()]
+
+
+def plain_relation(location, low, high):
+    """Of one box, by the corners of both."""
+    hull, box = location.hull(), box_corners(low, high)
+    axes = [v for v in (*hull.normals, *np.eye(3), *(np.cross(a, b) for a in hull.edges for b in np.eye(3))) if np.linalg.norm(v) > 1e-9]
+    a, b = hull.corners @ np.array(axes).T, box @ np.array(axes).T
+    if ((a.min(0) > b.max(0)) | (b.min(0) > a.max(0))).any():
+        return OUT
+    return IN if ((b.min(0) >= a.min(0)) & (b.max(0) <= a.max(0))).all() else CROSS
+
+
+def test_separating_axes(spark):
     a, b, c = (Aabb((-1.0,) * 3, (1.0,) * 3), Aabb((-0.5,) * 3, (1.5,) * 3), Aabb((-0.9,) * 3, (-0.7,) * 3))
-    rel = lambda x, y: x.relations(np.array([y.low]), np.array([y.high]))[0]
+    rel = lambda x, y: how(spark, x, [y.low], [y.high])[0]
     assert rel(a, b) == CROSS and rel(a, c) == IN and rel(c, a) == CROSS
     assert rel(b, Aabb((-3.0,) * 3, (-2.0,) * 3)) == OUT and rel(a, Aabb((1.0,) * 3, (2.0,) * 3)) == CROSS  # touching
 
 
-def test_frustum_of_pose():
+def test_frustum_of_pose(spark):
     turn = np.diag([1.0, -1.0, -1.0, 1.0])
     f = Frustum.of_pose(turn, perspective(-0.5, 0.0, -0.5, 0.0, 1.0, 4.0))
-    assert f.relations(np.array([[-0.5, 0.25, 1.5]]), np.array([[-0.25, 0.5, 3.5]])) == [IN]
+    assert how(spark, f, [[-0.5, 0.25, 1.5]], [[-0.25, 0.5, 3.5]]) == [IN]
     with pytest.raises(ValueError):
         perspective(1, 0, 0, 1, 1, 2)
     assert Frustum.of_matrix(np.zeros((4, 4))) is None
@@ -162,8 +198,9 @@ def test_nodes_told_by_tasks_give_the_same_rows(tree, monkeypatch, location):
     inside, cross = cloud.nodes_in(location)
     told = {r["node_id"]: r["inside"] for r in cloud.related(location).collect()}
     assert told == dict.fromkeys(inside, True) | dict.fromkeys(cross, False)
-    monkeypatch.setattr("voxelake.plans.cloud.DRIVER_NODES", 0)
-    assert rows(cloud.query(q).select("id")) == want
+    monkeypatch.setattr("voxelake.plans.cloud.INLINE_NODES", 0)
+    assert cloud.nodes_in(location) is None and rows(cloud.query(q).select("id")) == want
+    assert "Python" not in cloud.related(location)._jdf.queryExecution().toString()
 
 
 def test_neighbour_paths_agree_with_ids(spark):
@@ -207,8 +244,8 @@ def test_mercator_rect(spark):
     assert df.where(wrapped.contains(*map(F.col, "xyz"))).count() == (((mx >= 0.9) | (mx < 0.1)) & (my >= 0.3) & (my < 0.7)).sum()
     small = MercatorRect.of_pixels((84253.0, 203324.0), (84300.0, 203370.0), 11)
     centre = geodesy.ecef_np(*geodesy.unmercator_np((small.west + small.east) / 2, (small.north + small.south) / 2), 50.0)
-    assert small.relations(centre[None] - 1, centre[None] + 1) == [CROSS]
-    assert small.relations(-centre[None] - 1, -centre[None] + 1) == [OUT]
+    assert how(spark, small, centre[None] - 1, centre[None] + 1) == [CROSS]
+    assert how(spark, small, -centre[None] - 1, -centre[None] + 1) == [OUT]
 
 
 def test_token_of_no_cell(spark):
@@ -245,7 +282,7 @@ def test_pruned_globe_equals_scan(globe):
         q = query.PointQuery(["id"], location)
         got = rows(globe.query(q).select("id"))
         assert got == rows(globe.query(q, prune=False).select("id")) == rows(q.run(globe.points).select("id")), location
-        found, few = found + len(got), few + (sum(map(len, globe.nodes_in(location))) < globe.nodes.count() / 4)
+        found, few = found + len(got), few + (globe.related(location).count() < globe.nodes.count() / 4)
     assert found > 1000 and few >= 5
     x = 6378137.0
     for location in (Aabb((-x, 0.0, 0.0), (0.0, x, x)), Obb((0.0, 0.0, x), ((0.6, -0.8, 0.0), (0.8, 0.6, 0.0), (0.0, 0.0, 1.0)), (x, x / 2, x / 2))):
@@ -263,6 +300,15 @@ def test_pruned_cells_equal_scan(globe):
         assert "Python" not in found._jdf.queryExecution().toString() and "Arrow" not in found._jdf.queryExecution().toString()
 
 
+def test_relations_equal_plain(spark):
+    r = np.random.default_rng(4)
+    low = r.uniform(-70, 60, (300, 3)) * [1, 1, 0.5]
+    high = low + r.uniform(0, 40, (300, 3))
+    for location in LOCATIONS[1:]:
+        want = [plain_relation(location, a, b) for a, b in zip(low, high, strict=True)]
+        assert how(spark, location, low, high) == want and len(set(want)) == 3
+
+
 def test_hulls_of_boxes_and_views():
     corners = np.array([[x, y, z] for x in (0, 2) for y in (0, 3) for z in (0, 5)], float)
     found = Hull.of_corners(corners)
@@ -292,14 +338,58 @@ def test_octree_invariants(points, tree):
     assert near.where(F.abs(F.col("x") - F.col("ex")) > 0.5).count() == 0
 
 
-@pytest.mark.parametrize(("inline", "sent"), [(0, 1_000_000), (0, 0)])
-def test_octree_of_many_nodes(spark, monkeypatch, inline, sent):
+def plain_octree(pts, cube, depth, most):
+    """Leaf and final node of each point, by loops over nodes; ``pts``: (id, x, y, z) by id."""
+
+    def path(p):
+        cells = [max(0, min((1 << depth) - 1, math.ceil((v - a) / cube.edge * (1 << depth)) - 1)) for v, a in zip(p[1:], cube.low, strict=True)]
+        return ids.octree_node(depth, *cells)
+
+    paths = {p[0]: path(p) for p in pts}
+    lists, final = {}, {}
+
+    def gather(node, own):
+        if node != "r" and (len(own) <= most or len(node) > depth):
+            return own
+        out = []
+        for k in range(8):
+            child = f"{node}{k}"
+            part = [i for i in own if paths[i].startswith(child)]
+            if part:
+                inner = gather(child, part)
+                for at, i in enumerate(inner):
+                    if at % 8 == 0:
+                        out.append(i)
+                    else:
+                        final[i] = child
+        return out
+
+    for i in gather("r", sorted(paths)):
+        final[i] = "r"
+    return final
+
+
+@pytest.mark.parametrize("most", [2, 40, 300])
+def test_octree_equals_plain(spark, most, monkeypatch):
+    monkeypatch.setattr(build, "CELL_ROWS", 10**9)
+    r = np.random.default_rng(most)
+    pts = [(k, *map(float, p)) for k, p in enumerate(np.concatenate([r.uniform(0, 100, (700, 3)), r.normal(30, 0.5, (500, 3)), np.full((60, 3), 7.0)]))]
+    df = spark.createDataFrame(pts, "id long, x double, y double, z double")
+    found = build.build_octree(df, 0.4, ["id"], most)
+    depth = build.depth_for(Cube.around(found.box).edge, 0.4)
+    want = plain_octree(pts, Cube.around(found.box), depth, most)
+    assert {r["id"]: r["node_id"] for r in found.points.collect()} == want
+    counts = {r["node_id"]: r["num_points"] for r in found.nodes.collect()}
+    assert {n: k for n, k in counts.items() if k} == {n: list(want.values()).count(n) for n in set(want.values())}
+
+
+@pytest.mark.parametrize("sent", [1_000_000, 0])
+def test_octree_of_many_nodes(spark, monkeypatch, sent):
     pts = synthetic.local_box(spark, 4000, 3).select("id", "x", "y", "z").cache()
     few = build.build_octree(pts, 0.01, ["id"], 2)
     splits = few.nodes.count() - few.nodes.where("num_points > 0").count() + few.nodes.count() // 3
     assert splits > 1000
     want, tables = sorted(few.points.select("id", "node_id").collect()), sorted(few.nodes.select("node_id", "num_points").collect())
-    monkeypatch.setattr(build, "INLINE_NODES", inline)
     monkeypatch.setattr(build, "BROADCAST_NODES", sent)
     many = build.build_octree(pts, 0.01, ["id"], 2)
     assert sorted(many.points.select("id", "node_id").collect()) == want
@@ -351,22 +441,64 @@ def test_cloud_files_and_client(spark, tree, tmp_path):
 # --- views --------------------------------------------------------------------------------------
 
 
+def plain_size(cube, clip):
+    """Area of the box around a cube's corners on screen, in the order of the Column's sums."""
+    sides = ([], [])
+    for p in box_corners(cube.low, cube.high):
+        row = lambda k: p[0] * clip[k, 0] + p[1] * clip[k, 1] + p[2] * clip[k, 2] + clip[k, 3]
+        for k in (0, 1):
+            sides[k].append(max(-1.0, min(1.0, row(k) / row(3) if row(3) else 0.0)))
+    return (max(sides[0]) - min(sides[0])) * (max(sides[1]) - min(sides[1]))
+
+
+def plain_walk(nodes, root, location):
+    """The best-first walk with a queue: the largest open node is taken, its children in view are opened."""
+    clip, heap, out = np.array(location.clip_from_query), [], []
+    heapq.heappush(heap, (-plain_size(root, clip), "r", CROSS))
+    while heap:
+        _, node, rel = heapq.heappop(heap)
+        for child in (f"{node}{k}" for k in range(8)):
+            if child in nodes:
+                cube = root.node(child)
+                inner = IN if rel == IN else plain_relation(location, cube.low, cube.high)
+                if inner != OUT:
+                    heapq.heappush(heap, (-plain_size(cube, clip), child, inner))
+        if nodes[node]:
+            out.append(node)
+    return out
+
+
 def test_visible_nodes(tree):
     nodes = {r["node_id"]: r["num_points"] for r in tree.nodes.collect()}
     clip, root = np.array(LOCATIONS[3].clip_from_query), Cube.around(tree.box)
-    got = lod.visible_nodes(nodes, root, clip)
-    seen = set()
-    for n in sorted(nodes, key=len):
-        cube = root.node(n)
-        if n == "r" or n[:-1] in seen and LOCATIONS[3].relations(np.array([cube.low]), np.array([cube.high]))[0] != OUT:
-            seen.add(n)
-    assert set(got) == {n for n in seen if nodes[n]} and got[0] == "r"
+    found = lod.visible_nodes(tree.nodes, clip)
+    got = [r["node_id"] for r in found.orderBy("rank").collect()]
+    assert got == plain_walk(nodes, root, LOCATIONS[3]) and got[0] == "r" and len(got) > 5
     top = lod.top_nodes(tree.nodes, clip, 5).collect()
-    sizes = sorted((-lod.screen_size(root.node(n), clip), n) for n in nodes if nodes[n])[:5]
+    sizes = sorted((-plain_size(root.node(n), clip), n) for n in nodes if nodes[n])[:5]
     assert np.allclose([r.screen_size for r in top], [-s for s, _ in sizes])
     assert lod.next_budget(100, 10) == 90 and lod.next_budget(100, 30) == 110 and lod.level_for_zoom(1000, 256, 5) == 2
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_walk_of_random_trees(spark, seed):
+    """Deep, thin trees with empty nodes, seen from close by, where children are often larger on screen than parents."""
+    r = np.random.default_rng(seed)
+    nodes, open_ = {"r": 1}, ["r"]
+    while len(nodes) < 600:
+        node = open_[r.integers(len(open_))]
+        if len(node) < 9 and (child := f"{node}{r.integers(8)}") not in nodes:
+            nodes[child] = int(r.integers(3))
+            open_.append(child)
+    root = Cube((0.0, 0.0, 0.0), 64.0)
+    eye = np.eye(4)
+    eye[:3, 3] = r.uniform((20, 20, 40), (44, 44, 70))
+    view = Frustum.of_pose(eye, perspective_fov(1.0, 1.4, 0.05, 80.0))
+    table = build.node_table(spark.createDataFrame(list(nodes.items()), "node_id string, num_points long"), root, 0.01)
+    got = [x["node_id"] for x in lod.visible_nodes(table, np.array(view.clip_from_query)).orderBy("rank").collect()]
+    assert got == plain_walk(nodes, root, view) and len(got) > 20
+
+
 def test_sampling(points):
     n = lod.random_prefix(points, ["id"], 0.25).count()
     assert 1300 < n < 1700 and n == lod.random_prefix(points, ["id"], 0.25).count()
@@ -487,8 +619,8 @@ def test_octree_splits_below_level_20(spark):
     points = spark.createDataFrame([(x, 0.0, 0.0) for x in (0.0, 0.05, 0.1, 0.15, 0.2, 1e6)], "x double, y double, z double")
     cube = build.Cube.around(build.bounding_box(points))
     depth = build.depth_for(cube.edge, 0.001)
-    split = build.split_nodes(build.with_path(points, cube, depth).select("path"), cube, depth, 0.001, 4)
-    assert depth == 30 and [s[-1] for s in split] == ["r" + "0" * k for k in range(23)]
+    split = build.split_nodes(points, cube, depth, 0.001, 4)
+    assert depth == 30 and sorted(r[0] for r in build.names_of(split).collect()) == ["r" + "0" * k for k in range(23)]
 
 
 # --- files, streams -------------------------------------------------------------------------------

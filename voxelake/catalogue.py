@@ -195,10 +195,7 @@ def _octree_level(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _visible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cloud = _octree(spark, sf_dir)
-    nodes = {r["node_id"]: r["num_points"] for r in cloud.nodes.select("node_id", "num_points").collect()}  # node metadata
-    found = lod.visible_nodes(nodes, cloud.root_cube(), CLIP)
-    return spark.createDataFrame([(k, n, nodes[n]) for k, n in enumerate(found)], "rank int, node_id string, num_points long")
+    return lod.visible_nodes(_octree(spark, sf_dir).nodes, CLIP).select("rank", "node_id", "num_points")
 
 
 def _top_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

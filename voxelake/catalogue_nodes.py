@@ -11,18 +11,22 @@ from pyspark.sql import functions as F
 
 from voxelake.catalogue import (
     CLIP, ECEF, EVENT, EVENT_BOX, FRUSTUM, LINE, NODE_POINTS, OBB, RASTER, RASTER_BOX, RESOLUTION, ROOT,
-    Query, _blob, _events, _key, _line, _nodes_sql, _num, _octree, _orders, _pyramid, _tiles, oracle_sql as first_sql,
+    Query, _blob, _events, _key, _line, _nodes_sql, _num, _octree, _orders, _pyramid, _screen, _tiles, oracle_sql as first_sql,
 )
 from voxelake.functions import codec, colour, geodesy, ids
 from voxelake.functions.attributes import POSITION
 from voxelake.operators import build, lod, pyramid, xray
-from voxelake.operators.geometry import Location
+from voxelake.operators.geometry import Frustum, Location, perspective_fov
 from voxelake.plans.cloud import PointCloud
 from voxelake.staging import staged
 
 DEPTH = 3
 FRAME_AT = (0.5, 0.3)  # latitude and longitude of a local frame
 VIEW = (30.0, 10.0, 60.0, 51.2)
+#: A view that looks down aslant at the raster from above.
+LOW_EYE = np.array([[0.8, 0.0, 0.6, 90.0], [0.0, 1.0, 0.0, 40.0], [-0.6, 0.0, 0.8, 60.0], [0.0, 0.0, 0.0, 1.0]])
+LOW_CLIP = perspective_fov(1.0, 0.5, 0.1, 150.0) @ np.linalg.inv(LOW_EYE)
+LOW_VIEW = Frustum.of_matrix(LOW_CLIP)
 ZOOM = 10
 DETAIL = 7
 GAMMA = 2.2
@@ -100,6 +104,11 @@ def _view(df: DataFrame) -> DataFrame:
     return pyramid.nodes_for_level(tiles, RASTER.level, RASTER.low, RASTER.edge, VIEW).select("tile_x", "tile_y", "num_points")
 
 
+def _seen_tiles(df: DataFrame) -> DataFrame:
+    tiles = xray.touched_tiles(df, RASTER, RASTER_BOX).withColumn("level", F.lit(RASTER.level))
+    return pyramid.nodes_in_view(tiles, RASTER.level, RASTER.low, RASTER.edge, LOW_VIEW).select("tile_x", "tile_y", "num_points")
+
+
 def _moving(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = lod.up_to_level(_octree(spark, sf_dir).points, 3)
     return shown.groupBy("node_id").agg(F.count(F.lit(1)).alias("num_points"))
@@ -137,6 +146,7 @@ def queries() -> dict[str, Query]:
         "nodes_meeting_obb": _events(lambda df: _meeting(df, OBB)),
         "nodes_meeting_frustum": _events(lambda df: _meeting(df, FRUSTUM)),
         "tiles_in_view": _line(_view),
+        "tiles_in_frustum": _line(_seen_tiles),
         "octree_moving_view": _moving,
         "node_blob_sizes": _blob_sizes,
         "pyramid_nodes": lambda spark, d: _pyramid(spark, d).select("node_id", "level"),
@@ -157,8 +167,9 @@ def _encoding(ratio: str) -> str:
     return f"case when {bits} <= 8 then 'U8' when {bits} <= 16 then 'U16' when {bits} <= 24 then 'F32' else 'F64' end"
 
 
-def _octree_sql(source: str, most: int) -> str:
-    """Nodes of an octree build by counts alone: of a node's points every eighth, the first included, moves up."""
+def _octree_sql(source: str, most: int, cubes: bool = False) -> str:
+    """Nodes of an octree build by counts alone: of a node's points every eighth, the first included, moves up.
+    ``cubes``: with their lower corners and edges."""
     n = 1 << SQL_LEVELS
     digit = "+".join(f"((i{c} >> {{k}}) & 1)*{v}" for c, v in zip("xyz", (4, 2, 1), strict=True))
     path = "'r'||" + "||".join(f"cast({digit.format(k=k)} as varchar)" for k in range(SQL_LEVELS - 1, -1, -1))
@@ -177,35 +188,68 @@ def _octree_sql(source: str, most: int) -> str:
     for k in range(SQL_LEVELS - 1, -1, -1):
         parts.append(f"t{k} as (select node, sum(n) as n from (select node, n from leaf where lev = {k} union all select substr(node, 1, {k + 1}), (n+7)//8 from t{k + 1}) a group by 1)")
     every = " union all ".join(f"select node as node_id, {k} as level, cast(n{'-(n+7)//8' if k else ''} as bigint) as num_points, edge/{_num(1 << k)} as side from t{k}, cube" for k in range(SQL_LEVELS + 1))
-    return f"(with {', '.join(parts)} select node_id, level, num_points, {_encoding(f'(side/{_num(RESOLUTION)})')} as position_encoding from ({every}) e) o"
+    if not cubes:
+        return f"(with {', '.join(parts)} select node_id, level, num_points, {_encoding(f'(side/{_num(RESOLUTION)})')} as position_encoding from ({every}) e) o"
+    bit = lambda k, axis: f"((cast(substr(node_id, {k + 1}, 1) as bigint)>>{2 - axis})&1)*(1<<(level-{k}))"
+    cell = lambda axis: "(" + "+".join(f"case when level >= {k} then {bit(k, axis)} else 0 end" for k in range(1, SQL_LEVELS + 1)) + ")"
+    lows = ", ".join(f"l{c}+{cell(a)}*side as min_{c}" for a, c in enumerate("xyz"))
+    return f"(with {', '.join(parts)} select node_id, level, num_points, side as edge, {lows} from ({every}) e, cube) o"
+
+
+def _visible_sql() -> str:
+    """A recursion over the levels: each node keeps, for its ancestors and itself, the least (size, id) on the way down
+    from there."""
+    seen = _corners(CLIP)
+    meets, inside = _told(seen, *_sides(seen), [f"n.min_{c}" for c in "xyz"], ["n.edge"] * 3)
+    key = "{'s': 0.0 - n.s, 'n': n.node_id}"
+    least = "list_transform(v.w, lambda x: case when x.s > -n.s or (x.s = -n.s and x.n > n.node_id) then x else " + key + " end)"
+    return f"""with recursive n as materialized (select *, {_screen()} as s from {_octree_sql(EVENT, NODE_POINTS, True)}),
+ v as (select node_id, level, num_points, [{{'s': 0.0 - s, 'n': node_id}}] as w, false as whole from n where level = 0
+  union all
+  select n.node_id, n.level, n.num_points, list_append({least}, {key}) as w, v.whole or ({inside}) as whole
+  from v join n on n.level = v.level + 1 and substr(n.node_id, 1, length(n.node_id) - 1) = v.node_id where v.whole or ({meets}))
+ select cast(row_number() over (order by w) - 1 as int) as rank, node_id, num_points from v where num_points > 0"""
+
+
+def _corners(clip: np.ndarray) -> np.ndarray:
+    """Of a view volume, numbered by their signs."""
+    seen = np.c_[np.array(list(itertools.product((-1.0, 1.0), repeat=3))), np.ones(8)] @ np.linalg.inv(clip).T
+    return seen[:, :3] / seen[:, 3:]
+
+
+def _sides(corners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges and face normals of a body of eight corners, numbered as by their signs."""
+    c = corners.reshape(2, 2, 2, 3)
+    edges = np.concatenate([np.diff(c, axis=k).reshape(-1, 3) for k in range(3)])
+    normals = []
+    for k in range(3):
+        for side in (0, 1):
+            face = np.take(c, side, k)
+            normals.append(np.cross(face[1, 0] - face[0, 0], face[0, 1] - face[0, 0]))
+    return edges, np.array(normals)
 
 
-def _meets(corners: np.ndarray, edges: np.ndarray, normals: np.ndarray) -> str:
-    """No axis parts the body from a node's box. The box spans, along an axis, half its edge times the sum of the
-    axis' parts about its centre."""
+def _told(corners: np.ndarray, edges: np.ndarray, normals: np.ndarray, lows: list[str], spans: list[str]) -> tuple[str, str]:
+    """(no axis parts the body from a box, the box is in the body's span on every axis). A box spans, along an axis,
+    half its sides times the axis' parts about its centre."""
     square = np.eye(3)
-    axes = [*normals, *square, *(np.cross(a, b) for a, b in itertools.product(edges, square))]
-    tests = []
-    for axis in axes:
+    meets, inside = [], []
+    for axis in [*normals, *square, *(np.cross(a, b) for a, b in itertools.product(edges, square))]:
         if np.linalg.norm(axis) < 1e-9:
             continue
         a = axis / np.linalg.norm(axis)
-        centre = "+".join(f"(min_{c}+edge/2)*{_num(v)}" for c, v in zip("xyz", a, strict=True))
-        reach = f"edge/2*{_num(np.abs(a).sum())}"
-        tests.append(f"({centre})+{reach} >= {_num((corners @ a).min())} and ({centre})-{reach} <= {_num((corners @ a).max())}")
-    return " and ".join(tests)
+        centre = "+".join(f"({low}+{span}/2)*{_num(v)}" for low, span, v in zip(lows, spans, a, strict=True))
+        reach = "+".join(f"{span}/2*{_num(abs(v))}" for span, v in zip(spans, a, strict=True))
+        low, high = (corners @ a).min(), (corners @ a).max()
+        meets.append(f"({centre})+({reach}) >= {_num(low)} and ({centre})-({reach}) <= {_num(high)}")
+        inside.append(f"({centre})-({reach}) >= {_num(low)} and ({centre})+({reach}) <= {_num(high)}")
+    return " and ".join(meets), " and ".join(inside)
 
 
 def _body_sql(corners: np.ndarray) -> str:
     """The nodes that meet a body of eight corners, numbered as by their signs."""
-    c = corners.reshape(2, 2, 2, 3)
-    edges = np.concatenate([np.diff(c, axis=k).reshape(-1, 3) for k in range(3)])
-    normals = []
-    for k in range(3):
-        for side in (0, 1):
-            face = np.take(c, side, k)
-            normals.append(np.cross(face[1, 0] - face[0, 0], face[0, 1] - face[0, 0]))
-    return f"select node_id from {_nodes_sql(DEPTH)} where {_meets(corners, edges, np.array(normals))}"
+    meets, _ = _told(corners, *_sides(corners), [f"min_{c}" for c in "xyz"], ["edge"] * 3)
+    return f"select node_id from {_nodes_sql(DEPTH)} where {meets}"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -247,12 +291,16 @@ def oracle_sql() -> dict[str, str]:
     q["quad_neighbours"] = f"select {path('qx', 'qy')} as node_id, direction, case when qx+dx between 0 and 31 and qy+dy between 0 and 31 then {path('(qx+dx)', '(qy+dy)')} end as neighbour from (select distinct {cell('x', 64)} as qx, {cell('y', 128)} as qy from {LINE}) c, (values {ways}) w(direction, dx, dy)"
     unit = np.array(list(itertools.product((-1.0, 1.0), repeat=3)))
     q["nodes_meeting_obb"] = _body_sql(np.array(OBB.centre) + (unit * OBB.half) @ np.array(OBB.rotation).T)
-    seen = np.c_[unit, np.ones(8)] @ np.linalg.inv(CLIP).T
-    q["nodes_meeting_frustum"] = _body_sql(seen[:, :3] / seen[:, 3:])
+    q["nodes_meeting_frustum"] = _body_sql(_corners(CLIP))
+    q["visible_nodes"] = _visible_sql()
     overlap = " and ".join(f"min_{c} <= {_num(h)} and min_{c}+edge >= {_num(a)}" for c, a, h in zip("xyz", EVENT_BOX.low, EVENT_BOX.high, strict=True))
     q["nodes_meeting_aabb"] = f"select node_id from {_nodes_sql(DEPTH)} where {overlap}"
     side = RASTER.edge / RASTER.tiles
     q["tiles_in_view"] = f"select * from ({known['touched_tiles']}) t where tile_x*{_num(side)} <= {_num(VIEW[2])} and (tile_x+1)*{_num(side)} >= {_num(VIEW[0])} and tile_y*{_num(side)} <= {_num(VIEW[3])} and (tile_y+1)*{_num(side)} >= {_num(VIEW[1])}"
+    seen = _corners(LOW_CLIP)
+    plate = [f"tile_x*{_num(side)}", f"tile_y*{_num(side)}", _num(-pyramid.PLATE)]
+    meets, _ = _told(seen, *_sides(seen), plate, [_num(side), _num(side), _num(2 * pyramid.PLATE)])
+    q["tiles_in_frustum"] = f"select * from ({known['touched_tiles']}) t where {meets}"
     width = "case position_encoding when 'U8' then 1 when 'U16' then 2 when 'F32' then 4 else 8 end"
     padded = lambda v: f"(({v}+7)//8*8)"
     q["node_blob_sizes"] = f"select node_id, num_points, cast(40+{padded('3*num_points*w')}+{padded('3*num_points')} as bigint) as n_bytes, w as coordinate_bytes from (select *, {width} as w from {_octree_sql(LINE, 5000)}) b where num_points > 0"

@@ -9,6 +9,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Levels that a node id's 120 bits of path hold.
+MAX_LEVEL = 40
 OCTREE, QUADTREE = re.compile(r"^r[0-7]*$"), re.compile(r"^r[0-3]*$")
 #: (name, dx, dy); up is +y.
 DIRECTIONS = (("left", -1, 0), ("top_left", -1, 1), ("top", 0, 1), ("top_right", 1, 1), ("right", 1, 0), ("bottom_right", 1, -1), ("bottom", 0, -1), ("bottom_left", -1, -1))

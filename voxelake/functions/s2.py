@@ -9,12 +9,9 @@ from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from voxelake.shipping import ship
-
 MAX_LEVEL, POS_BITS, LOOKUP_BITS = 30, 61, 4
 # Fixed values of the curve: cell order within each orientation, and how it changes below.
 _SWAP, _INVERT = 1, 2
@@ -145,15 +142,36 @@ def direction(cell: int) -> np.ndarray:
 # --- Columns ----------------------------------------------------------------------------------
 
 
-def leaf_column(spark: SparkSession, x: Column, y: Column, z: Column) -> Column:
-    """Leaf cell of a point, as the bit pattern in a BIGINT."""
-    ship(spark)
-
-    @F.pandas_udf("long")
-    def leaf(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
-        return pd.Series(leaf_cells(np.stack([a, b, c], -1)).view(np.int64))
-
-    return leaf(x, y, z)
+def leaf_column(x: Column, y: Column, z: Column) -> Column:
+    """Leaf cell of a point, as the bit pattern in a BIGINT: :func:`leaf_cells` as expressions; null for a NaN.
+
+    The curve is a fold over eight steps of four levels, each a look-up in a literal table."""
+    ax, ay, az = F.abs(x), F.abs(y), F.abs(z)
+    axis = F.when((ax >= ay) & (ax >= az), 0).when(ay >= az, 1).otherwise(2)
+    major = F.when(axis == 0, x).when(axis == 1, y).otherwise(z)
+    face = (axis + F.when(major < 0, 3).otherwise(0)).cast("long")
+    of_face = lambda *parts: F.try_divide(F.when(axis == 0, parts[0]).when(axis == 1, parts[1]).otherwise(parts[2]), major)
+    # Faces 3 to 5 take the other two coordinates in the other order.
+    front = major >= 0
+    u = of_face(F.when(front, y).otherwise(z), F.when(front, -x).otherwise(z), F.when(front, -x).otherwise(-y))
+    v = of_face(F.when(front, z).otherwise(y), F.when(front, z).otherwise(-x), F.when(front, -y).otherwise(-x))
+    root = lambda t: F.sqrt(F.abs(t) * 3.0 + 1.0) * 0.5
+    scale = lambda t: F.when(t >= 0, root(t)).otherwise(F.lit(1.0) - root(t))
+    top = (1 << MAX_LEVEL) - 1
+    grid = lambda t: F.greatest(F.lit(0), F.least(F.lit(top), F.coalesce(F.floor(scale(t) * float(1 << MAX_LEVEL)), F.lit(0)))).cast("long")
+    steps = F.split(F.lit(",".join(map(str, _tables()[0]))), ",").cast("array<long>")
+    start = F.struct(F.lit(0).cast("long").alias("cell"), face.bitwiseAND(_SWAP).alias("turned"), grid(u).alias("i"), grid(v).alias("j"))
+
+    def step(at: Column, shift: Column) -> Column:
+        four = lambda c, by: F.shiftleft(F.call_function("shiftright", c, shift).bitwiseAND((1 << LOOKUP_BITS) - 1), by)
+        found = F.get(steps, at["turned"].bitwiseOR(four(at["i"], LOOKUP_BITS + 2)).bitwiseOR(four(at["j"], 2)).cast("int"))
+        cell = F.shiftleft(at["cell"], 2 * LOOKUP_BITS).bitwiseOR(F.shiftright(found, 2))
+        return F.struct(cell.alias("cell"), found.bitwiseAND(3).alias("turned"), at["i"].alias("i"), at["j"].alias("j"))
+
+    shifts = F.array(*(F.lit(k * LOOKUP_BITS) for k in range(7, -1, -1)))
+    curve = F.aggregate(shifts, start, step, lambda at: at["cell"])
+    leaf = F.shiftleft(F.shiftleft(face, POS_BITS - 1).bitwiseOR(curve), 1).bitwiseOR(F.lit(1).cast("long"))
+    return F.when(F.isnan(x) | F.isnan(y) | F.isnan(z) | (x + y + z).isNull(), None).otherwise(leaf)
 
 
 def parent_column(cell: Column, level: int) -> Column:

@@ -7,8 +7,9 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelake.functions import codec, geodesy, ids, s2
@@ -19,16 +20,15 @@ from .geometry import Aabb, Cube
 
 # Points of a node that isn't split, and the share that moves up.
 MAX_POINTS_PER_NODE, SAMPLE = 100_000, 8
-#: Levels that a node id's 120 bits of path hold.
-MAX_DEPTH = 40
 DEFAULT_S2_LEVEL = 20
-#: Rows of one numbering cell of a node: larger nodes are numbered in cells, then offset.
-CELL_ROWS = 50_000
-#: Levels that one pass over the points counts.
+#: Rows of one numbering cell of a node: only nodes that the resolution keeps from splitting can be larger; they are
+#: numbered in cells, then offset.
+CELL_ROWS = 2 * MAX_POINTS_PER_NODE
+#: Levels that one pass over the points counts, and that one join tells a point's way through.
 STEP = 3
-#: Split nodes of a level up to this many are an IN list; up to the other number they are broadcast (some 40
-#: bytes each), and so are sizes and offsets of nodes; beyond it they are joined by a shuffle.
-INLINE_NODES, BROADCAST_NODES = 200, 1_000_000
+#: Tables of nodes up to so many rows (some hundred bytes each) are broadcast, by their counts; beyond it they
+#: are joined by a shuffle.
+BROADCAST_NODES = 1_000_000
 
 
 def bounding_box(points: DataFrame) -> Aabb:
@@ -42,7 +42,7 @@ def bounding_box(points: DataFrame) -> Aabb:
 
 def depth_for(edge: float, resolution: float) -> int:
     """The first level whose nodes are no longer than the resolution."""
-    return 0 if edge <= resolution else min(MAX_DEPTH, math.ceil(math.log2(edge / resolution)))
+    return 0 if edge <= resolution else min(ids.MAX_LEVEL, math.ceil(math.log2(edge / resolution)))
 
 
 def with_path(points: DataFrame, cube: Cube, depth: int, name: str = "path") -> DataFrame:
@@ -63,107 +63,174 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_NODES else df
 
 
-def _prefix(level: int):
+def _prefix(level: int, path: str = "path") -> Column:
     """Of ``path``, the node at ``level``."""
-    return F.substring("path", 1, level + 1)
+    return F.substring(path, 1, level + 1)
 
 
-def under(rows: DataFrame, level: int, nodes: list[str]) -> DataFrame:
-    """The rows whose ``path`` goes through one of ``nodes``, which are of ``level``."""
-    if len(nodes) <= INLINE_NODES:
-        return rows.where(_prefix(level).isin(nodes))
-    listed = rows.sparkSession.createDataFrame([(n,) for n in nodes], "_node string")
-    return rows.join(_small(listed, len(nodes)), _prefix(level) == F.col("_node"), "left_semi")
+def _digit(level: int, path: str = "path") -> Column:
+    """Of ``path``, the child taken at ``level``; 0 where the path is shorter."""
+    return F.coalesce(F.substring(path, level + 1, 1).try_cast("int"), F.lit(0))
 
 
-def split_nodes(paths: DataFrame, cube: Cube, depth: int, resolution: float, most: int) -> list[list[str]]:
-    """By level, the nodes that split: more than ``most`` points and longer than the resolution; the
+@dataclass
+class Splits:
+    """The nodes of one level that split, with ``below``, flags of their children and grandchildren that do; ``sizes``:
+    how many split of this level and the next ones."""
+
+    level: int
+    nodes: DataFrame
+    sizes: dict[int, int]
+
+    @property
+    def count(self) -> int:
+        return self.sizes[self.level]
+
+
+def last_split(cube: Cube, depth: int, resolution: float) -> int:
+    """The deepest level whose nodes may split."""
+    return next((k for k in range(1, depth) if cube.edge / (1 << k) <= resolution), depth) - 1
+
+
+def split_nodes(points: DataFrame, cube: Cube, depth: int, resolution: float, most: int) -> list[Splits]:
+    """Every STEP levels, the nodes that split: more than ``most`` points and longer than the resolution; the
     root always does. A pass counts the nodes of STEP levels below those that were large, so never more than
-    8 ** STEP for each of them; what comes to the driver are nodes with over ``most`` points, at most
-    rows / most for each level."""
-    split: list[list[str]] = [["r"]]
-    last = next((k for k in range(1, depth) if cube.edge / (1 << k) <= resolution), depth) - 1
-    while (level := len(split) - 1) < last:
+    8 ** STEP for each of them. Only the number of large nodes of each level comes to the driver."""
+    last = last_split(cube, depth, resolution)
+    frontier, size, level = points.sparkSession.createDataFrame([("r",)], "node string"), 1, 0
+    out = []
+    while size:
         deep = min(level + STEP, last)
-        rows = under(paths, level, split[-1]) if level else paths
-        counts = staged(rows.groupBy(_prefix(deep).alias("path")).agg(F.count(F.lit(1)).alias("n")), "counts")
-        for k in range(level + 1, deep + 1):
-            large = counts.groupBy(_prefix(k).alias("node")).agg(F.sum("n").alias("n")).where(F.col("n") > most)
-            found = sorted(r["node"] for r in large.select("node").collect())  # below large nodes, as they are large
-            if not found:
-                return split
-            split.append(found)
-    return split
-
-
-def leaf_levels(placed: DataFrame, split: list[list[str]]) -> DataFrame:
-    """Adds ``_level``, one below the deepest split node on a point's path."""
-    deepest = F.lit(1)
-    for level, nodes in enumerate(split):
-        if len(nodes) <= INLINE_NODES:
-            hit = _prefix(level).isin(nodes)
-        else:
-            listed = placed.sparkSession.createDataFrame([(n, True) for n in nodes], f"_node{level} string, _hit{level} boolean")
-            placed = placed.join(_small(listed, len(nodes)), _prefix(level) == F.col(f"_node{level}"), "left")
-            hit = F.col(f"_hit{level}").isNotNull()
-        deepest = F.when(hit, F.lit(level + 1)).otherwise(deepest)
-    helpers = [c for k in range(len(split)) for c in (f"_node{k}", f"_hit{k}")]
-    return placed.withColumn("_level", deepest).drop(*helpers)
-
-
-def sampled_up(points: DataFrame, node: str, order: list[str], nodes: int = 0) -> DataFrame:
-    """Adds ``_up``: every SAMPLE-th row of its node (from the first) moves up. Numbers are exact also
-    for nodes of any size: rows are numbered in cells of the order and offset by the counts before. Of
-    ``nodes`` (at most so many) sizes and offsets are broadcast, so the numbering is the only shuffle of the
-    rows."""
-    cell = F.pmod(F.xxhash64(*order), F.lit(1 << 30))
-    sizes = points.groupBy(node).agg(F.count(F.lit(1)).alias("_size"))
-    few = nodes or BROADCAST_NODES + 1
-    cells = F.when(F.col("_size") <= CELL_ROWS, F.lit(0)).otherwise(cell % F.ceil(F.col("_size") / CELL_ROWS))
-    celled = points.join(_small(sizes, few), node).withColumn("_cell", cells.cast("int"))
-    counts = celled.groupBy(node, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+        rows = with_path(points, cube, max(deep, level)).select("path")
+        if level:
+            rows = rows.join(_small(frontier, size), _prefix(level) == F.col("node"), "left_semi")
+        counts = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+        levels = F.explode(F.array(*(F.lit(k) for k in range(level + 1, deep + 1))) if deep > level else F.array().cast("array<int>"))
+        tiers = counts.select("path", "n", levels.alias("level")).groupBy(F.expr("substring(path, 1, level + 1)").alias("node"), "level").agg(F.sum("n").alias("n"))
+        large = staged(tiers.where(F.col("n") > most).select("node", "level"), "large")
+        sizes = {r["level"]: r["n"] for r in large.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a level
+        place = F.when(F.col("level") == level + 1, _digit(level + 1, "node")).otherwise(8 + _digit(level + 1, "node") * 8 + _digit(level + 2, "node"))
+        held = large.where(F.col("level") < level + STEP).groupBy(_prefix(level, "node").alias("_node")).agg(F.collect_set(place).alias("_at"))
+        flags = F.transform(F.sequence(F.lit(0), F.lit(71)), lambda k: F.when(F.array_contains("_at", k), "1").otherwise("0"))
+        told = frontier.join(held, F.col("node") == F.col("_node"), "left")
+        nodes = staged(told.select("node", F.coalesce(F.concat_ws("", flags), F.lit("0" * 72)).alias("below")), "splits")
+        out.append(Splits(level, nodes, {level: size} | {k: n for k, n in sizes.items() if k < level + STEP}))
+        level += STEP
+        frontier, size = large.where(F.col("level") == level).select("node"), sizes.get(level, 0)
+    return out
+
+
+def names_of(splits: list[Splits]) -> DataFrame:
+    """All nodes that split."""
+    flag = F.posexplode(F.split("below", "")).alias("_at", "_flag")
+    digits = F.when(F.col("_at") < 8, F.col("_at").cast("string")).otherwise(F.concat(F.floor((F.col("_at") - 8) / 8).cast("string"), ((F.col("_at") - 8) % 8).cast("string")))
+    found = [s.nodes.select("node", flag).where("_flag = '1'").select(F.concat("node", digits).alias("node")) for s in splits]
+    return reduce(DataFrame.unionByName, [s.nodes.select("node") for s in splits] + found)
+
+
+def with_leaf(points: DataFrame, cube: Cube, splits: list[Splits]) -> DataFrame:
+    """Adds ``node_id``: the leaf one below the deepest split node on a point's way, one join for STEP levels."""
+    placed = with_path(points, cube, splits[-1].level + STEP)
+    level = F.lit(0)
+    for s in splits:
+        below = f"_below{s.level}"
+        nodes = s.nodes.select(F.col("node").alias(f"_node{s.level}"), F.col("below").alias(below))
+        placed = placed.join(_small(nodes, s.count), _prefix(s.level) == F.col(f"_node{s.level}"), "left")
+        first, second = _digit(s.level + 1), _digit(s.level + 2)
+        flag = lambda at, below=below: F.substring(F.col(below), at + 1, F.lit(1)).cast("int")
+        deeper = F.lit(s.level + 1) + flag(first) + flag(8 + first * 8 + second)
+        level = F.when(F.col(below).isNotNull(), deeper).otherwise(level)
+    helpers = [f"_{c}{s.level}" for s in splits for c in ("node", "below")]
+    return placed.withColumn("node_id", F.substring(F.col("path"), F.lit(1), level + 1)).drop("path", *helpers)
+
+
+def numbered(points: DataFrame, node: str, order: list[str], sizes: DataFrame | None = None, most: float = math.inf) -> DataFrame:
+    """Adds ``_at``, from 0 within each node in the order of ``order``.
+
+    Numbers are exact also for nodes of any size: those above CELL_ROWS (of ``sizes``: node, _size) are numbered in
+    cells of the order and offset by the counts before. ``most``: rows that no node has more of, where that is known."""
+    plain = points.withColumn("_at", (F.row_number().over(Window.partitionBy(node).orderBy(*order)) - 1).cast("long"))
+    if most <= CELL_ROWS:
+        return plain
+    sizes = points.groupBy(node).agg(F.count(F.lit(1)).alias("_size")) if sizes is None else sizes
+    large = staged(sizes.where(F.col("_size") > CELL_ROWS).select(node, F.ceil(F.col("_size") / CELL_ROWS).alias("_cells")), "large")
+    if not (n := large.count()):
+        return plain
+    cell = F.pmod(F.xxhash64(*order), F.lit(1 << 30)) % F.col("_cells")
+    celled = points.join(_small(large, n), node, "left").withColumn("_cell", F.coalesce(cell, F.lit(0)).cast("int")).drop("_cells")
+    counts = celled.join(_small(large, n), node, "left_semi").groupBy(node, "_cell").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(node).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select(F.col(node), F.col("_cell"), before.alias("_start"))
+    starts = staged(counts.select(node, "_cell", before.alias("_start")), "starts")
     inside = F.row_number().over(Window.partitionBy(node, "_cell").orderBy(*order))
-    numbered = celled.withColumn("_in", inside).join(_small(starts, few), [node, "_cell"])
-    numbered = numbered.withColumn("_at", F.col("_start") + F.col("_in") - 1).withColumn("_up", F.col("_at") % SAMPLE == 0)
-    return numbered.drop("_cell", "_size", "_n", "_start", "_in")
+    found = celled.withColumn("_in", inside).join(_small(starts, starts.count()), [node, "_cell"], "left")
+    return found.withColumn("_at", F.coalesce("_start", F.lit(0)) + F.col("_in") - 1).drop("_cell", "_start", "_in")
+
+
+def sampled_up(points: DataFrame, node: str, order: list[str]) -> DataFrame:
+    """Adds ``_at``, a row's place in its node, and ``_up``: every SAMPLE-th row (from the first) moves up."""
+    return numbered(points, node, order).withColumn("_up", F.col("_at") % SAMPLE == 0)
+
+
+def tiers(leaves: DataFrame, deepest: int) -> DataFrame:
+    """From leaves (node_id, n) all nodes: node_id, level, n (points before an eighth moves up), up (how many do) and
+    start (their place in the parent's list, which takes its children's one after another)."""
+    leaves = leaves.withColumn("level", ids.path_level(F.col("node_id")))
+    below: DataFrame | None = None
+    out, lazy = [], []
+    for level in range(deepest, -1, -1):
+        here = leaves.where(F.col("level") == level).select("node_id", "n")
+        if below is not None:
+            here = here.unionByName(below.groupBy(F.col("_parent").alias("node_id")).agg(F.sum("up").alias("n")))
+        up = F.ceil(F.col("n") / SAMPLE).cast("long") if level else F.lit(0).cast("long")
+        here = here.select("node_id", F.lit(level).alias("level"), "n", up.alias("up"), ids.parent_path(F.col("node_id")).alias("_parent"))
+        before = Window.partitionBy("_parent").orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)  # of eight children
+        below = here.withColumn("start", F.coalesce(F.sum("up").over(before), F.lit(0)))
+        lazy.append(below)
+        if len(lazy) == STEP or not level:
+            # Later levels stand on these, so they are written every few levels.
+            done = staged(reduce(DataFrame.unionByName, lazy), "tiers")
+            out.append(done)
+            below, lazy = done.where(F.col("level") == level), []
+    return reduce(DataFrame.unionByName, out).drop("_parent")
 
 
 def build_octree(points: DataFrame, resolution: float, order: list[str], most: int = MAX_POINTS_PER_NODE, box: Aabb | None = None) -> Octree:
-    """``order``: columns that order the points totally (the order of rows within a node)."""
+    """``order``: columns that order the points totally (the order of rows within a node).
+
+    Points are shuffled once. A point's place in its leaf tells how far it moves up: a place that SAMPLE divides
+    moves to the parent, where its place is a SAMPLE-th of it behind what earlier children moved up, and so on;
+    those starts follow from the counts of nodes alone."""
+    points = staged(points, "points")
     box = box or bounding_box(points)
     cube = Cube.around(box)
     depth = max(1, depth_for(cube.edge, resolution))
-    placed = staged(with_path(points, cube, depth), "placed")
-    split = split_nodes(placed.select("path"), cube, depth, resolution, most)
-    spark = points.sparkSession
-    parents = spark.createDataFrame([(n,) for level in split for n in level], "node string")
-    leaf = leaf_levels(placed, split)
-    leaf = leaf.withColumn("node_id", F.substring(F.col("path"), F.lit(1), F.col("_level") + 1)).drop("path")
-    # Dealt out by level, so that each level of the loop reads its own points only.
-    leaf = staged(leaf, "leaf", "_level")
-    leaves = staged(leaf.groupBy("node_id").agg(F.count(F.lit(1)).alias("n")), "leaves")
-    # A node of a level is a leaf or a split node, or the parent of one; each is in a cell or a few.
-    most_nodes = 2 * leaves.count() + sum(map(len, split)) + placed.count() // CELL_ROWS
-    final: DataFrame | None = None
-    up: DataFrame | None = None
-    fresh = {"_child": F.lit(0), "_at": F.lit(0).cast("long")}
-    for level in range(len(split), 0, -1):
-        here = leaf.where(F.col("_level") == level).drop("_level").withColumns(fresh)
-        here = here if up is None else here.unionByName(up)
-        numbered = staged(sampled_up(here, "node_id", ["_child", "_at", *order], most_nodes), f"level{level}")
-        stay = numbered.where(~F.col("_up")).drop("_up", "_child", "_at")
-        final = stay if final is None else final.unionByName(stay)
-        child = F.substring("node_id", -1, 1).cast("int") + 1
-        up = numbered.where("_up").withColumns({"_child": child, "node_id": ids.parent_path(F.col("node_id"))}).drop("_up")
-    waiting = up
-    root = waiting.drop("_child", "_at")
-    final = root if final is None else final.unionByName(root)
-    final = final.withColumn("level", ids.path_level(F.col("node_id")))
-    names = leaves.select("node_id").union(parents).distinct()
-    counted = final.groupBy("node_id").agg(F.count(F.lit(1)).alias("num_points"))
-    # Counted once and stored, so that queries filter a table of nodes and not the points.
+    splits = split_nodes(points, cube, depth, resolution, most)
+    leaves = staged(with_leaf(points.select(*POSITION), cube, splits).groupBy("node_id").agg(F.count(F.lit(1)).alias("n")), "leaves")
+    sizes = {k: n for s in splits for k, n in s.sizes.items()}
+    deepest = max(sizes) + 1
+    every = tiers(leaves, deepest)
+    # The starts that a leaf's points meet on their way up.
+    level = F.explode(F.sequence(ids.path_level(F.col("node_id")), F.lit(1), F.lit(-1))).alias("_level")
+    way = leaves.where(F.length("node_id") > 1).select("node_id", level).withColumn("_over", F.expr("substring(node_id, 1, _level + 1)"))
+    way = way.join(every.select(F.col("node_id").alias("_over"), "start"), "_over").groupBy("node_id").agg(F.sort_array(F.collect_list(F.struct("_level", "start")), False).alias("_way"))
+    way = staged(way.select("node_id", F.col("_way.start").alias("_starts")), "ways")
+    # Only below the last level that may split can a leaf have more than ``most``.
+    full = most if deepest <= last_split(cube, depth, resolution) else math.inf
+    placed = numbered(with_leaf(points, cube, splits), "node_id", order, leaves.withColumnRenamed("n", "_size"), full)
+    climb = F.aggregate(
+        F.col("_starts"),
+        F.struct(F.col("_at").alias("at"), F.lit(0).alias("up"), F.lit(True).alias("on")),
+        lambda a, start: F.when(a["on"] & (a["at"] % SAMPLE == 0), F.struct((start + F.floor(a["at"] / SAMPLE)).alias("at"), (a["up"] + 1).alias("up"), F.lit(True).alias("on"))).otherwise(
+            F.struct(a["at"].alias("at"), a["up"].alias("up"), F.lit(False).alias("on"))
+        ),
+        lambda a: a["up"],
+    )
+    up = F.when(F.col("_at") % SAMPLE == 0, F.coalesce(climb, F.lit(0))).otherwise(0)
+    moved = placed.join(_small(way, 8 * sum(sizes.values())), "node_id", "left").withColumn("node_id", F.substring(F.col("node_id"), F.lit(1), F.length("node_id") - up)).drop("_starts", "_at")
+    final = staged(moved.withColumn("level", ids.path_level(F.col("node_id"))), "octree")
+    names = names_of(splits).select(F.col("node").alias("node_id")).union(leaves.select("node_id")).distinct()
+    counted = every.select("node_id", (F.col("n") - F.col("up")).alias("num_points"))
+    # Stored, so that queries filter a table of nodes and not the points.
     nodes = staged(node_table(names.join(counted, "node_id", "left"), cube, resolution), "nodes")
     return Octree(final, nodes, box, resolution)
 
@@ -174,7 +241,7 @@ def node_table(counts: DataFrame, cube: Cube, resolution: float) -> DataFrame:
     edge = F.lit(cube.edge) / F.pow(F.lit(2.0), level)
 
     def low(axis: int, start: float):
-        cell = F.aggregate(F.transform(F.filter(F.sequence(F.lit(1), F.lit(MAX_DEPTH + 1)), lambda k: k <= level), lambda k: F.substring(F.col("node_id"), k + 1, F.lit(1)).cast("int")), F.lit(0).cast("long"), lambda a, d: a * 2 + F.shiftright(d, 2 - axis).bitwiseAND(1))
+        cell = F.aggregate(F.transform(F.filter(F.sequence(F.lit(1), F.lit(ids.MAX_LEVEL + 1)), lambda k: k <= level), lambda k: F.substring(F.col("node_id"), k + 1, F.lit(1)).cast("int")), F.lit(0).cast("long"), lambda a, d: a * 2 + F.shiftright(d, 2 - axis).bitwiseAND(1))
         return F.lit(start) + cell * edge
 
     return counts.select(
@@ -211,7 +278,7 @@ def build_s2(points: DataFrame, level: int = DEFAULT_S2_LEVEL) -> S2Cloud:
     bad = points.where(~geodesy.valid_radius(x, y, z) | (x + y + z).isNull()).limit(1).count()
     if bad:
         raise ValueError("a point is not near the Earth's surface (ECEF metres are needed)")
-    celled = staged(points.withColumn("leaf", s2.leaf_column(points.sparkSession, x, y, z)).withColumn("cell", s2.parent_column(F.col("leaf"), level)), "cells")
+    celled = staged(points.withColumn("leaf", s2.leaf_column(x, y, z)).withColumn("cell", s2.parent_column(F.col("leaf"), level)), "cells")
     return S2Cloud(celled, staged(s2_nodes(celled), "nodes"), bounding_box(celled))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 import math
 
 import numpy as np
@@ -10,22 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelake.functions import ids
+from voxelake.functions.attributes import POSITION
+from voxelake.ranking import ranked
+from voxelake.staging import staged
 
-from .geometry import _BOX_AXES, CROSS, IN, OUT, Cube, Frustum, box_corners, relation, separating_axes
-
-
-def screen_size(cube: Cube, clip: np.ndarray) -> float:
-    """Area of the box around a cube's projected corners, clamped to the screen."""
-    c = np.c_[box_corners(cube.low, cube.high), np.ones(8)] @ np.asarray(clip).T
-    with np.errstate(divide="ignore", invalid="ignore"):
-        c = c[:, :2] / c[:, 3:]
-    c = np.clip(np.nan_to_num(c), -1, 1)
-    d = c.max(0) - c.min(0)
-    return float(d[0] * d[1])
+from .geometry import IN, OUT, Frustum
 
 
 def screen_size_column(clip: np.ndarray) -> Column:
-    """The same over a nodes table (min_x, min_y, min_z, edge)."""
+    """Area of the box around a cube's projected corners, clamped to the screen, over a nodes table (min_*, edge)."""
     m = np.asarray(clip, float)
     sides = ([], [])
     for dx in (0, 1):
@@ -39,35 +31,41 @@ def screen_size_column(clip: np.ndarray) -> Column:
     return (F.greatest(*sides[0]) - F.least(*sides[0])) * (F.greatest(*sides[1]) - F.least(*sides[1]))
 
 
-def visible_nodes(nodes: dict[str, int], root: Cube, clip: np.ndarray) -> list[str]:
-    """Node ids in the order of a best-first walk by screen size: a node's children are opened when it
-    is taken, those outside the view are left out, those of a node inside are inside. ``nodes``: point
-    counts by id; nodes without points are passed through but not given."""
+def visible_nodes(nodes: DataFrame, clip: np.ndarray) -> DataFrame:
+    """rank, node_id, level, num_points and screen_size of the nodes with points in a view, ranked as a best-first
+    walk by screen size meets them: the root, then always the largest node whose parent has been met. Nodes outside
+    the view are left out with all below them, those below a node inside are inside. ``nodes``: a table as
+    :func:`voxelake.operators.build.node_table` gives it, with all ancestors; empty nodes are only passed through.
+
+    The walk is told without a queue. Of two nodes that part below a common ancestor, the one comes first whose
+    least ancestor on its own side is larger (the smaller id among equals). A node keeps, for each of its ancestors
+    and itself, the least on the way down from there; a sort of those lists is the walk's order. Each level joins
+    the frontier's children to it, so only nodes whose parents are in view are met."""
     frustum = Frustum.of_matrix(clip)
     if frustum is None:
         raise ValueError("the projection has no inverse")
-    hull = frustum.hull()
-    axes = separating_axes(hull, _BOX_AXES, _BOX_AXES)
-    heap: list[tuple[float, str, str]] = []
-
-    def push(node: str, how: str) -> None:
-        if node in nodes:
-            heapq.heappush(heap, (-screen_size(root.node(node), clip), node, how))
-
-    push("r", CROSS)
-    out = []
-    while heap:
-        _, node, how = heapq.heappop(heap)
-        for k in range(8):
-            c = ids.child(node, k)
-            if c in nodes:
-                cube = root.node(c)
-                rel = IN if how == IN else relation(axes, hull.corners, box_corners(cube.low, cube.high))
-                if rel != OUT:
-                    push(c, rel)
-        if nodes[node]:
-            out.append(node)
-    return out
+    low = [F.col(f"min_{c}") for c in POSITION]
+    how = frustum.relation(low, [v + F.col("edge") for v in low])
+    # Smaller keys are met earlier.
+    key = F.struct((F.lit(0.0) - F.col("screen_size")).alias("size"), F.col("node_id").alias("node"))
+    sized = nodes.select("node_id", "level", "num_points", "edge", *(f"min_{c}" for c in POSITION), screen_size_column(clip).alias("screen_size")).withColumn("_key", key)
+    told = ["node_id", "level", "num_points", "screen_size", "_walk", "_inside"]
+    frontier = staged(sized.where("level = 0").select("*", F.array("_key").alias("_walk"), F.lit(False).alias("_inside")).select(*told), "seen")
+    seen = [frontier]
+    for level in range(1, ids.MAX_LEVEL + 1):
+        parents = frontier.select(F.col("node_id").alias("_parent"), F.col("_walk").alias("_above"), F.col("_inside").alias("_in"))
+        children = sized.where(F.col("level") == level).withColumn("_parent", ids.parent_path(F.col("node_id"))).join(parents, "_parent")
+        children = children.withColumn("_how", F.when(F.col("_in"), IN).otherwise(how)).where(F.col("_how") != OUT)
+        walk = F.array_append(F.transform("_above", lambda w: F.greatest(w, F.col("_key"))), F.col("_key"))
+        frontier = staged(children.select("*", walk.alias("_walk"), (F.col("_how") == IN).alias("_inside")).select(*told), "seen")
+        if frontier.isEmpty():
+            break
+        seen.append(frontier)
+    every = seen[0]
+    for more in seen[1:]:
+        every = every.unionByName(more)
+    found = ranked(every.where("num_points > 0").select(*told[:-1]), ["_walk"], label="walk")
+    return found.select(F.col("rank").cast("int").alias("rank"), *told[:-2])
 
 
 def top_nodes(nodes: DataFrame, clip: np.ndarray, limit: int) -> DataFrame:

@@ -17,6 +17,10 @@ from voxelake.shipping import ship
 from voxelake.sources import png
 from voxelake.staging import staged
 
+from .geometry import OUT, Location
+
+#: Half the height of the plate that a tile is to a view volume; a fixed value.
+PLATE = 0.1
 TILE_SCHEMA = "level int, tile_x int, tile_y int, png binary"
 
 
@@ -137,6 +141,15 @@ def nodes_for_level(tiles: DataFrame, level: int, low: tuple[float, float], edge
     return tiles.where((F.col("level") == level) & (x <= view[2]) & (x + side >= view[0]) & (y <= view[3]) & (y + side >= view[1]))
 
 
+def nodes_in_view(tiles: DataFrame, level: int, low: tuple[float, float], edge: float, location: Location) -> DataFrame:
+    """Tiles of a level that a view volume meets, as thin plates on the plane of height 0. A plate below one that is
+    outside is outside too, so the levels above aren't asked."""
+    side = edge / (1 << level)
+    x, y = F.col("tile_x") * side + low[0], F.col("tile_y") * side + low[1]
+    how = location.relation([x, y, F.lit(-PLATE)], [x + side, y + side, F.lit(PLATE)])
+    return tiles.where((F.col("level") == level) & (how != OUT))
+
+
 def merged(parts: Sequence[DataFrame], roots: Sequence[str], tile_px: int, background: Sequence[int] = (255, 255, 255, 255)) -> DataFrame:
     """One pyramid of partial ones with different roots of one level: their tiles, and the levels above
     the roots built anew. Of a tile in several parts that of the last is taken."""

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,16 +14,13 @@ from pyspark.sql import functions as F
 from voxelake.functions import ids
 from voxelake.functions.attributes import POSITION
 from voxelake.operators import build
-from voxelake.operators.geometry import IN, OUT, Aabb, CellUnion, Cube, Location
+from voxelake.operators.geometry import IN, OUT, Aabb, CellUnion, Cube, Location, box_columns
 from voxelake.operators.query import PointQuery, within
-from voxelake.shipping import ship
 from voxelake.staging import staged
 from voxelake.streaming.delivery import POINTS_PER_BATCH, for_each_batch
 
 #: Node ids up to this many are an IN list, which skips row groups; more are joined.
 INLINE_NODES = 1000
-#: Up to so many nodes near a location are told on the driver, more by tasks.
-DRIVER_NODES = 20_000
 #: What an index adds to the attributes.
 INDEX_COLUMNS = ("node_id", "level", "cell", "leaf")
 
@@ -67,37 +63,18 @@ class PointCloud:
             nodes = nodes.where((F.col(f"min_{c}") <= float(high)) & (F.col(f"max_{c}") >= float(low)))
         return nodes
 
+    def related(self, location: Location) -> DataFrame:
+        """``key``, ``inside`` of the nodes with points that the location meets."""
+        told = self._near(location).select(self.key, location.relation(*box_columns()).alias("_how"))
+        return told.where(F.col("_how") != OUT).select(self.key, (F.col("_how") == IN).alias("inside"))
+
     def nodes_in(self, location: Location) -> tuple[list, list] | None:
-        """(inside, crossing): node keys by their boxes' relation, told on the driver; None if more than
-        DRIVER_NODES are near."""
-        cols = [f"{e}_{c}" for e in ("min", "max") for c in POSITION]
-        table = self._near(location).select(self.key, *cols).limit(DRIVER_NODES + 1).toArrow()
-        if table.num_rows > DRIVER_NODES:
+        """(inside, crossing) node keys; None if there are more than INLINE_NODES."""
+        few = self.related(location).limit(INLINE_NODES + 1).collect()
+        if len(few) > INLINE_NODES:
             return None
-        if not table.num_rows:
-            return [], []
-        low, high = (np.stack([table[f"{e}_{c}"].to_numpy() for c in POSITION], -1) for e in ("min", "max"))
-        rel = location.relations(low, high)
-        keys = table[self.key].to_pylist()
         # A half-open box may leave out points on its upper faces, so only boxes well inside skip the test.
-        return [k for k, r in zip(keys, rel, strict=True) if r == IN], [k for k, r in zip(keys, rel, strict=True) if r not in (IN, OUT)]
-
-    def related(self, location: Location) -> DataFrame:
-        """``key``, ``inside`` of the nodes with points that the location meets, told by the tasks that read the
-        nodes table."""
-        cols = [f"{e}_{c}" for e in ("min", "max") for c in POSITION]
-        kind = self.nodes.schema[self.key].dataType.simpleString()
-        ship(self.nodes.sparkSession)
-
-        def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                low, high = (np.stack([batch.column(f"{e}_{c}").to_numpy() for c in POSITION], -1) for e in ("min", "max"))
-                rel = np.array(location.relations(low, high) if len(low) else [], dtype=str)
-                out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(rel == IN)], ["key", "inside"])
-                yield out.filter(pa.array(rel != OUT))
-
-        found = self._near(location).select(self.key, *cols).mapInArrow(tell, f"key {kind}, inside boolean")
-        return found.withColumnRenamed("key", self.key)
+        return [r[0] for r in few if r["inside"]], [r[0] for r in few if not r["inside"]]
 
     def query(self, query: PointQuery, prune: bool = True) -> DataFrame:
         """Rows of the nodes inside, and of the crossing ones those that pass the test."""
@@ -117,7 +94,7 @@ class PointCloud:
                 met = staged(self.related(query.location).select(self.key), "met")
                 few = met.count() <= build.BROADCAST_NODES
                 points = points.join(F.broadcast(met) if few else met, self.key, "left_semi")
-            elif sum(map(len, told)) <= INLINE_NODES:
+            else:
                 inside, cross = told
                 found = F.lit(False)
                 if cross:
@@ -125,11 +102,6 @@ class PointCloud:
                 if inside:
                     found = found | (key.isin(inside) & self._within(query.location, test))
                 test = found
-            else:
-                wanted_nodes = [k for keys in told for k in keys]
-                kind = "string" if isinstance(wanted_nodes[0], str) else "long"
-                listed = self.points.sparkSession.createDataFrame([(k,) for k in wanted_nodes], f"{self.key} {kind}")
-                points = points.join(F.broadcast(listed), self.key, "left_semi")
         for name, (low, high) in query.intervals.items():
             test = test & within(F.col(name), low, high)
         return points.where(test).select(*POSITION, *wanted)

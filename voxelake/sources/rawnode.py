@@ -112,7 +112,7 @@ def read_s2(spark: SparkSession, folder: str, attributes: list[str] | None = Non
     listed = [(s2.token(c), "F64") for c, n in m.cells.items() if n]
     points = _read(spark, folder, listed, kinds, None)
     tokens = spark.createDataFrame([(s2.token(c), c - (1 << 64) if c >> 63 else c) for c, n in m.cells.items() if n], "node_id string, cell long")
-    leaf = s2.leaf_column(spark, *map(F.col, POSITION))
+    leaf = s2.leaf_column(*map(F.col, POSITION))
     celled = staged(points.withColumn("leaf", leaf).join(tokens, "node_id").drop("node_id"), "cells")
     return S2Cloud(celled, s2_nodes(celled), m.box)
 
