@@ -6,10 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxelake.functions import attributes, codec, colour, geodesy, ids, s2
-from voxelake.operators import build, lod, pyramid, query, xray
+from voxelake.operators import build, lod, pyramid, query, summary, xray
 from voxelake.operators.geometry import (
     CROSS, IN, OUT, Aabb, AllPoints, CellUnion, Cube, Frustum, Hull, MercatorRect, Obb, box_columns, box_corners, perspective, perspective_fov,
 )
+from voxelake.operators.summary import Summary
 from voxelake.plans import pyramids
 from voxelake.plans.cloud import Client, PointCloud, Providers
 from voxelake.sources import blob, meta, ply, png, rawnode, synthetic, terrain
@@ -438,6 +439,58 @@ def test_cloud_files_and_client(spark, tree, tmp_path):
     assert cloud.up_to_level(0).count() == cloud.node("r").count()
 
 
+# --- summary trees ------------------------------------------------------------------------------
+
+
+def grid_nodes(spark, side):
+    """Nodes of a cubic grid of ``side`` unit cells, as an octree's table has them."""
+    depth = side.bit_length() - 1
+    cell = [F.expr(f"(id div {side**k}) % {side}").alias(c) for k, c in enumerate("xyz")]
+    cells = spark.range(side**3).select(*cell)
+    low = [F.col(c).cast("double").alias(f"min_{c}") for c in "xyz"]
+    high = [(F.col(c) + 1).cast("double").alias(f"max_{c}") for c in "xyz"]
+    return cells.select(ids.octree_path(*map(F.col, "xyz"), depth).alias("node_id"), F.lit(1).cast("long").alias("num_points"), *low, *high)
+
+
+def scanned_rows(df):
+    """Rows that the scans of a plan gave when it ran."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.finalPhysicalPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(k).metrics().apply("numOutputRows").value() for k in range(leaves.size()) if "Scan" in leaves.apply(k).nodeName())
+
+
+@pytest.mark.parametrize("inline", [1000, 0])
+def test_summary_tree_equals_scan(spark, tmp_path, monkeypatch, inline):
+    monkeypatch.setattr(summary, "INLINE_BLOCKS", inline)
+    table = grid_nodes(spark, 32 if not inline else 64)
+    box = Aabb((0.0,) * 3, (64.0,) * 3)
+    empty = spark.createDataFrame([], "node_id string, x double, y double, z double")
+    path = f"file://{tmp_path}/cloud"
+    PointCloud(empty, table.cache(), "node_id", box).write(path)
+    cloud = PointCloud.open(spark, path)
+    plain = PointCloud(empty, table, "node_id", box)
+    assert len(cloud.summary.tiers) == 2
+    assert cloud.summary.tiers[-1].agg(F.sum("num_points"), F.sum("members")).first() == (table.count(),) * 2
+    some = [Aabb((3.5, 3.5, 3.5), (6.0, 9.0, 5.0)), Obb((20.0, 20.0, 20.0), ((0.8, -0.6, 0.0), (0.6, 0.8, 0.0), (0.0, 0.0, 1.0)), (3.0, 8.0, 2.0))]
+    for location in [*some, AllPoints(), Aabb((100.0,) * 3, (101.0,) * 3), LOCATIONS[3]]:
+        assert rows(cloud.summary.related(location, "node_id")) == rows(plain.related(location)), location
+    if inline:
+        assert rows(cloud.related(some[0])) == rows(plain.related(some[0]))
+        found = cloud.related(some[0])
+        # Of 262,144 nodes some pages are read.
+        assert scanned_rows(found) <= 12 * summary.PAGE_ROWS
+        assert cloud.related(AllPoints()).where("inside").count() == 64**3
+
+
+def test_summary_of_small_tables(spark):
+    nodes = grid_nodes(spark, 4)
+    assert Summary.of(nodes.limit(0), "node_id").related(AllPoints(), "node_id").count() == 0
+    one = Summary.of(nodes, "node_id")
+    assert len(one.tiers) == 1 and one.related(AllPoints(), "node_id").count() == 64
+
+
 # --- views --------------------------------------------------------------------------------------
 
 

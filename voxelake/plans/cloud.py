@@ -16,6 +16,7 @@ from voxelake.functions.attributes import POSITION
 from voxelake.operators import build
 from voxelake.operators.geometry import IN, OUT, Aabb, CellUnion, Cube, Location, box_columns
 from voxelake.operators.query import PointQuery, within
+from voxelake.operators.summary import Summary
 from voxelake.staging import staged
 from voxelake.streaming.delivery import POINTS_PER_BATCH, for_each_batch
 
@@ -27,12 +28,14 @@ INDEX_COLUMNS = ("node_id", "level", "cell", "leaf")
 
 @dataclass
 class PointCloud:
-    """``nodes`` has a row for each node: ``key``, num_points and its box (min_*, max_*)."""
+    """``nodes`` has a row for each node: ``key``, num_points and its box (min_*, max_*). ``summary``: a tree over
+    them, which stored clouds have."""
 
     points: DataFrame
     nodes: DataFrame
     key: str
     box: Aabb
+    summary: Summary | None = None
 
     @classmethod
     def of_octree(cls, tree: build.Octree) -> PointCloud:
@@ -44,17 +47,21 @@ class PointCloud:
         return cls(cloud.points, cloud.nodes, "cell", cloud.box)
 
     def write(self, path: str) -> None:
-        """Points clustered by node, the nodes table and the box."""
+        """Points clustered by node, the nodes table with its summary tree, and the box."""
         build.write_clustered(self.points, f"{path}/points", self.key)
         self.nodes.write.parquet(f"{path}/nodes")
-        meta = [(self.key, json.dumps([self.box.low, self.box.high]))]
-        self.points.sparkSession.createDataFrame(meta, "key string, box string").coalesce(1).write.json(f"{path}/meta")
+        tree = self.summary or Summary.of(self.nodes, self.key)
+        tree.write(f"{path}/summary")
+        meta = [(self.key, json.dumps([self.box.low, self.box.high]), len(tree.tiers))]
+        self.points.sparkSession.createDataFrame(meta, "key string, box string, tiers int").coalesce(1).write.json(f"{path}/meta")
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> PointCloud:
-        meta = spark.read.schema("key string, box string").json(f"{path}/meta").first()
+        """Clouds written before there were summary trees are read without one."""
+        meta = spark.read.schema("key string, box string, tiers int").json(f"{path}/meta").first()
         low, high = json.loads(meta["box"])
-        return cls(spark.read.parquet(f"{path}/points"), spark.read.parquet(f"{path}/nodes"), meta["key"], Aabb(tuple(low), tuple(high)))
+        tree = Summary.open(spark, f"{path}/summary", meta["tiers"]) if meta["tiers"] is not None else None
+        return cls(spark.read.parquet(f"{path}/points"), spark.read.parquet(f"{path}/nodes"), meta["key"], Aabb(tuple(low), tuple(high)), tree)
 
     def _near(self, location: Location) -> DataFrame:
         """The nodes with points whose boxes meet the location's bounds: comparisons that the scan can use."""
@@ -64,7 +71,10 @@ class PointCloud:
         return nodes
 
     def related(self, location: Location) -> DataFrame:
-        """``key``, ``inside`` of the nodes with points that the location meets."""
+        """``key``, ``inside`` of the nodes with points that the location meets: down the summary tree where there is
+        one of several tiers, else by a filter of the nodes table."""
+        if self.summary is not None and len(self.summary.tiers) > 1:
+            return self.summary.related(location, self.key)
         told = self._near(location).select(self.key, location.relation(*box_columns()).alias("_how"))
         return told.where(F.col("_how") != OUT).select(self.key, (F.col("_how") == IN).alias("inside"))
 
