@@ -654,18 +654,94 @@ def test_inpaint(spark):
     got = {r.tile_x: png.decode(bytes(r.png)) for r in pyramid.inpainted(tiles, 2, 16).collect()}
     assert (got[0][:, :, :3] == 200).all() and (got[1][:, :, :3] == 200).all()
     assert pyramid.inpainted(tiles, 0, 16) is tiles
-    mixed = pyramid.blended(full, full // 2, 4)
-    assert mixed.shape == (16, 28, 4) and (np.diff(mixed[0, 11:18, 0].astype(int)) <= 0).all()
-
-
-def test_inpaint_of_wide_holes_equals_the_whole_image(spark):
-    whole = np.zeros((8, 40, 4), np.uint8)
-    whole[:, :14], whole[:, 26:] = (10, 20, 30, 255), (200, 100, 50, 255)
-    whole[2, 5:9] = 0
-    rows = [(1, k, 0, png.encode(np.ascontiguousarray(whole[:, 8 * k : 8 * k + 8]))) for k in range(5)]
-    got = {r.tile_x: png.decode(bytes(r.png)) for r in pyramid.inpainted(spark.createDataFrame(rows, pyramid.TILE_SCHEMA), 6, 8).collect()}
-    assert (np.concatenate([got[k] for k in range(5)], axis=1) == pyramid.filled(whole, 6)).all()
-    assert (pyramid.filled(whole, 6)[..., 3] == 255).all()
+
+
+def plain_matched(value, known, todo, guess, reach):
+    """Pixel by pixel."""
+    out = guess.copy()
+    h, w = known.shape
+    for y, x in np.argwhere(todo):
+        best = np.inf
+        for dy, dx in pyramid.offsets(reach):
+            if not (0 <= y + dy < h and 0 <= x + dx < w and known[y + dy, x + dx]):
+                continue
+            total = apart = 0.0
+            for ny in (-1, 0, 1):
+                for nx in (-1, 0, 1):
+                    ay, ax, by, bx = y + ny, x + nx, y + dy + ny, x + dx + nx
+                    if 0 <= ay < h and 0 <= ax < w and 0 <= by < h and 0 <= bx < w and known[by, bx]:
+                        weight = 1.0 if known[ay, ax] else pyramid.GUESSED if todo[ay, ax] else 0.0
+                        shown = value[ay, ax] if known[ay, ax] else guess[ay, ax]
+                        total += weight
+                        apart += weight * ((shown - value[by, bx]) ** 2).sum()
+            if total and apart / total < best - 1e-9:
+                best, out[y, x] = apart / total, value[y + dy, x + dx]
+    return out
+
+
+def test_texture_equals_plain():
+    r = np.random.default_rng(2)
+    value = r.integers(0, 4, (14, 15, 4)).astype(float)
+    known = r.random((14, 15)) < 0.6
+    todo = ~known & (r.random((14, 15)) < 0.8)
+    guess = r.integers(0, 4, (14, 15, 4)).astype(float)
+    assert (pyramid.matched(value, known, todo, guess, 4) == plain_matched(value, known, todo, guess, 4)).all()
+    assert len(pyramid.offsets(100)) <= pyramid.WINDOW**2 and pyramid.offsets(3)[0] == (0, 0)
+
+
+def test_texture_goes_on_in_holes():
+    """Stripes go on through a hole, where means would blur them; all filled pixels are copies."""
+    image = np.zeros((40, 40, 4), np.uint8)
+    image[..., 3] = 255
+    image[:, :, 0] = np.where(np.arange(40) // 2 % 2, 240, 10)
+    whole = image.copy()
+    image[16:22, 14:20] = 0
+    out = pyramid.synthesised(image, 3)
+    known = image[..., 3] > 0
+    assert (out[known] == image[known]).all() and set(np.unique(out[..., 0])) == {10, 240}
+    assert (out == whole)[..., 0].mean() > 0.995 > (np.abs(pyramid.filled(image, 3).astype(int) - whole)[..., 0] < 20).mean()
+    assert (pyramid.synthesised(image, 3) == out).all() and pyramid.synthesised(whole, 3) is whole
+
+
+def test_mixed_views():
+    full = np.full((4, 6, 4), 200, np.uint8)
+    got = pyramid.mixed(full, full // 2, 1)
+    assert got[0, :, 0].tolist() == [200, 180, 160, 140, 120, 100] and (pyramid.mixed(full, full, 0) == full).all()
+    gone = full.copy()
+    gone[1] = 0
+    assert (pyramid.mixed(full, gone, 1)[1] == full[1]).all() and (pyramid.mixed(gone, full, 1)[1] == full[1]).all() and not pyramid.mixed(gone, gone, 0)[1].any()
+
+
+@pytest.mark.parametrize("d", [2, 6])
+def test_views_of_both_sides_agree(spark, d):
+    """The tiles, filled and mixed in Spark, are those of a loop that mixes whole views: the right neighbour first."""
+    r = np.random.default_rng(7)
+    px, n = 16, 3
+    whole = r.integers(0, 255, (n * px, n * px, 4)).astype(np.uint8)
+    whole[..., 3] = np.where(r.random((n * px, n * px)) < 0.4, 0, 255)
+    whole[20:26, 10:22] = 0
+    margin = px // 2 if 4 * d <= px else 4 * d
+    wide = np.pad(whole, ((margin + px, margin + px), (margin + px, margin + px), (0, 0)))
+    views, cut = {}, slice(margin - px // 2, margin - px // 2 + 2 * px)
+    for x in range(n):
+        for y in range(n):
+            top, left = (n - 1 - y) * px + px, x * px + px
+            views[x, y] = pyramid.synthesised(wide[top : top + px + 2 * margin, left : left + px + 2 * margin], d)[cut, cut]
+    for axis, (sx, sy) in ((1, (1, 0)), (0, (0, -1))):
+        for (x, y), view in list(views.items()):
+            if (x + sx, y + sy) in views:
+                other = views[x + sx, y + sy]
+                a, b = (view[:, px:], other[:, :px]) if axis else (view[px:], other[:px])
+                both = pyramid.mixed(a, b, axis)
+                a[:], b[:] = both, both
+    rows_ = [(2, x, y, png.encode(whole[(n - 1 - y) * px : (n - y) * px, x * px : (x + 1) * px])) for x in range(n) for y in range(n)]
+    got = {(t.tile_x, t.tile_y): png.decode(bytes(t.png)) for t in pyramid.inpainted(spark.createDataFrame(rows_, pyramid.TILE_SCHEMA), d, px).collect()}
+    assert set(got) == set(views)
+    for at, view in views.items():
+        assert (got[at] == view[px // 2 : px // 2 + px, px // 2 : px // 2 + px]).all()
+    known = whole[..., 3] > 0
+    back = np.concatenate([np.concatenate([got[x, n - 1 - y] for x in range(n)], 1) for y in range(n)])
+    assert (back[known] == whole[known]).all()
 
 
 def test_octree_splits_below_level_20(spark):

@@ -6,6 +6,7 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ from voxelake.functions.attributes import POSITION
 from voxelake.operators import build, lod, pyramid, xray
 from voxelake.operators.geometry import Frustum, Location, perspective_fov
 from voxelake.plans.cloud import PointCloud
+from voxelake.shipping import ship
+from voxelake.sources import png
 from voxelake.staging import staged
 
 DEPTH = 3
@@ -129,6 +132,21 @@ def _background(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels.where(plain).groupBy("tile_x", "tile_y").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _seams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The right half of each tile mixed with the left half of the next one."""
+    half = RASTER.tile_px // 2
+    tiles = _tiles(spark, sf_dir)
+    pairs = tiles.join(tiles.select((F.col("tile_x") - 1).alias("tile_x"), "tile_y", F.col("png").alias("after")), ["tile_x", "tile_y"])
+
+    def mix(frames):
+        for rows in frames:
+            out = [(r.level, r.tile_x, r.tile_y, png.encode(pyramid.mixed(png.decode(r.png)[:, half:], png.decode(r.after)[:, :half], 1))) for r in rows.itertuples()]
+            yield pd.DataFrame(out, columns=["level", "tile_x", "tile_y", "png"])
+
+    ship(spark)
+    return pyramid.tile_pixels(pairs.mapInPandas(mix, pyramid.TILE_SCHEMA)).drop("level")
+
+
 def queries() -> dict[str, Query]:
     return {
         "mercator_unproject": _orders(_unproject),
@@ -152,6 +170,7 @@ def queries() -> dict[str, Query]:
         "pyramid_nodes": lambda spark, d: _pyramid(spark, d).select("node_id", "level"),
         "tile_pixels": _tile_pixels,
         "background_pixels": _background,
+        "seam_blend": _seams,
     }
 
 
@@ -307,5 +326,14 @@ def oracle_sql() -> dict[str, str]:
     drawn = f"(select distinct tile_x as tx, tile_y as ty from ({known['xray_density']}) p)"
     name = lambda k: "'r'" + "".join(f"||cast(((tx>>{b})&1)*2+((ty>>{b})&1) as varchar)" for b in range(RASTER.level - 1, RASTER.level - 1 - k, -1))
     q["pyramid_nodes"] = " union all ".join(f"select distinct {name(k)} as node_id, {k} as level from {drawn} d" for k in range(RASTER.level + 1))
+    half = RASTER.tile_px // 2
+    pixels, keys = f"({known['xray_density']})", "tile_x, tile_y, px, py"
+    first = f"(select tile_x, tile_y, px-{half} as px, py, red, green, blue, alpha from {pixels} a where px >= {half})"
+    second = f"(select tile_x-1 as tile_x, tile_y, px, py, red, green, blue, alpha from {pixels} b where px < {half})"
+    tiles = f"(select distinct tile_x, tile_y from {pixels} c)"
+    share = f"(px/{_num(half - 1)})"
+    parts = ", ".join(f"cast(case when a.alpha is null then b.{c} when b.alpha is null then a.{c} else floor(a.{c}*(1-{share})+b.{c}*{share}+0.5) end as int) as {c}" for c in (*channels, "alpha"))
+    both = f"{tiles} s join {tiles} t on t.tile_x = s.tile_x+1 and t.tile_y = s.tile_y"
+    q["seam_blend"] = f"select {keys}, {parts} from {first} a full join {second} b using ({keys}) where (tile_x, tile_y) in (select (s.tile_x, s.tile_y) from {both})"
     q["background_pixels"] = f"select tile_x, tile_y, {RASTER.tile_px ** 2}-count(*) as n from ({known['xray_density']}) p group by 1, 2"
     return q

@@ -21,6 +21,8 @@ from .geometry import OUT, Location
 
 #: Half the height of the plate that a tile is to a view volume; a fixed value.
 PLATE = 0.1
+#: Of texture: what guessed pixels count to known ones, and how many sources along a side are tried.
+GUESSED, WINDOW = 0.25, 17
 TILE_SCHEMA = "level int, tile_x int, tile_y int, png binary"
 
 
@@ -210,20 +212,109 @@ def filled(image: np.ndarray, d: int) -> np.ndarray:
     return out
 
 
+def _halved_known(value: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Means of the known pixels of each two by two, and where there are any."""
+    rows, columns = known.shape[0] // 2, known.shape[1] // 2
+    weight = known[: rows * 2, : columns * 2].reshape(rows, 2, columns, 2).astype(float)
+    total = (value[: rows * 2, : columns * 2] * known[: rows * 2, : columns * 2, None]).reshape(rows, 2, columns, 2, -1).sum((1, 3))
+    n = weight.sum((1, 3))
+    return total / np.maximum(n, 1)[..., None], n > 0
+
+
+def _patches(value: np.ndarray) -> np.ndarray:
+    """The three by three pixels around each, row by row; nothing beyond the border."""
+    wide = np.pad(value, ((1, 1), (1, 1), *[(0, 0)] * (value.ndim - 2)))
+    h, w = value.shape[:2]
+    return np.stack([wide[dy : dy + h, dx : dx + w] for dy in range(3) for dx in range(3)], 2)
+
+
+def offsets(reach: int) -> list[tuple[int, int]]:
+    """Steps to the pixels that may be copied, nearest first: of a window of ``reach`` every so many rows and columns
+    that they are at most WINDOW ** 2."""
+    step = max(1, -(-(2 * reach + 1) // WINDOW))
+    line = range(-(reach // step) * step, reach + 1, step)
+    return sorted(((dy, dx) for dy in line for dx in line), key=lambda o: (o[0] ** 2 + o[1] ** 2, o))
+
+
+def matched(value: np.ndarray, known: np.ndarray, todo: np.ndarray, guess: np.ndarray, reach: int) -> np.ndarray:
+    """``guess`` with each pixel of ``todo`` replaced by the known pixel whose surroundings are most like its own.
+
+    Surroundings are three by three pixels; those of a hole count known pixels fully and guessed ones by GUESSED, those of
+    a source only known ones. All pixels are told at once, so the result doesn't depend on an order."""
+    at = np.argwhere(todo)
+    trust = known + GUESSED * todo
+    shown = np.where(known[..., None], value, guess)
+    around, weights = _patches(shown)[todo], _patches(trust.astype(float))[todo]
+    sources, held = _patches(value), _patches(known.astype(float))
+    best, out = np.full(len(at), np.inf), guess[todo].copy()
+    for dy, dx in offsets(reach):
+        y, x = at[:, 0] + dy, at[:, 1] + dx
+        fits = np.flatnonzero((y >= 0) & (y < known.shape[0]) & (x >= 0) & (x < known.shape[1]))
+        fits = fits[known[y[fits], x[fits]]]
+        y, x = y[fits], x[fits]
+        w = weights[fits] * held[y, x]
+        total = w.sum(1)
+        apart = (w * ((around[fits] - sources[y, x]) ** 2).sum(2)).sum(1)
+        score = np.where(total > 0, apart / np.maximum(total, 1e-9), np.inf)
+        better = score < best[fits]
+        best[fits[better]], out[fits[better]] = score[better], value[y[better], x[better]]
+    found = guess.copy()
+    found[todo] = out
+    return found
+
+
+def synthesised(image: np.ndarray, d: int) -> np.ndarray:
+    """Holes of the alpha mask of up to ``2 d`` pixels, filled by texture: every filled pixel is a copy of a known one,
+    found coarse to fine. The guess at half size starts from means, and that at full size from what the coarse one found."""
+    known = image[..., 3] > 0
+    todo = closed(known, d) & ~known
+    if not todo.any():
+        return image
+    plain = filled(image, d)
+    todo &= plain[..., 3] > 0
+    value, guess = image.astype(float), plain.astype(float)
+    rough, some = _halved_known(value, known)
+    if d > 1 and some.size:
+        start, there = _halved_known(guess, todo)
+        holes = there & ~some
+        coarse = matched(rough, some, holes, np.where(some[..., None], rough, start), d + 1)
+        wide = coarse.repeat(2, 0).repeat(2, 1)
+        inner = todo[: wide.shape[0], : wide.shape[1]] & holes.repeat(2, 0).repeat(2, 1)
+        guess[: wide.shape[0], : wide.shape[1]][inner] = wide[inner]
+    out = matched(value, known, todo, guess, 2 * d + 1).round().astype(np.uint8)
+    out[known] = image[known]
+    out[~known & ~todo] = image[~known & ~todo]
+    return out
+
+
+def mixed(first: np.ndarray, second: np.ndarray, axis: int) -> np.ndarray:
+    """Two views of the same place: the share of the second grows evenly along the axis from none to all. A pixel that
+    only one of them shows is that one's."""
+    n = first.shape[axis]
+    share = (np.arange(n) / max(n - 1, 1)).reshape([-1 if k == axis else 1 for k in range(first.ndim)])
+    out = np.floor(first * (1 - share) + second * share + 0.5).astype(np.uint8)
+    out = np.where(second[..., 3:] > 0, out, first)
+    return np.where(first[..., 3:] > 0, out, second)
+
+
 def inpainted(tiles: DataFrame, d: int, tile_px: int) -> DataFrame:
-    """Leaf tiles with holes of up to ``2 d`` pixels filled across tile borders: each tile is seen with
-    its neighbours' nearest halves (nine rows a tile at most), filled, and cut out again. Where d is above
-    a quarter tile, 4 d pixels around are seen, from as many neighbours as that takes: a pixel depends on
-    none beyond 3 d, so all tiles agree on what is around a border and seams need no blending."""
+    """Leaf tiles with holes of up to ``2 d`` pixels filled across tile borders.
+
+    Each tile is seen with what is around it (its neighbours' nearest halves, nine rows a tile at most; more of
+    them where d is above a quarter tile) and filled. A tile and its neighbour then show the same place, as wide as a
+    tile, each from its own side: the two views are mixed, first with the right neighbour, then with the one below, so
+    both sides of a border come from one image. At last each tile is cut out."""
     if d == 0:
         return tiles
     ship(tiles.sparkSession)
-    margin = tile_px // 2 if 4 * d <= tile_px else 4 * d
+    half = tile_px // 2
+    margin = half if 4 * d <= tile_px else 4 * d
     reach = -(-margin // tile_px)
     near = range(-reach, reach + 1)
     spread = F.explode(F.array(*[F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for x in near for y in near]))
     seen = tiles.withColumn("to", spread).select("level", "tile_x", "tile_y", "png", (F.col("tile_x") + F.col("to.dx")).alias("tx"), (F.col("tile_y") + F.col("to.dy")).alias("ty"))
     own = tiles.select(F.col("tile_x").alias("tx"), F.col("tile_y").alias("ty"))
+    wide = tile_px + 2 * half
 
     def fill(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         big = np.zeros((len(near) * tile_px, len(near) * tile_px, 4), np.uint8)
@@ -231,15 +322,49 @@ def inpainted(tiles: DataFrame, d: int, tile_px: int) -> DataFrame:
             left, top = (x - key[0] + reach) * tile_px, (key[1] - y + reach) * tile_px
             big[top : top + tile_px, left : left + tile_px] = png.decode(b)
         cut = slice(reach * tile_px - margin, (reach + 1) * tile_px + margin)
-        out = filled(big[cut, cut], d)[margin : margin + tile_px, margin : margin + tile_px]
-        return pd.DataFrame([(int(rows.level.iloc[0]), *key, png.encode(out))], columns=["level", "tile_x", "tile_y", "png"])
+        out = synthesised(big[cut, cut], d)[margin - half : margin - half + wide, margin - half : margin - half + wide]
+        return pd.DataFrame([(int(rows.level.iloc[0]), *key, *_with_ends(out, 1))], columns=VIEW_COLUMNS)
+
+    views = staged(seen.join(own, ["tx", "ty"], "left_semi").groupBy("tx", "ty").applyInPandas(fill, VIEW_SCHEMA), "views")
+    views = staged(_exchanged(views, 1, tile_px), "views")
+    return _exchanged(views, 0, tile_px, cut=half)
+
+
+VIEW_COLUMNS = ["level", "tile_x", "tile_y", "png", "head", "tail"]
+VIEW_SCHEMA = "level int, tile_x int, tile_y int, png binary, head binary, tail binary"
+
+
+def _with_ends(view: np.ndarray, axis: int) -> tuple[bytes, bytes, bytes]:
+    """A view, and the halves of it along an axis that its neighbours show too."""
+    head, tail = np.split(view, 2, axis)
+    return png.encode(view), png.encode(np.ascontiguousarray(head)), png.encode(np.ascontiguousarray(tail))
+
+
+def _exchanged(views: DataFrame, axis: int, tile_px: int, cut: int | None = None) -> DataFrame:
+    """Views mixed with those of both neighbours along an axis (1: left and right, 0: above and below), by joins on
+    their places; only halves are moved. ``cut``: as tiles, without the margin."""
+    along, step = ("tile_x", 1) if axis else ("tile_y", -1)  # images go downwards, places upwards
+
+    def ends(name: str, half: str, shift: int) -> DataFrame:
+        other = "tile_y" if axis else "tile_x"
+        return views.select((F.col(along) + shift).alias(along), other, F.col(half).alias(name))
 
-    return seen.join(own, ["tx", "ty"], "left_semi").groupBy("tx", "ty").applyInPandas(fill, TILE_SCHEMA)
+    near = views.join(ends("before", "tail", step), ["tile_x", "tile_y"], "left").join(ends("after", "head", -step), ["tile_x", "tile_y"], "left")
 
+    def mix(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in frames:
+            out = []
+            for r in rows.itertuples():
+                head, tail = np.split(png.decode(r.png), 2, axis)
+                if r.before is not None:
+                    head = mixed(png.decode(r.before), head, axis)
+                if r.after is not None:
+                    tail = mixed(tail, png.decode(r.after), axis)
+                view = np.concatenate([head, tail], axis)
+                if cut is None:
+                    out.append((r.level, r.tile_x, r.tile_y, *_with_ends(view, 0)))
+                else:
+                    out.append((r.level, r.tile_x, r.tile_y, png.encode(np.ascontiguousarray(view[cut : cut + tile_px, cut : cut + tile_px]))))
+            yield pd.DataFrame(out, columns=VIEW_COLUMNS if cut is None else VIEW_COLUMNS[:4])
 
-def blended(left: np.ndarray, right: np.ndarray, overlap: int, axis: int = 1) -> np.ndarray:
-    """Two images whose last and first ``overlap`` rows or columns show the same: mixed by linear weights."""
-    a, b = (np.moveaxis(x.astype(float), axis, 0) for x in (left, right))
-    w = ((np.arange(overlap) + 0.5) / overlap).reshape(-1, *[1] * (a.ndim - 1))
-    mixed = a[-overlap:] * (1 - w) + b[:overlap] * w
-    return np.moveaxis(np.clip(np.rint(np.concatenate([a[:-overlap], mixed, b[overlap:]])), 0, 255).astype(np.uint8), 0, axis)
+    return near.mapInPandas(mix, VIEW_SCHEMA if cut is None else TILE_SCHEMA)
