@@ -1,5 +1,6 @@
 import heapq
 import math
+import os
 
 import numpy as np
 import pytest
@@ -812,8 +813,24 @@ def test_raw_nodes_and_meta(spark, tree, tmp_path):
     rawnode.write_octree(tree.points.select("node_id", "x", "y", "z", "color", "intensity"), tree.nodes, tree.box, 0.5, folder)
     back = rawnode.read_octree(spark, folder, {"color": "U8Vec3", "intensity": "F32"})
     assert back.count() == 6000 and back.agg(F.sum("color.blue")).first() == tree.points.agg(F.sum("color.blue")).first()
+    kinds = {"color": "U8Vec3", "intensity": "F32"}
+    counts = {r["node_id"]: r["num_points"] for r in tree.nodes.collect()}
+    some = next(n for n, k in counts.items() if k > 1)
+    assert {n: len(b) for n, b in rawnode.node_data(spark, folder, some, ["color", "intensity"]).items()} == {"color": 3 * counts[some], "intensity": 4 * counts[some]}
     with pytest.raises(rawnode.NodeNotFound):
-        rawnode.read_node(folder, "r7777777", {}, "U8", None)
+        rawnode.node_data(spark, folder, "r7777777", ["color"])
+    # By a path that only Spark's readers know.
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.nodes.link./in", f"file://{tmp_path}")
+    assert rows(rawnode.read_octree(spark, "viewfs://nodes/in/octree", kinds)) == rows(back)
+    os.rename(f"{folder}/{some}.rgb", f"{folder}/hidden")
+    with pytest.raises(Exception, match="color"):
+        rawnode.read_octree(spark, folder, kinds).count()
+    os.rename(f"{folder}/hidden", f"{folder}/{some}.rgb")
+    assert not [f for f in os.listdir(folder) if f.startswith(".r")]
+    (tmp_path / "old").mkdir()
+    (tmp_path / "old" / "meta.json").write_text("{}")
+    with pytest.raises(ValueError, match="version 3"):
+        rawnode.read_octree(spark, str(tmp_path / "old"))
     m = meta.parse(open(f"{folder}/meta.pb", "rb").read())
     assert meta.parse(meta.upgrade(meta.serialise(m))) == m and sum(n for n, _ in m.nodes.values()) == 6000
     old = meta._classes()["Meta"](version=11, old_resolution=0.25)

@@ -4,6 +4,7 @@ and their pruning, and what pyramids hold; also the SQL of the catalogue's octre
 from __future__ import annotations
 
 import itertools
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -20,8 +21,8 @@ from voxelake.operators import build, lod, pyramid, xray
 from voxelake.operators.geometry import Frustum, Location, perspective_fov
 from voxelake.plans.cloud import PointCloud
 from voxelake.shipping import ship
-from voxelake.sources import png
-from voxelake.staging import staged
+from voxelake.sources import png, rawnode, views
+from voxelake.staging import shared_dir, staged
 
 DEPTH = 3
 FRAME_AT = (0.5, 0.3)  # latitude and longitude of a local frame
@@ -30,6 +31,8 @@ VIEW = (30.0, 10.0, 60.0, 51.2)
 LOW_EYE = np.array([[0.8, 0.0, 0.6, 90.0], [0.0, 1.0, 0.0, 40.0], [-0.6, 0.0, 0.8, 60.0], [0.0, 0.0, 0.0, 1.0]])
 LOW_CLIP = perspective_fov(1.0, 0.5, 0.1, 150.0) @ np.linalg.inv(LOW_EYE)
 LOW_VIEW = Frustum.of_matrix(LOW_CLIP)
+#: A resolution that keeps positions as doubles.
+FINE = 1e-7
 ZOOM = 10
 DETAIL = 7
 GAMMA = 2.2
@@ -132,6 +135,41 @@ def _background(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels.where(plain).groupBy("tile_x", "tile_y").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _stored_octree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Built, stored as one file for each node and attribute, and read again."""
+    tree = build.build_octree(views.event_cloud(spark, sf_dir).select("event_id", *POSITION), FINE, ["event_id"], NODE_POINTS)
+    folder = f"{shared_dir(spark)}/nodes-{uuid.uuid4().hex}"
+    rawnode.write_octree(tree.points, tree.nodes, tree.box, FINE, folder)
+    return rawnode.read_octree(spark, folder, {"event_id": "I64"}).select("event_id", *(F.round(c, 6).alias(c) for c in POSITION))
+
+
+def _stored_s2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/cells-{uuid.uuid4().hex}"
+    points = views.ecef_cloud(spark, sf_dir).select("o_orderkey", *POSITION)
+    rawnode.write_s2(build.build_s2(points, 3), folder)
+    return rawnode.read_s2(spark, folder).points.select("o_orderkey", *(F.round(c, 3).alias(c) for c in POSITION))
+
+
+def _rolled_pixels(tiles: DataFrame, level: int) -> DataFrame:
+    return pyramid.tile_pixels(tiles.where(F.col("level") == level)).drop("level")
+
+
+def _parent_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = (255, 255, 255, 255)
+    leaves = pyramid.with_background(_tiles(spark, sf_dir), white)
+    return _rolled_pixels(pyramid.build_levels(leaves, RASTER.level, RASTER.level - 1, RASTER.tile_px, white), RASTER.level - 1)
+
+
+def _merged_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The root of two halves of a pyramid, put together."""
+    white = (255, 255, 255, 255)
+    leaves = pyramid.with_background(_tiles(spark, sf_dir), white)
+    levels = pyramid.build_levels(leaves, RASTER.level, 1, RASTER.tile_px, white)
+    right = F.col("tile_x") >= F.pow(F.lit(2), F.col("level") - 1)
+    # Each half holds two of the four nodes of the first level.
+    return _rolled_pixels(pyramid.merged([levels.where(~right), levels.where(right)], ["r0", "r2"], RASTER.tile_px, white), 0)
+
+
 def _seams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The right half of each tile mixed with the left half of the next one."""
     half = RASTER.tile_px // 2
@@ -171,6 +209,10 @@ def queries() -> dict[str, Query]:
         "tile_pixels": _tile_pixels,
         "background_pixels": _background,
         "seam_blend": _seams,
+        "parent_pixels": _parent_pixels,
+        "merged_pixels": _merged_pixels,
+        "stored_octree": _stored_octree,
+        "stored_s2": _stored_s2,
     }
 
 
@@ -271,6 +313,21 @@ def _body_sql(corners: np.ndarray) -> str:
     return f"select node_id from {_nodes_sql(DEPTH)} where {meets}"
 
 
+def _halved_sql(pixels: str) -> str:
+    """The level above ``pixels`` (all of the tiles there are): the four children of each tile side by side on white,
+    then its weights along both axes."""
+    px, channels = RASTER.tile_px, ("red", "green", "blue", "alpha")
+    weights = pyramid._weights(px)
+    listed = ", ".join(f"({o}, {i}, {_num(weights[o, i])})" for o, i in np.argwhere(weights).tolist())
+    wide = f"select tile_x>>1 as tx, tile_y>>1 as ty, (tile_x&1)*{px}+px as i, (1-(tile_y&1))*{px}+py as j, {', '.join(channels)} from {pixels} p"
+    grid = f"(select * from (select distinct tx, ty from wide) t, (select unnest(range({2 * px})) as i) a, (select unnest(range({2 * px})) as j) b)"
+    full = f"select tx, ty, i, j, {', '.join(f'coalesce({c}, 255) as {c}' for c in channels)} from {grid} g left join wide using (tx, ty, i, j)"
+    across = f"select tx, ty, w.o as px, j, {', '.join(f'sum({c}*w.v) as {c}' for c in channels)} from plain join w on w.i = plain.i group by 1, 2, 3, 4"
+    down = ", ".join(f"cast(greatest(0, least(255, floor(round(sum({c}*w.v), 6)+0.5))) as int) as {c}" for c in channels)
+    return f"""(with w as materialized (select * from (values {listed}) w(o, i, v)), wide as materialized ({wide}), plain as ({full}), across as materialized ({across})
+ select tx as tile_x, ty as tile_y, px, w.o as py, {down} from across join w on w.i = j group by 1, 2, 3, 4)"""
+
+
 def oracle_sql() -> dict[str, str]:
     known = first_sql()
     two_pi, four_pi = _num(2 * np.pi), _num(4 * np.pi)
@@ -335,5 +392,11 @@ def oracle_sql() -> dict[str, str]:
     parts = ", ".join(f"cast(case when a.alpha is null then b.{c} when b.alpha is null then a.{c} else floor(a.{c}*(1-{share})+b.{c}*{share}+0.5) end as int) as {c}" for c in (*channels, "alpha"))
     both = f"{tiles} s join {tiles} t on t.tile_x = s.tile_x+1 and t.tile_y = s.tile_y"
     q["seam_blend"] = f"select {keys}, {parts} from {first} a full join {second} b using ({keys}) where (tile_x, tile_y) in (select (s.tile_x, s.tile_y) from {both})"
+    every = f"(select * from {tiles} t, (select unnest(range({RASTER.tile_px})) as px) a, (select unnest(range({RASTER.tile_px})) as py) b)"
+    leaves = f"(select {keys}, {', '.join(f'coalesce({c}, 255) as {c}' for c in (*channels, 'alpha'))} from {every} e left join {pixels} p using ({keys}))"
+    q["parent_pixels"] = f"select * from {_halved_sql(leaves)} h"
+    q["merged_pixels"] = f"select * from {_halved_sql(_halved_sql(leaves))} h"
+    q["stored_octree"] = f"select event_id, round(x, 6) as x, round(y, 6) as y, round(z, 6) as z from {EVENT}"
+    q["stored_s2"] = known["ecef_from_wgs84"]
     q["background_pixels"] = f"select tile_x, tile_y, {RASTER.tile_px ** 2}-count(*) as n from ({known['xray_density']}) p group by 1, 2"
     return q
