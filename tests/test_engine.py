@@ -1,6 +1,7 @@
 import heapq
 import math
 import os
+import time
 
 import numpy as np
 import pytest
@@ -779,19 +780,36 @@ def test_ply_round_trip(spark, points, tmp_path):
 def test_ply_folders(spark, points, tmp_path):
     folder = str(tmp_path / "many")
     flat = points.select("x", "y", "z", "color", "intensity")
-    listed = ply.write_folder(flat.repartition(3), folder, records=700).collect()
-    assert sum(r.n for r in listed) == 6000 and max(r.n for r in listed) == 700 and len(listed) > 8
+    ply.write_folder(flat.repartition(3), folder, records=700)
+    listed = {f: ply.read_header(f).count for f in ply.files_of(folder)}
+    assert sum(listed.values()) == 6000 and max(listed.values()) == 700 and len(listed) > 8
     want = rows(flat)
-    assert rows(ply.read(spark, folder)) == want
+    assert rows(ply.read(spark, folder)) == want and attributes.attribute_types(ply.read(spark, folder)) == {"color": "U8Vec3", "intensity": "F32"}
+    assert sorted(os.listdir(folder)) == sorted(os.path.basename(f) for f in listed)  # nothing else is left
     assert rows(ply.read(spark, f"file://{folder}/part-*.ply")) == want
-    assert ply.read(spark, f"{folder}/{listed[0].file}").count() == listed[0].n
+    one = next(iter(listed))
+    assert ply.read(spark, one).count() == listed[one]
+    # Appending in two steps gives the rows of one write; overwriting gives the last ones.
+    twice = str(tmp_path / "twice")
+    ply.write_folder(flat.limit(10), twice)
+    half = points.where("id < 3000").select(*flat.columns)
+    ply.write_folder(half, twice)
+    ply.write_folder(points.where("id >= 3000").select(*flat.columns), twice, append=True)
+    assert rows(ply.read(spark, twice)) == want
+    # A job of which a task fails leaves the folder as it was.
+    before = sorted(os.listdir(twice))
+    broken = flat.repartition(4).withColumn("x", F.when(F.col("z") == flat.agg(F.max("z")).first()[0], F.raise_error(F.lit("no"))).otherwise(F.col("x")))
+    for append in (True, False):
+        with pytest.raises(Exception, match="no"):
+            ply.write_folder(broken, twice, append=append)
+    assert sorted(os.listdir(twice)) == before and rows(ply.read(spark, twice)) == want
     empty = str(tmp_path / "empty")
     ply.write_folder(flat.limit(0), empty)
     assert ply.read(spark, empty).count() == 0
     with pytest.raises(FileNotFoundError):
         ply.files_of(f"{folder}/none*.ply")
     ply.write_folder(flat.select("x", "y", "z"), str(tmp_path / "other"))
-    (tmp_path / "other" / "part-00000-00000.ply").rename(tmp_path / "many" / "zz.ply")
+    os.rename(ply.files_of(str(tmp_path / "other"))[0], tmp_path / "many" / "zz.ply")
     with pytest.raises(Exception, match="other properties"):
         ply.read(spark, folder).count()
 
@@ -880,6 +898,22 @@ def test_delivery(points):
     assert len(calls) == 1 and delivery.limited(points, 77).count() == 77
 
 
+def test_delivery_in_order_and_ahead(spark):
+    """Partitions come in their order, several are computed at a time, and stopping ends what runs."""
+    df = spark.range(0, 200_000, numPartitions=23).select("id", (F.col("id") * 2).alias("twice"), F.struct(F.col("id").alias("a")).alias("s"))
+    batches = list(delivery.arrow_batches(df, 30_000, ahead=5))
+    assert [b.num_rows for b in batches] == [30_000] * 6 + [20_000]
+    assert sum((b.column(0).to_pylist() for b in batches), []) == list(range(200_000)) and batches[-1].column(2)[-1].as_py() == {"a": 199_999}
+    assert list(delivery.arrow_batches(df.limit(0))) == []
+    small = delivery.partitions(df, ahead=5, held_bytes=1)  # never more than one waits where a byte is too much
+    assert sum(len(p) > 0 for p in small) == 23
+    began = time.time()
+    first = next(delivery.arrow_batches(spark.range(0, 3_000_000, numPartitions=3000), 100))
+    assert first.num_rows == 100 and time.time() - began < 60
+    tracker = spark.sparkContext.statusTracker()
+    assert not [i for i in tracker.getActiveJobsIds()]
+
+
 def test_stream(spark, points, tmp_path):
     folder = str(tmp_path / "in")
     points.write.parquet(folder)

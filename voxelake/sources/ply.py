@@ -1,5 +1,5 @@
 """PLY files as a Spark data source: ``spark.read.format("ply").load(path)`` over a file, a folder or a
-pattern, a writer of folders by many tasks, and one of single files.
+pattern, ``df.write.format("ply").save(folder)`` by all tasks, and a writer of single files.
 
 A reader task takes a range of the fixed-width vertex records, so one large file is read by many tasks.
 Values are little-endian binary; positions are doubles with the header's offset added; red, green, blue
@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import fnmatch
 import io
+import json
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -16,11 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from voxelake.functions.attributes import TYPES, type_of
+from voxelake.functions.attributes import TYPES, attribute_types, type_of
 from voxelake.shipping import ship
-from voxelake.staging import staged
 
 from .files import put, store_of
 
@@ -185,8 +186,96 @@ class _Reader(DataSourceReader):
                 left -= want
 
 
+@dataclass
+class _Written(WriterCommitMessage):
+    """Files of one task, and their points."""
+
+    files: list[tuple[str, int]]
+
+
+class _Writer(DataSourceArrowWriter):
+    """Tasks write under a folder of the job's own; the commit moves their files into place, so a job that fails leaves
+    nothing, and files of attempts that don't count are left behind and removed. Appended files get names of their own."""
+
+    def __init__(self, path: str, schema: T.StructType, overwrite: bool, records: int, types: dict[str, str]):
+        self.path, self.layout, self.overwrite, self.records = path, _layout(schema, types), overwrite, records
+        self.job = uuid.uuid4().hex
+
+    @property
+    def _waiting(self) -> str:
+        return f"_writing-{self.job}"
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> _Written:
+        from pyspark import TaskContext
+
+        store, root = store_of(self.path)
+        store.create_dir(f"{root}/{self._waiting}", recursive=True)
+        context = TaskContext.get()
+        # Attempts of a task write apart; only the one whose message counts is moved.
+        stem = f"part-{context.partitionId():05d}-{context.taskAttemptId()}-{self.job[:8]}"
+        written: list[tuple[str, int]] = []
+
+        def close(held: list[np.ndarray], n: int) -> None:
+            name = f"{stem}-{len(written):05d}.ply"
+            put(store, f"{root}/{self._waiting}", name, _header(self.layout, n), *(part.tobytes() for part in held))
+            written.append((name, n))
+
+        for held, n in _chunks(map(lambda b: _records(self.layout, b), batches), self.records):
+            close(held, n)
+        if context.partitionId() == 0 and not written:  # an empty table is a file without points
+            close([], 0)
+        return _Written(written)
+
+    def commit(self, messages: list[_Written | None]) -> None:
+        from pyspark.errors import PySparkRuntimeError
+
+        store, root = store_of(self.path)
+        if any(m is None for m in messages):
+            self.abort(messages)
+            raise PySparkRuntimeError("a task gave no files")
+        files = [f for m in messages for f in m.files]
+        # Of several tasks' files those without points are needed only if there is no other.
+        kept = [f for f in files if f[1]] or files[:1]
+        old = _listed(store, root) if self.overwrite else []
+        for name, _ in kept:
+            store.move(f"{root}/{self._waiting}/{name}", f"{root}/{name}")
+        for name in old:
+            store.delete_file(f"{root}/{name}")
+        store.delete_dir(f"{root}/{self._waiting}")
+
+    def abort(self, messages: list[_Written | None]) -> None:
+        from pyarrow import fs
+
+        store, root = store_of(self.path)
+        if store.get_file_info(f"{root}/{self._waiting}").type == fs.FileType.Directory:
+            store.delete_dir(f"{root}/{self._waiting}")
+
+
+def _chunks(parts: Iterable[np.ndarray], records: int) -> Iterator[tuple[list[np.ndarray], int]]:
+    """Records as lists of up to so many, and their number."""
+    held, n = [], 0
+    for rows in parts:
+        while len(rows):
+            held.append(rows[: records - n])
+            n, rows = n + len(held[-1]), rows[len(held[-1]) :]
+            if n == records:
+                yield held, n
+                held, n = [], 0
+    if n:
+        yield held, n
+
+
+def _listed(store, root: str) -> list[str]:
+    """The PLY files of a folder."""
+    from pyarrow import fs
+
+    found = store.get_file_info(fs.FileSelector(root, allow_not_found=True))
+    return [i.base_name for i in found if i.type == fs.FileType.File and i.base_name.endswith(".ply") and i.base_name[0] not in "._"]
+
+
 class PlyDataSource(DataSource):
-    """Options: ``path``; ``recordsPerPartition``."""
+    """Options: ``path``; ``recordsPerPartition``; ``recordsPerFile``; ``types``, attribute types by column as JSON, as a
+    data source doesn't get column metadata. Saves in the modes append and overwrite."""
 
     @classmethod
     def name(cls) -> str:
@@ -195,8 +284,14 @@ class PlyDataSource(DataSource):
     def schema(self) -> T.StructType:
         return schema_of(read_header(files_of(self.options["path"])[0]))
 
+    def _number(self, name: str, default: int) -> int:
+        return int(self.options.get(name.lower(), self.options.get(name, default)))
+
     def reader(self, schema: T.StructType) -> _Reader:
-        return _Reader(self.options["path"], schema, int(self.options.get("recordsperpartition", self.options.get("recordsPerPartition", RECORDS_PER_PARTITION))))
+        return _Reader(self.options["path"], schema, self._number("recordsPerPartition", RECORDS_PER_PARTITION))
+
+    def writer(self, schema: T.StructType, overwrite: bool) -> _Writer:
+        return _Writer(self.options["path"], schema, overwrite, self._number("recordsPerFile", RECORDS_PER_FILE), json.loads(self.options.get("types", "{}")))
 
 
 def register(spark: SparkSession) -> None:
@@ -212,13 +307,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return df.select(*(df[c].alias(c, metadata=own[c].metadata) for c in df.columns))
 
 
-def _layout(schema: T.StructType) -> list[tuple[str, str, tuple[str, ...]]]:
-    """(column, scalar type, names in the file)."""
+def _layout(schema: T.StructType, types: dict[str, str] | None = None) -> list[tuple[str, str, tuple[str, ...]]]:
+    """(column, scalar type, names in the file); ``types``: attribute types of columns that aren't tagged with them."""
     out = [(c, "F64", (c,)) for c in "xyz"]
     for f in sorted(schema, key=lambda f: f.name):
         if f.name in ("x", "y", "z"):
             continue
-        kind = type_of(f)
+        kind = (types or {}).get(f.name) or type_of(f)
         if kind == "U8Vec3":
             names = ("red", "green", "blue") if f.name in ("color", "rgb", "rgba") else tuple(f"{f.name}{k}" for k in range(3))
             out.append((f.name, "U8", names))
@@ -244,43 +339,17 @@ def _records(layout: list[tuple[str, str, tuple[str, ...]]], batch: pa.RecordBat
     return out
 
 
-def write_folder(points: DataFrame, folder: str, records: int = RECORDS_PER_FILE) -> DataFrame:
-    """Files of up to ``records`` points in a folder that all executors see, written by all tasks at once;
-    file, n of each. Rows are staged first and a file's name is that of its task, so a task that is run
-    again, or twice at a time, leaves the same files; each is written under a name of its own and moved."""
-    layout = _layout(points.schema)
-
-    def save(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        store, root = store_of(folder)
-        store.create_dir(root, recursive=True)
-        task, count, held, waiting = TaskContext.get().partitionId(), 0, [], 0
-
-        def close() -> pa.RecordBatch:
-            name = f"part-{task:05d}-{count:05d}.ply"
-            put(store, root, name, _header(layout, waiting), *(part.tobytes() for part in held))
-            return pa.RecordBatch.from_pydict({"file": [name], "n": pa.array([waiting], pa.int64())})
-
-        for batch in batches:
-            rows = _records(layout, batch)
-            while len(rows):
-                held.append(rows[: records - waiting])
-                waiting, rows = waiting + len(held[-1]), rows[len(held[-1]) :]
-                if waiting == records:
-                    yield close()
-                    count, held, waiting = count + 1, [], 0
-        if waiting or (task == 0 and not count):  # an empty table is a file without points
-            yield close()
-
-    ship(points.sparkSession)
-    rows = staged(points, "points")
-    return staged(rows.mapInArrow(save, "file string, n long"), "files")
+def write_folder(points: DataFrame, folder: str, records: int = RECORDS_PER_FILE, append: bool = False) -> None:
+    """Files of up to ``records`` points in a folder that all executors see, written by all tasks at once."""
+    register(points.sparkSession)
+    writer = points.write.format("ply").mode("append" if append else "overwrite")
+    writer.option("recordsPerFile", records).option("types", json.dumps(attribute_types(points))).save(folder)
 
 
 def write(points: DataFrame, path: str, append: bool = False) -> int:
-    """One local file, written batch by batch as the rows arrive; gives the number of points in it. The
-    count in the header has a fixed width, so that appending can rewrite it in place."""
+    """One local file, written batch by batch as the rows arrive (for folders, which all tasks write, see
+    :func:`write_folder`); gives the number of points in it. The count in the header has a fixed width, so that
+    appending can rewrite it in place."""
     from voxelake.streaming.delivery import arrow_batches
 
     layout = _layout(points.schema)
