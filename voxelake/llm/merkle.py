@@ -24,9 +24,10 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxelake.ranking import ranked
 from voxelake.shipping import ship
 
 from .common import arrow_batches, staged, table
@@ -44,22 +45,6 @@ def leaf_of(fields: Sequence[Column]) -> Column:
     return F.sha2(F.concat(*(F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts)), 256)
 
 
-def ranked(df: DataFrame, group: str, order: Sequence[str], label: str) -> DataFrame:
-    """Add ``rank``, from 0 in the order of ``order`` within ``group``, and ``n``, the group's rows.
-
-    Rows are sorted by ranges over all groups, so a group may span partitions; equal rows are parted too."""
-    keys = [group, *order, "_tie"]
-    spread = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_tie")
-    spread = staged(spread.withColumn("_pos", F.monotonically_increasing_id()), label).withColumn("_part", F.shiftright("_pos", 33))
-    parts = spread.groupBy(F.col(group).alias("_g"), F.col("_part").alias("_p")).agg(F.count(F.lit(1)).alias("_k"), F.min("_pos").alias("_low"))
-    # One row for each group and partition that holds some of it.
-    whole = Window.partitionBy("_g")
-    before = whole.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("_g", "_p", "_low", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_start"), F.sum("_k").over(whole).alias("n"))
-    joined = spread.join(parts, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p")))
-    return joined.withColumn("rank", F.col("_start") + F.col("_pos") - F.col("_low")).drop("_pos", "_part", "_g", "_p", "_low", "_start")
-
-
 def _path(run: Column, at: Column) -> list[Column]:
     """Digests left and right of place ``at`` of a run."""
     return [F.concat_ws("", F.slice(run, 1, at)), F.concat_ws("", F.slice(run, at + 2, ARITY))]
@@ -199,10 +184,10 @@ def manifest(docs: DataFrame, fields: Sequence[str] = ("doc_id", "source", "lang
     leaf = leaf_of([F.col(name) for name in fields])
     other = F.nullif(leaf_of(copy), leaf) if told else F.lit(None).cast("string")
     leaves = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), leaf.alias("leaf"), other.alias("told"))
-    leaves = staged(ranked(leaves, "source", ["doc_id", "leaf"], "leaves").withColumn("bucket", F.expr(f"rank div {BUCKET}")), "leaves")
+    leaves = staged(ranked(leaves, ["doc_id", "leaf"], "source", "leaves").withColumn("bucket", F.expr(f"rank div {BUCKET}")), "leaves")
     roots = _over_buckets(leaves, bucket_roots, "source string, idx long, h string, n long")
     inside = outer_tree(roots, "source", "subroots").withColumnRenamed("top", "subroot")
-    tops = ranked(inside.where("idx = 0").select(F.lit(0).alias("all"), "source", "subroot"), "all", ["source"], "sources")
+    tops = ranked(inside.where("idx = 0").select(F.lit(0).alias("all"), "source", "subroot"), ["source"], "all", "sources")
     above = outer_tree(tops.select("all", F.col("rank").alias("idx"), F.col("subroot").alias("h"), "n"), "all", "root")
     names = tops.select(F.col("source").alias("_s"), F.col("rank").alias("_r"))
     above = names.join(above, F.col("_r") == F.col("idx")).select("_s", F.col("lefts").alias("_l"), F.col("rights").alias("_rr"), F.col("top").alias("root"))
