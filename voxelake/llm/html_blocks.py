@@ -3,15 +3,15 @@
 Reading is by one pass of regular expressions and forgiving: unclosed paragraphs, list items and cells end
 where the next one begins, stray end tags are ignored, an unclosed comment, script, style or tag takes the
 rest of the page, of other elements without text (video, svg, select) that aren't closed only the tag goes.
-Time is linear in the page: open elements are found by the places of their names, each text is told its
-``NEAREST`` nearest ancestors, and a missing end tag is looked for once."""
+Time is linear in the page: open elements are found by the places of their names, what all ancestors say is
+kept with each open element and passed on to those within it, and a missing end tag is looked for once."""
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_right
 from collections import defaultdict
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from html import unescape
 
 #: Elements that begin and end blocks.
@@ -22,8 +22,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 DROPPED = frozenset("script style noscript template textarea title iframe object svg select noembed noframes xmp applet audio video canvas".split())
 #: Of these, elements whose content is no markup, so that without an end tag they have no end.
 RAW = frozenset("script style xmp iframe noembed noframes textarea".split())
-#: Ancestors that a block is described by, from the nearest on.
-NEAREST = 64
+#: Tags that say nothing about a block, as every one has them or they only style text.
+PLAIN = frozenset("html body b i em strong code span".split())
 #: An opening tag of the key ends an open element of the value, up to the nearest of the stops.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 STOPS = frozenset("ul ol dl table article section div body html main aside nav header footer form td th blockquote".split())
@@ -35,18 +35,31 @@ _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _END_OF = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in DROPPED}
 
 
+@dataclass
+class Around:
+    """What the open elements say, all of them: ``tags`` but plain ones and ``marks`` (of those that are asked for), whether
+    there is any mark, the nearest tag, and ``path``, a number of the order of tags and marks that is 0 without any."""
+
+    tags: frozenset[str] = frozenset()
+    marks: frozenset[str] = frozenset()
+    marked: bool = False
+    near: str = "body"
+    path: int = 0
+
+
 @dataclass
 class Block:
     text: str
-    tags: tuple[str, ...]
-    marks: frozenset[str]
+    around: Around
     linked: int = 0
+    #: Whether any element is open around it.
+    bare: bool = False
 
 
 @dataclass
 class _Open:
     tag: str
-    marks: tuple[str, ...] = field(default=())
+    around: Around
 
 
 def _marks(attributes: str) -> tuple[str, ...]:
@@ -56,7 +69,9 @@ def _marks(attributes: str) -> tuple[str, ...]:
     return tuple(out)
 
 
-def blocks(html: str | None) -> list[Block]:
+def blocks(html: str | None, tags: frozenset[str] | None = None, marks: frozenset[str] | None = None) -> list[Block]:
+    """``tags`` and ``marks``: those that blocks shall tell of their ancestors, all if not given. A page may have as many
+    marks as elements, so readers of pages ask for those that they know."""
     found: list[Block] = []
     if not html:
         return found
@@ -66,14 +81,15 @@ def blocks(html: str | None) -> list[Block]:
     borders: list[int] = []
     endless: set[str] = set()
     parts: list[str] = []
-    around: tuple[tuple[str, ...], frozenset[str]] | None = None
-    linked = 0
+    around: Around | None = None
+    bare, linked = False, 0
+    outside = Around()
+    paths: dict[tuple, int] = {}
 
     def add(raw: str) -> None:
-        nonlocal around, linked
+        nonlocal around, bare, linked
         if around is None and not raw.isspace():
-            near = stack[-NEAREST:]
-            around = tuple(x.tag for x in near), frozenset(m for x in near for m in x.marks)
+            around, bare = stack[-1].around if stack else outside, not stack
         parts.append(raw)
         if places["a"]:
             linked += len(raw)
@@ -83,7 +99,7 @@ def blocks(html: str | None) -> list[Block]:
         if parts and around is not None:
             raw = "".join(parts)
             if text := " ".join(unescape(raw).split()):
-                found.append(Block(text, around[0], around[1], min(100, 100 * linked // max(len(raw), 1))))
+                found.append(Block(text, around, min(100, 100 * linked // max(len(raw), 1)), bare))
         parts.clear()
         around, linked = None, 0
 
@@ -91,7 +107,17 @@ def blocks(html: str | None) -> list[Block]:
         places[name].append(len(stack))
         if name in BLOCK:
             borders.append(len(stack))
-        stack.append(_Open(name, _marks(attributes) if attributes else ()))
+        up = stack[-1].around if stack else outside
+        own = frozenset(_marks(attributes)) if attributes else frozenset()
+        plain = name in PLAIN
+        if plain and not own:
+            stack.append(_Open(name, up))
+            return
+        told = own if marks is None else own & marks
+        inner = up.tags if plain or name in up.tags or (tags is not None and name not in tags) else up.tags | {name}
+        path = paths.setdefault((up.path, "" if plain else name, own), len(paths) + 1)
+        more = up.marks if up.marks >= told else up.marks | told
+        stack.append(_Open(name, Around(inner, more, up.marked or bool(own), up.near if plain else name, path)))
 
     def pop_to(index: int) -> None:
         for x in stack[index:]:

@@ -8,12 +8,13 @@ pages are decoded by Viterbi, and the text is that of the article blocks joined
 
 Defined cases: a null or empty html has empty text; pages are read whole, of any length; equal pages
 get equal texts; rows that repeat an id are extracted each; an empty table gives an empty result; extra
-columns are ignored; markup without any text has empty text.
+columns are ignored; markup without any text has empty text, and a text without markup is all of the text.
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 from functools import lru_cache
 
 import numpy as np
@@ -25,8 +26,7 @@ from .html_blocks import HEADINGS, Block, blocks
 from .html_pages import MARK, labelled_pages
 
 TRAIN_PAGES, TRAIN_SEED, ROUNDS = 600, 20240607, 250
-#: Tags that say nothing about a block, as every one has them or they only style text.
-_PLAIN = frozenset("html body b i em strong code span".split())
+SECTIONS = ("article", "main", "nav", "footer", "aside", "header", "form")
 _WORD = re.compile(r"[^\W\d_]+|[©|»]")
 
 
@@ -34,27 +34,25 @@ def features(found: list[Block]) -> list[list[str]]:
     """Names of the features that hold for each block."""
     out, before = [], None
     for k, b in enumerate(found):
-        tags = [t for t in b.tags if t not in _PLAIN]
-        near = tags[-1] if tags else "body"
+        near = b.around.near
         words = b.text.split()
         n = len(words)
         size = 0 if n <= 1 else 1 if n <= 3 else 2 if n <= 6 else 3 if n <= 12 else 4 if n <= 25 else 5
         f = ["bias", f"near={near}", f"size={size}", f"link={0 if b.linked < 10 else 1 if b.linked < 50 else 2 if b.linked < 90 else 3}"]
-        f += {f"in={t}" for t in tags}
-        f += {f"mark={m}" for m in b.marks}
-        inside = [t for t in ("article", "main", "nav", "footer", "aside", "header", "form") if t in tags]
+        f += {f"in={t}" for t in b.around.tags}
+        f += {f"mark={m}" for m in b.around.marks}
+        inside = [t for t in SECTIONS if t in b.around.tags]
         f += [f"deep={inside[-1]}" if inside else "deep=none"]
         f += ["stop" if b.text[-1:] in ".!?…:\"”»" else "open", f"edge={'first' if k == 0 else 'last' if k == len(found) - 1 else 'mid'}", f"part={5 * k // len(found)}"]
         if near in HEADINGS:
             f.append("heading")
-        if not b.marks:
+        if not b.around.marked:
             f.append(f"unmarked={near}")
         if n <= 12:
             f += {f"word={w.lower()}" for w in _WORD.findall(b.text)}
-        path = (tuple(tags), b.marks)
-        if path == before:
+        if b.around.path == before:
             f.append("same")
-        before = path
+        before = b.around.path
         out.append(f)
     return out
 
@@ -64,6 +62,8 @@ class Model:
 
     def __init__(self, weights: dict[str, float], change: np.ndarray, start: np.ndarray):
         self.weights, self.change, self.start = weights, change.tolist(), start.tolist()
+        told = lambda kind: frozenset(f.removeprefix(kind) for f in weights if f.startswith(kind))
+        self.tags, self.marks = told("in=").union(SECTIONS), told("mark=")
 
     def decode(self, found: list[Block]) -> list[bool]:
         """The most probable labels, by Viterbi."""
@@ -85,8 +85,10 @@ class Model:
         return [bool(x) for x in reversed(out)]
 
     def extract(self, html: str | None) -> str:
-        found = blocks(html)
-        return "\n\n".join(b.text for b, keep in zip(found, self.decode(found), strict=True) if keep)
+        """A page whose text has no element around it has nothing but its text."""
+        found = blocks(html, self.tags, self.marks)
+        kept = [True] * len(found) if all(b.bare for b in found) else self.decode(found)
+        return "\n\n".join(b.text for b, keep in zip(found, kept, strict=True) if keep)
 
 
 def train(pages: list[tuple[list[Block], list[bool]]], rounds: int = ROUNDS, l2: float = 1e-4) -> Model:
@@ -148,7 +150,7 @@ def marked(html: str) -> tuple[list[Block], list[bool]]:
     """Blocks and labels of a labelled page; the marks are taken out."""
     found = blocks(html)
     labels = [MARK in b.text for b in found]
-    return [Block(" ".join(b.text.replace(MARK, "").split()) or "-", b.tags, b.marks, b.linked) for b in found], labels
+    return [replace(b, text=" ".join(b.text.replace(MARK, "").split()) or "-") for b in found], labels
 
 
 @lru_cache(maxsize=2)
