@@ -3,15 +3,15 @@ diagonal, then Smith-Waterman alignment scores copies, also edited and paraphras
 
 Texts are lower-cased runs of word characters. An item is aligned with a document by words: +1 for equal
 words, -1 for different ones, -1 for a gap. The score is the best alignment over the item's length; a
-document is contaminated if an item scores ``THRESHOLD`` or more. Items of fewer than ``N`` words must be
-found whole. What other items hold makes no difference to a score.
+document is contaminated if an item scores ``THRESHOLD`` or more; an item of fewer than ``SHORT`` words, which a
+few common ones would reach, must score ``SHORT_THRESHOLD``, and one of fewer than ``N`` words must be found whole.
+What other items hold makes no difference to a score.
 
 Only places that can't reach the threshold are left unaligned. An alignment of score s with e edits has at
 most e + 1 runs of equal words, so it holds at least s - 1 pairs of neighbouring words of the item; and as
 an item of m words has at most m - s edits then, their places in the document less those in the item
 differ by m - s at most. Wherever that many hits lie so close, a window around them that the alignment can't
 leave is aligned; windows of one item that meet are merged. Scores therefore are those of the whole text.
-(An item of three to five words reaches the threshold by any two neighbouring words.)
 
 The items are broadcast up to 8 * ``BROADCAST_SEEDS`` characters; beyond it documents meet, by a shuffle, the
 items of which they hold one of the rarest hits, so many that an alignment at the threshold can't miss them
@@ -43,6 +43,8 @@ N = 3
 #: Words of a hit.
 GRAM = 2
 THRESHOLD = 0.4
+#: Items of fewer words than SHORT share a few common ones with many texts, so of them more must be found.
+SHORT, SHORT_THRESHOLD = 8, 0.8
 BROADCAST_SEEDS = 2_000_000
 #: Words of a document that are looked up at a time.
 CHUNK_WORDS = 8192
@@ -97,9 +99,14 @@ def align(item: np.ndarray, passage: np.ndarray) -> float:
     return best / len(item)
 
 
+def threshold(size: int) -> float:
+    """The share of its words at which an item of ``size`` words counts."""
+    return 1.0 if size < N else SHORT_THRESHOLD if size < SHORT else THRESHOLD
+
+
 def least_score(size: int) -> int:
     """The least score, in words, at which an item of ``size`` words counts."""
-    return size if size < N else next(s for s in range(1, size + 1) if s / size >= THRESHOLD)
+    return next(s for s in range(1, size + 1) if s / size >= threshold(size))
 
 
 class Index:
@@ -169,7 +176,7 @@ class Index:
         for k, a, b in self.windows(h) if len(h) else ():
             item, words = self.items[k]
             score = align(words, h[a:b])
-            if score >= (1.0 if len(words) < N else THRESHOLD) and score > best.get(item, 0.0):
+            if score >= threshold(len(words)) and score > best.get(item, 0.0):
                 best[item] = score
         return sorted(best.items())
 
