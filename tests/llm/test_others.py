@@ -137,6 +137,19 @@ def test_templated_items_are_found():
     assert not index.matches("the city is of what capital")
 
 
+@pytest.mark.parametrize(("text", "item", "leak"), [
+    ("Tell me what is the time.", "What is the capital of France?", False),
+    ("it was in the house", "in the year of grace", False),
+    ("the man who is tall", "Who is he?", False),
+    ("They asked: what is the capital of France? Paris.", "What is the capital of France?", True),
+    ("and who is he? said one", "Who is he?", True),
+    ("What was the capital of France, pray", "What is the capital of France?", False),
+])
+def test_short_items_need_more_of_their_words(make_docs, spark, text, item, leak):
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert decontamination.keep_clean(make_docs([(1, text)]), items).count() == (0 if leak else 1)
+
+
 def test_matches_equal_alignment_of_whole_texts():
     r = random.Random(8)
     vocabulary = [f"v{k}" for k in range(40)]
@@ -155,7 +168,7 @@ def test_matches_equal_alignment_of_whole_texts():
     for t in texts:
         h = decontamination.word_hashes(" ".join(t))
         scores = [(k, decontamination.align(x, h)) for k, x in enumerate(hashed)]
-        assert index.matches(" ".join(t)) == [(k, s) for k, s in scores if s >= (1.0 if len(hashed[k]) < 3 else 0.4)]
+        assert index.matches(" ".join(t)) == [(k, s) for k, s in scores if s >= decontamination.threshold(len(hashed[k]))]
 
 
 def test_shuffled_leaks_equal_broadcast(spark, make_docs, monkeypatch):
@@ -324,11 +337,38 @@ def test_unclosed_elements_keep_the_page(tag):
     assert [b.text for b in html_blocks.blocks("<p>One.<script>var x;<p>Two.")] == ["One."]
 
 
-def test_deep_pages_are_read_in_linear_time():
+def test_deep_pages_are_read_in_linear_time(model):
     began = time.process_time()
     n = 40_000
-    found = html_blocks.blocks("".join(f"<div class=c{k}>t{k}" for k in range(n)) + "</section></i><svg><b>" * n)
+    page = "".join(f"<div class=c{k}>t{k}" for k in range(n)) + "</section></i><svg><b>" * n
+    found = html_blocks.blocks(page, model.tags, model.marks)
     assert len(found) == n and time.process_time() - began < 20
+    assert model.extract(page) is not None and time.process_time() - began < 40
+
+
+@pytest.mark.parametrize("deep", [0, 1, 63, 64, 65, 5000])
+def test_all_ancestors_count(model, deep):
+    """A footer and a menu are left out however deep their texts are."""
+    nest = lambda text: "<div>" * deep + text + "</div>" * deep
+    prose = "The first paragraph of the article is long enough to be told as one, and it ends well. " * 2
+    page = f"<nav class=menu>{nest('<a href=/a>Home</a>')}{nest('<a href=/b>News</a>')}</nav><article><h1>Heading</h1><p>{prose}</p><p>{prose}</p></article><footer class=footer>{nest('<p>Copyright 2020, all rights reserved.</p>')}</footer>"
+    text = model.extract(page)
+    assert "first paragraph" in text and "Copyright" not in text and "Home" not in text
+    block = next(b for b in html_blocks.blocks(page) if "Copyright" in b.text)
+    assert "footer" in block.around.tags and "footer" in block.around.marks
+
+
+def test_pages_without_markup_are_their_text(model):
+    assert model.extract("plain text with no markup\n at all in it.") == "plain text with no markup at all in it."
+    assert model.extract("one &amp; two<br>three") == "one & two three" and model.extract(" \n ") == "" and model.extract("<!-- x -->") == ""
+
+
+def test_long_pages_are_read_whole(model):
+    prose = "Sentences of an article go on and on until the page is long, which it is in the end. "
+    page = "<body><article>" + "".join(f"<p>{k} {prose * 20}</p>" for k in range(700)) + "</article></body>"
+    assert len(page) > 1_000_000
+    text = model.extract(page)
+    assert text.count("\n\n") >= 690 and text.endswith("in the end.")
 
 
 def test_nested_lists_and_cells_end_where_the_next_begins():

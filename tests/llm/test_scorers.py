@@ -131,3 +131,14 @@ def test_labels_of_one_kind_give_no_severity(make_docs, spark, grade):
     docs = make_docs([(k, f"word{k} stupid text") for k in range(12)])
     labels = spark.createDataFrame([(k, grade) for k in range(12)], "doc_id long, toxic int")
     assert max(r.expected_severity for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()) < 1e-9
+
+
+def test_sample_counts_ids_not_rows(spark):
+    """1,000 rows of which 900 share an id: the sample is the same however they come, with a text of each id."""
+    from voxelake.llm import common
+
+    rows = [(7 if k < 900 else k, f"text {k}") for k in range(1000)] + [(None, "none"), (None, None)]
+    take = lambda r: sorted(map(tuple, common.one_per_key(spark.createDataFrame(r, "doc_id long, text string").repartition(5), "doc_id", "text", 60).collect()), key=str)
+    got = take(rows)
+    assert got == take(rows[::-1]) and len(got) == 60 == len({i for i, _ in got})
+    assert len(take(rows[:3])) == 1 and take(rows[:0]) == []

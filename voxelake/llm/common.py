@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from voxelake.shipping import ship
 from voxelake.staging import shared_dir, staged
 
-__all__ = ["arrow_batches", "hash_sample", "map_arrow", "scratch", "shared_dir", "staged", "table"]
+__all__ = ["arrow_batches", "hash_sample", "map_arrow", "one_per_key", "scratch", "shared_dir", "staged", "table"]
 
 #: Rows in one Arrow batch; texts differ widely in length, so batches are kept short.
 BATCH_ROWS = 512
@@ -56,3 +56,19 @@ def hash_sample(df: DataFrame, key: str, bound: int) -> DataFrame:
     if top is None or top["h"] is None:
         return df.limit(0)
     return df.where(h <= F.lit(top["h"])).limit(bound)
+
+
+def one_per_key(df: DataFrame, key: str, text: str, bound: int) -> DataFrame:
+    """(key, text) of the ``bound`` keys with the smallest hashes, and of each the text with the smallest hash: the
+    same on every run, however the rows come, and a key of many rows counts once."""
+    h = F.xxhash64(F.col(key))
+    many = df.agg(F.approx_count_distinct(h, 0.02)).first()[0] or 0
+    # Enough keys for the bound even where the estimate is off; their number doesn't grow with the table.
+    share = 1.5 * bound / max(many, 1)
+    near = df if share >= 1 else df.where(h <= F.lit(int(-(1 << 63) + share * (1 << 64))))
+    keys = near.select(h.alias("h")).distinct().orderBy("h").limit(bound)
+    last = keys.agg(F.max("h").alias("h")).first()["h"]
+    if last is None:
+        return df.select(key, text).limit(0)
+    first = F.min_by(F.col(text), F.struct(F.xxhash64(F.col(text)), F.col(text)))
+    return near.where(h <= F.lit(last)).groupBy(key).agg(first.alias(text))

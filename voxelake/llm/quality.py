@@ -7,7 +7,7 @@ bounded, hashed sample train a logistic scorer over hashed token shapes and styl
 scores every document.
 
 Defined cases: a null or empty text is bad (score 0); texts are read whole; rows that repeat an id are
-scored each on its own; a null id is scored like any other; an empty table gives an empty result; extra
+scored each on its own, and one of their texts may be in the sample; a null id is scored like any other; an empty table gives an empty result; extra
 columns are ignored; without any vote that differs, or without any bad vote, every document is good.
 """
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_sample, map_arrow, table
+from .common import map_arrow, one_per_key, table
 
 #: Documents that train the scorer, and its hashed width: the bounds of what comes to the driver.
 SAMPLE, WIDTH = 4000, 4096
@@ -170,7 +170,7 @@ def fit(docs: DataFrame) -> np.ndarray:
             found.append((*features(t or "", m), votes(m)))
         return pa.RecordBatch.from_pydict({"at": pa.array([f[0] for f in found], pa.list_(pa.int32())), "x": pa.array([f[1] for f in found], pa.list_(pa.float32())), "pattern": [f[2] for f in found]})
 
-    sample = map_arrow(hash_sample(texts, "doc_id", SAMPLE).select("text"), describe, "at array<int>, x array<float>, pattern string").toArrow()
+    sample = map_arrow(one_per_key(texts, "doc_id", "text", SAMPLE).select("text"), describe, "at array<int>, x array<float>, pattern string").toArrow()
     at, x = sample["at"].combine_chunks(), sample["x"].combine_chunks()
     # In one order on every run, whatever tasks ended first.
     rows = [(at[k].values.to_numpy(), x[k].values.to_numpy(), posterior.get(p, 0.5)) for k, p in enumerate(sample["pattern"].to_pylist())]
