@@ -13,7 +13,8 @@ from voxelake.operators.geometry import (
     CROSS, IN, OUT, Aabb, AllPoints, CellUnion, Cube, Frustum, Hull, MercatorRect, Obb, box_columns, box_corners, perspective, perspective_fov,
 )
 from voxelake.operators.summary import Summary
-from voxelake.plans import pyramids
+from voxelake import commands
+from voxelake.plans import pyramids, sql
 from voxelake.plans.cloud import Client, PointCloud, Providers
 from voxelake.sources import blob, meta, ply, png, rawnode, synthetic, terrain
 from voxelake.streaming import delivery
@@ -874,13 +875,88 @@ def test_blobs(tree):
 
 def test_terrain(spark, tmp_path):
     data = np.arange(32, dtype="<f4").reshape(4, 4, 2)
+    colours = np.arange(64, dtype=np.uint8).reshape(4, 4, 4)
+    folder = f"file://{tmp_path}"
     (tmp_path / "x00000001_y00000000.height").write_bytes(data.tobytes())
-    terrain.write_meta(spark, f"file://{tmp_path}", {"tile_size": 4})
-    assert terrain.read_meta(spark, f"file://{tmp_path}") == {"tile_size": 4}
-    tiles = terrain.read_tiles(spark, f"file://{tmp_path}", 4)
-    got = {(r.grid_x, r.grid_y): r.height for r in terrain.region(tiles, 3, 0, 3, 2).collect()}
-    assert got == {(3, 0): 0.0, (4, 0): 0.0, (5, 0): 2.0, (3, 1): 0.0, (4, 1): 8.0, (5, 1): 10.0}
-    assert terrain.vertices(tiles, (1.0, 1.0, 1.0), 0.5).where("grid_x = 5 and grid_y = 1").first().z == 11.0
+    (tmp_path / "x00000001_y00000000.color").write_bytes(colours.tobytes())
+    (tmp_path / "x-0000001_y-0000001.height").write_bytes((data * 3).tobytes())
+    terrain.write_meta(spark, folder, {"tile_size": 4})
+    assert terrain.read_meta(spark, folder) == {"tile_size": 4}
+
+    def plain(x0, y0, width, height):
+        """Cell by cell."""
+        out = {}
+        for x in range(x0, x0 + width):
+            for y in range(y0, y0 + height):
+                tile, j, i = (x // 4, y // 4), y % 4, x % 4
+                scale = {(1, 0): 1.0, (-1, -1): 3.0}.get(tile, 0.0)
+                rgba = tuple(int(v) for v in colours[j, i]) if tile == (1, 0) else (0, 0, 0, 0)
+                out[x, y] = (data[j, i, 0] * scale, data[j, i, 1] * scale, rgba)
+        return out
+
+    for asked in ((3, 0, 3, 2), (-6, -5, 15, 9), (100, 100, 1, 1), (4, 0, 4, 4)):
+        got = {(r.grid_x, r.grid_y): (r.height, r.quads, tuple(r.color)) for r in terrain.region(spark, folder, 4, *asked).collect()}
+        assert got == plain(*asked)
+    turn = np.array([[0, -1, 0, 10.0], [1, 0, 0, 20.0], [0, 0, 1, 30.0], [0, 0, 0, 1]])
+    r = terrain.vertices(terrain.region(spark, folder, 4, 3, 0, 3, 2), (1.0, 1.0, 1.0), 0.5, turn).where("grid_x = 5 and grid_y = 1").first()
+    assert (r.x, r.y, r.z, r.quads, tuple(r.color)) == (10 - 1.5, 20 + 3.5, 30 + 11.0, 11.0, (20, 21, 22, 255))
+
+
+def test_sql_functions_and_clouds(spark, points, tree, tmp_path):
+    PointCloud.of_octree(tree).write(f"file://{tmp_path}/cloud")
+    cloud = PointCloud.open(spark, f"file://{tmp_path}/cloud")
+    sql.register_cloud(spark, "scan", cloud)
+    box = LOCATIONS[1]
+    listed = ", ".join(f"{v}D" for v in (*box.low, *box.high))
+    found = spark.sql(f"select id from scan_in_box({listed}) where vx_in_interval(intensity, 1, 4)")
+    q = query.PointQuery(["id", "intensity"], box, {"intensity": (1.0, 4.0)})
+    assert rows(found) == rows(cloud.query(q).select("id")) and found.count() > 0
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull" in plan and f"GreaterThanOrEqual(x,{box.low[0]})" in plan and "green" not in plan.split("ReadSchema")[1].split("\n")[0]
+    met = spark.sql(f"select node_id from scan_nodes_in_box({listed})")
+    assert rows(met) == rows(cloud.related(box).select("node_id"))
+    obb, frustum = LOCATIONS[2], LOCATIONS[3]
+    array = lambda v: "array(" + ", ".join(f"{float(x)!r}D" for x in np.ravel(v)) + ")"
+    xyz = [F.col(c) for c in "xyz"]
+    assert rows(spark.sql(f"select id from scan where vx_in_obb(x, y, z, {array(obb.centre)}, {array(obb.rotation)}, {array(obb.half)})")) == rows(cloud.points.where(obb.contains(*xyz)).select("id"))
+    assert rows(spark.sql(f"select id from scan where vx_in_frustum(x, y, z, {array(frustum.clip_from_query)})")) == rows(cloud.points.where(frustum.contains(*xyz)).select("id"))
+    cube = cloud.root_cube()
+    own = spark.sql(f"select id, vx_octree_node(x, y, z, {', '.join(f'{v!r}D' for v in cube.low)}, {cube.edge!r}D, 5) from scan")
+    assert rows(own) == rows(build.with_path(cloud.points, cube, 5).select("id", "path"))
+    one = spark.sql("select vx_node_parent('r12'), vx_node_parent('r'), vx_node_level('r123'), vx_node_below('r123', 'r1')").first()
+    assert tuple(one) == ("r1", None, 3, True)
+    cell = int(s2.parents(s2.leaf_cells([[1.0, 0.2, 0.1]]), 9)[0])
+    leaves = [int(v) - (1 << 64) if int(v) >> 63 else int(v) for v in s2.leaf_range(cell)]
+    signed = cell - (1 << 64) if cell >> 63 else cell
+    assert tuple(spark.sql(f"select vx_in_cell({leaves[0]}L, {signed}L), vx_in_cell({leaves[1]}L, {signed}L), vx_in_cell({leaves[1] + 2}L, {signed}L)").first()) == (True, True, False)
+    assert np.allclose(spark.sql("select vx_mercator_x(0.5D), vx_mercator_y(0.25D)").first(), spark.range(1).select(*geodesy.mercator(F.lit(0.25), F.lit(0.5))).first())
+
+
+def test_commands(spark, points, tmp_path):
+    """From a PLY file to clouds, pyramids, a merged and an inpainted one, as the commands do it."""
+    run = lambda *a: commands.main([str(x) for x in a], spark)
+    flat = points.select("x", "y", "z", "color", "intensity")
+    ply.write(flat, str(tmp_path / "a.ply"))
+    assert run("build-octree", tmp_path / "a.ply", "--output", tmp_path / "tree", "--resolution", 0.5).endswith("nodes")
+    assert rows(commands.open_points(spark, str(tmp_path / "tree"))) == rows(flat)
+    run("build-octree", tmp_path / "a.ply", "--output", tmp_path / "nodes", "--nodes", "--resolution", 0.5)
+    assert commands.open_points(spark, str(tmp_path / "nodes")).count() == 6000
+    run("upgrade", tmp_path / "nodes")
+    assert commands.open_points(spark, str(tmp_path / "nodes")).count() == 6000
+    size = ["--resolution", 2.0, "--tile-size", 32]
+    run("xray", tmp_path / "a.ply", "--output", tmp_path / "whole", *size, "--coloring", "colored")
+    for k in range(4):
+        run("xray", tmp_path / "tree", "--output", tmp_path / "parts", *size, "--coloring", "colored", "--root", f"r{k}")
+    run("merge-xray", *(f"{tmp_path}/parts:r{k}" for k in range(4)), "--output", tmp_path / "merged")
+    images = lambda name: {(t.level, t.tile_x, t.tile_y): bytes(t.png) for t in pyramids.read(spark, str(tmp_path / name)).tiles.collect()}
+    assert images("merged") == images("whole")
+    run("inpaint-xray", tmp_path / "whole", "--distance", 2, "--output", tmp_path / "filled")
+    run("upgrade", tmp_path / "filled", "--pyramid")
+    assert set(images("filled")) == set(images("whole"))
+    few = run("xray", tmp_path / "a.ply", "--output", tmp_path / "some", *size, "--coloring", "colored_with_intensity", "--max-intensity", 6, "--filter-interval", "intensity=2,4", "--background", "transparent")
+    assert few.endswith("tiles")
+    with pytest.raises(SystemExit):
+        run("build-octree", tmp_path / "a.ply")
 
 
 def test_delivery(points):
