@@ -12,16 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelake.catalogue import (
-    CLIP, ECEF, EVENT, EVENT_BOX, FRUSTUM, LINE, NODE_POINTS, OBB, RASTER, RASTER_BOX, RESOLUTION, ROOT,
+    BOX, CLIP, ECEF, EVENT, EVENT_BOX, FRUSTUM, LINE, NODE_POINTS, OBB, RASTER, RASTER_BOX, RESOLUTION, ROOT, TURN,
     Query, _blob, _events, _key, _line, _nodes_sql, _num, _octree, _orders, _pyramid, _screen, _tiles, oracle_sql as first_sql,
 )
 from voxelake.functions import codec, colour, geodesy, ids
 from voxelake.functions.attributes import POSITION
 from voxelake.operators import build, lod, pyramid, xray
 from voxelake.operators.geometry import Frustum, Location, perspective_fov
+from voxelake.plans import sql
 from voxelake.plans.cloud import PointCloud
 from voxelake.shipping import ship
-from voxelake.sources import png, rawnode, views
+from voxelake.sources import blob, png, rawnode, views
 from voxelake.staging import shared_dir, staged
 
 DEPTH = 3
@@ -31,6 +32,8 @@ VIEW = (30.0, 10.0, 60.0, 51.2)
 LOW_EYE = np.array([[0.8, 0.0, 0.6, 90.0], [0.0, 1.0, 0.0, 40.0], [-0.6, 0.0, 0.8, 60.0], [0.0, 0.0, 0.0, 1.0]])
 LOW_CLIP = perspective_fov(1.0, 0.5, 0.1, 150.0) @ np.linalg.inv(LOW_EYE)
 LOW_VIEW = Frustum.of_matrix(LOW_CLIP)
+#: Sizes of a pixel.
+PIXELS = (0.05, 0.9, 3.2, 40.0)
 #: A resolution that keeps positions as doubles.
 FINE = 1e-7
 ZOOM = 10
@@ -150,6 +153,61 @@ def _stored_s2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rawnode.read_s2(spark, folder).points.select("o_orderkey", *(F.round(c, 3).alias(c) for c in POSITION))
 
 
+def _blob_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed into blobs of nodes and unpacked again."""
+    points = views.line_cloud(spark, sf_dir).withColumns({"id": F.col("l_orderkey") * 8 + F.col("l_linenumber")})
+    tree = build.build_octree(points.select(*POSITION, "color", "id"), FINE, ["id", *POSITION], 5000)
+
+    def unpack(frames):
+        for frame in frames:
+            for data in frame.blob:
+                p, c = blob.unpack(data)
+                yield pd.DataFrame({**{n: p[:, k] for k, n in enumerate(POSITION)}, **{n: c[:, k].astype(np.int32) for k, n in enumerate(("red", "green", "blue"))}})
+
+    ship(spark)
+    own = blob.node_blobs(tree.points, tree.nodes).select("blob").mapInPandas(unpack, "x double, y double, z double, red int, green int, blue int")
+    return own.select(*(F.round(c, 6).alias(c) for c in POSITION), "red", "green", "blue")
+
+
+def _raster_over(df: DataFrame) -> DataFrame:
+    """The raster that covers the points at each of some pixel sizes."""
+    box = build.bounding_box(df)
+    sized = [(size, xray.Raster.over(box, size, 32)) for size in PIXELS]
+    return df.sparkSession.createDataFrame([(size, r.level, r.edge, *map(float, r.low)) for size, r in sized], "pixel double, level int, edge double, low_x double, low_y double")
+
+
+def _turned_box(df: DataFrame) -> DataFrame:
+    """The box around the points' box in a turned frame."""
+    box = build.bounding_box(df).transformed(TURN)
+    named = {f"{e}_{c}": float(v) for e, corner in (("min", box.low), ("max", box.high)) for c, v in zip(POSITION, corner, strict=True)}
+    one = df.sparkSession.createDataFrame([tuple(named.values())], ", ".join(f"{n} double" for n in named))
+    return one.select(*(F.round(n, 9).alias(n) for n in named))
+
+
+def _sql_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A box and an interval asked for in SQL text."""
+    sql.register(spark)
+    views.line_cloud(spark, sf_dir).createOrReplaceTempView("vx_line")
+    corners = ", ".join(f"{v!r}D" for v in (*BOX.low, *BOX.high))
+    return spark.sql(f"select x, y, z, intensity from vx_line where vx_in_box(x, y, z, {corners}) and vx_in_interval(intensity, 2, 5)")
+
+
+def _sql_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql.register(spark)
+    views.event_cloud(spark, sf_dir).createOrReplaceTempView("vx_event")
+    node = f"vx_octree_node(x, y, z, {', '.join(f'{v!r}D' for v in ROOT.low)}, {ROOT.edge!r}D, {DEPTH})"
+    return spark.sql(f"select vx_node_parent(node) as parent, count(*) as n, count(distinct node) as n_children from (select {node} as node from vx_event) group by 1")
+
+
+def _sql_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points of a stored cloud in a box, asked for in SQL text."""
+    folder = f"{shared_dir(spark)}/cloud-{uuid.uuid4().hex}"
+    _octree(spark, sf_dir).write(folder)
+    sql.register_cloud(spark, "vx_cloud", PointCloud.open(spark, folder))
+    corners = ", ".join(f"{v!r}D" for v in (*EVENT_BOX.low, *EVENT_BOX.high))
+    return spark.sql(f"select event_id, x, y, z from vx_cloud_in_box({corners})")
+
+
 def _rolled_pixels(tiles: DataFrame, level: int) -> DataFrame:
     return pyramid.tile_pixels(tiles.where(F.col("level") == level)).drop("level")
 
@@ -212,6 +270,12 @@ def queries() -> dict[str, Query]:
         "parent_pixels": _parent_pixels,
         "merged_pixels": _merged_pixels,
         "stored_octree": _stored_octree,
+        "node_blob_points": _blob_points,
+        "raster_over": _line(_raster_over),
+        "box_in_frame": _events(_turned_box),
+        "sql_box_and_interval": _sql_text,
+        "sql_node_parents": _sql_nodes,
+        "sql_cloud_box": _sql_cloud,
         "stored_s2": _stored_s2,
     }
 
@@ -396,6 +460,20 @@ def oracle_sql() -> dict[str, str]:
     leaves = f"(select {keys}, {', '.join(f'coalesce({c}, 255) as {c}' for c in (*channels, 'alpha'))} from {every} e left join {pixels} p using ({keys}))"
     q["parent_pixels"] = f"select * from {_halved_sql(leaves)} h"
     q["merged_pixels"] = f"select * from {_halved_sql(_halved_sql(leaves))} h"
+    q["node_blob_points"] = f"select round(x, 6) as x, round(y, 6) as y, round(z, 6) as z, red, green, blue from {LINE}"
+    sizes = ", ".join(f"({_num(v)})" for v in PIXELS)
+    box = f"(select min(x) as lx, min(y) as ly, greatest(max(x)-min(x), max(y)-min(y)) as span from {LINE})"
+    fit = "cast(greatest(0, ceil(log2(span/(32*pixel)))) as int)"
+    q["raster_over"] = f"select pixel, {fit} as level, 32*pixel*pow(2, {fit}) as edge, lx as low_x, ly as low_y from (values {sizes}) s(pixel), {box} b"
+    spans = ", ".join(f"min({c}) as l{c}, max({c}) as h{c}" for c in "xyz")
+    corners = f"(select unnest([lx, hx]) as x, ly, hy, lz, hz from (select {spans} from {EVENT}) a)"
+    corners = f"(select x, unnest([ly, hy]) as y, lz, hz from {corners} b)"
+    corners = f"(select x, y, unnest([lz, hz]) as z from {corners} c)"
+    turned = {c: "+".join(f"{v}*{_num(m)}" for v, m in zip("xyz", TURN[k, :3], strict=True)) + f"+{_num(TURN[k, 3])}" for k, c in enumerate("xyz")}
+    q["box_in_frame"] = "select " + ", ".join(f"round({f}({v}), 9) as {f}_{c}" for f in ("min", "max") for c, v in turned.items()) + f" from {corners} d"
+    q["sql_box_and_interval"] = known["aabb_and_interval"]
+    q["sql_node_parents"] = known["node_parent_counts"]
+    q["sql_cloud_box"] = known["octree_query_pruned"]
     q["stored_octree"] = f"select event_id, round(x, 6) as x, round(y, 6) as y, round(z, 6) as z from {EVENT}"
     q["stored_s2"] = known["ecef_from_wgs84"]
     q["background_pixels"] = f"select tile_x, tile_y, {RASTER.tile_px ** 2}-count(*) as n from ({known['xray_density']}) p group by 1, 2"
