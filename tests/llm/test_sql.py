@@ -10,7 +10,7 @@ import pytest
 from voxelake.llm import registry
 
 
-@pytest.mark.parametrize("name", ["op11_quality_rules", "op12_conversations", "op13_merkle"])
+@pytest.mark.parametrize("name", ["op8_sharding", "op11_quality_rules", "op12_conversations", "op13_merkle"])
 def test_rows_equal_sql(spark, sf, name):
     con = duckdb.connect()
     for path in glob.glob(f"{sf}/*.parquet"):

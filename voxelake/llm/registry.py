@@ -23,7 +23,7 @@ _WHERE = {
     "op13_merkle": "merkle",
 }
 
-_WITH_SQL = ("op4_near_dedup", "op6_url_filter", "op9_neighbours", "op11_quality_rules", "op12_conversations", "op13_merkle")
+_WITH_SQL = ("op4_near_dedup", "op6_url_filter", "op8_sharding", "op9_neighbours", "op11_quality_rules", "op12_conversations", "op13_merkle")
 
 
 def _lazy(module: str, name: str) -> Callable[[SparkSession, str], DataFrame]:

@@ -5,7 +5,7 @@ the shard of the largest score. Adding a shard can only move a key into that sha
 weight moves keys only to or from that shard.
 
 Defined cases: a null key hashes like any other value; a null text has size 1 and CRC 0; equal rows
-go to one shard and get neighbouring slots; an empty table gives an empty result; extra columns are
+go to one shard and get neighbouring slots, as slots ascend by key, digest and size; an empty table gives an empty result; extra columns are
 ignored, also such as are called ``shard`` or ``slot``.
 """
 
@@ -13,22 +13,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from voxelake.ranking import ranked
 
-#: Rows of one slot-numbering cell on average.
-CELL_ROWS = 50_000
+from .common import staged, table
 
 
 def rendezvous(key: Column, weights: Sequence[float]) -> Column:
-    """Index of the winning shard for ``key``; JVM expressions only."""
+    """Index of the winning shard for ``key``; JVM expressions only. The hash is 52 bits of an MD5 digest, which other
+    engines have too."""
     if not weights or min(weights) <= 0:
         raise ValueError("weights must be positive and at least one")
+    name = F.coalesce(key.cast("string"), F.lit("-"))
 
     def score(shard: int, weight: float) -> Column:
-        unit = (F.shiftrightunsigned(F.xxhash64(key, F.lit(shard), F.lit("shard")), 11) + F.lit(0.5)) / F.lit(float(2**53))
+        bits = F.conv(F.substring(F.md5(F.concat(name, F.lit(f"|{shard}"))), 1, 13), 16, 10).cast("long")
+        unit = (bits + F.lit(0.5)) / F.lit(float(2**52))
         return F.struct((F.lit(-float(weight)) / F.log(unit)).alias("s"), F.lit(-shard).alias("i"))
 
     scores = [score(k, w) for k, w in enumerate(weights)]
@@ -36,25 +38,6 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
     return (-best["i"]).cast("int")
 
 
-def with_slots(df: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
-    """Add ``slot``: gapless positions from 0 within each ``group``.
-
-    A group may hold most rows, so it is numbered in cells: rows are numbered within (group, cell),
-    and a cell starts where the counts of those before it end.
-    """
-    rows = df.count()
-    cells = max(1, -(-rows // CELL_ROWS))
-    celled = df.withColumn("_cell", F.pmod(F.xxhash64(*order), F.lit(cells)).cast("int"))
-    counts = celled.groupBy(group, "_cell").agg(F.count(F.lit(1)).alias("_n"))
-    # One row per (group, cell): rows / CELL_ROWS of them for each group.
-    before = Window.partitionBy(group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(F.col(group).alias("_g"), F.col("_cell").alias("_c"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = F.row_number().over(Window.partitionBy(group, "_cell").orderBy(*order))
-    numbered = celled.withColumn("_in", inside)
-    joined = numbered.join(starts, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_cell") == F.col("_c")))
-    return joined.withColumn("slot", (F.col("_start") + F.col("_in") - 1).cast("long")).drop("_cell", "_in", "_g", "_c", "_start")
-
-
 def shard_documents(docs: DataFrame, weights: Sequence[float], key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot (gapless within its shard) and grown_shard, the shard
     with one more shard of weight 1."""
@@ -67,10 +50,42 @@ def shard_documents(docs: DataFrame, weights: Sequence[float], key: str = "doc_i
         rendezvous(F.col(key), weights).alias("shard"),
         rendezvous(F.col(key), [*weights, 1.0]).alias("grown_shard"),
     )
-    # Staged, so that counting, numbering and the result read the texts once.
-    rows = staged(rows, "shards")
-    return with_slots(rows, "shard", ["doc_id", "text_crc32", "size"]).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    # Staged, so that sampling, sorting and the result read the texts once.
+    found = ranked(staged(rows, "shards"), ["doc_id", "text_crc32", "size"], "shard", "slots")
+    return found.select("doc_id", "size", "text_crc32", "law", "shard", F.col("rank").cast("long").alias("slot"), "grown_shard")
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), [1.0] * 8)
+
+
+_NIBBLES = [0] * 16
+for _n in range(16):
+    _c = _n
+    for _ in range(4):
+        _c = _c >> 1 ^ (0xEDB88320 if _c & 1 else 0)
+    _NIBBLES[_n] = _c
+
+
+def crc32_of_text_sql(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes in SQL, half a byte at a time."""
+    table_ = "[" + ", ".join(map(str, _NIBBLES)) + "]"
+    half = lambda c: f"xor(({c}) >> 4, {table_}[(({c}) & 15) + 1])"
+    data = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda p: cast('0x' || p as bigint))"
+    return f"xor(list_reduce({data}, lambda c, b: {half(half('xor(c, b)'))}, cast(4294967295 as bigint)), 4294967295)"
+
+
+def _shard_sql(count: int) -> str:
+    """The shard of the largest score; of equal ones the first."""
+    bits = lambda k: f"cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '-') || '|{k}'), 1, 13) as bigint)"
+    scores = ", ".join(f"-1.0/ln(({bits(k)}+0.5)/{float(2**52)!r})" for k in range(count))
+    return f"cast(list_position([{scores}], list_max([{scores}]))-1 as int)"
+
+
+ORACLE_SQL = f"""
+with d as (
+  select doc_id, cast(strlen(coalesce(text, ''))+1 as bigint) as size, {crc32_of_text_sql("coalesce(text, '')")} as text_crc32,
+    {_shard_sql(8)} as shard, {_shard_sql(9)} as grown_shard from documents
+)
+select doc_id, size, text_crc32, 'key' as law, shard, row_number() over (partition by shard order by doc_id nulls first, text_crc32, size)-1 as slot, grown_shard from d
+"""
