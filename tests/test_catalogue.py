@@ -44,3 +44,13 @@ def test_entry(spark):
 def test_filters_and_columns_reach_the_scan(spark, sf):
     plan = catalogue.queries()["aabb_and_interval"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull" in plan and "l_partkey" not in plan.split("ReadSchema")[1].split("\n")[0]
+
+
+def test_stored_clouds_are_built_again_when_gone(spark, sf):
+    import shutil
+
+    first = catalogue._octree(spark, sf).num_points()
+    folder = catalogue._STORED[(spark.sparkContext.applicationId, sf, "octree")]
+    shutil.rmtree(folder.removeprefix("file://"))
+    assert catalogue._octree(spark, sf).num_points() == first > 0
+    assert catalogue._STORED[(spark.sparkContext.applicationId, sf, "octree")] != folder

@@ -614,6 +614,7 @@ def test_whole_pyramids_and_their_files(spark, points, tmp_path):
     assert pyramids.write(whole, folder) == len(want)
     back = pyramids.read(spark, folder)
     assert images(back) == want and back.raster == whole.raster
+    assert images(Providers(pyramids.read).register("mem:", lambda s, p: None).open(spark, folder)) == want
     quarters = [pyramids.build(points, box, size, xray.XRay(), 32, root=f"r{k}") for k in range(4)]
     for q in quarters:
         pyramids.write(q, str(tmp_path / "parts"))

@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -178,16 +179,52 @@ def _key(df: DataFrame, depth: int) -> DataFrame:
     return build.with_path(df, ROOT, depth, "node_id")
 
 
-def _octree(spark: SparkSession, sf_dir: str) -> PointCloud:
+#: Folders of the clouds that were built and stored in this process, by application, tables and name.
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str, name: str, made: Callable[[], PointCloud]) -> PointCloud:
+    """A cloud over the tables, built and written when it is first asked for (or if it has gone), then opened."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key in _STORED:
+        try:
+            return PointCloud.open(spark, _STORED[key])
+        except AnalysisException:  # the shared folder was cleared
+            del _STORED[key]
+    folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    made().write(folder)
+    _STORED[key] = folder
+    return PointCloud.open(spark, folder)
+
+
+def _built(spark: SparkSession, sf_dir: str) -> PointCloud:
     return PointCloud.of_octree(build.build_octree(views.event_cloud(spark, sf_dir), RESOLUTION, ["event_id"], NODE_POINTS))
 
 
+def _octree(spark: SparkSession, sf_dir: str) -> PointCloud:
+    return _stored(spark, sf_dir, "octree", lambda: _built(spark, sf_dir))
+
+
+def _half(spark: SparkSession, sf_dir: str, k: int) -> PointCloud:
+    """Every other event."""
+
+    def made() -> PointCloud:
+        points = views.event_cloud(spark, sf_dir).where(F.col("event_id") % 2 == k)
+        return PointCloud.of_octree(build.build_octree(points, RESOLUTION, ["event_id"], NODE_POINTS))
+
+    return _stored(spark, sf_dir, f"half{k}", made)
+
+
+def _s2_cloud(spark: SparkSession, sf_dir: str) -> PointCloud:
+    return _stored(spark, sf_dir, "s2", lambda: PointCloud.of_s2(build.build_s2(views.ecef_cloud(spark, sf_dir), 6)))
+
+
 def _octree_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _octree(spark, sf_dir).query(PointQuery(["event_id"], EVENT_BOX)).select("event_id", *POSITION)
 
 
 def _octree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _octree(spark, sf_dir).nodes.select("node_id", "level", "num_points", "position_encoding")
+    return _built(spark, sf_dir).nodes.select("node_id", "level", "num_points", "position_encoding")
 
 
 def _octree_level(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,13 +278,11 @@ def _union_cells() -> CellUnion:
 
 
 def _s2_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cloud = PointCloud.of_s2(build.build_s2(views.ecef_cloud(spark, sf_dir), 6))
-    return cloud.query(PointQuery(["o_orderkey"], _union_cells())).select("o_orderkey")
+    return _s2_cloud(spark, sf_dir).query(PointQuery(["o_orderkey"], _union_cells())).select("o_orderkey")
 
 
 def _rect_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cloud = PointCloud.of_s2(build.build_s2(views.ecef_cloud(spark, sf_dir), 6))
-    return cloud.query(PointQuery(["o_orderkey"], RECT)).select("o_orderkey")
+    return _s2_cloud(spark, sf_dir).query(PointQuery(["o_orderkey"], RECT)).select("o_orderkey")
 
 
 def _ply(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,9 +315,7 @@ def _merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _multi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = views.event_cloud(spark, sf_dir)
-    halves = [PointCloud.of_octree(build.build_octree(points.where(F.col("event_id") % 2 == k), RESOLUTION, ["event_id"], NODE_POINTS)) for k in (0, 1)]
-    return Client(halves).query(PointQuery(["event_id"], EVENT_BOX)).select("cloud_id", "event_id")
+    return Client([_half(spark, sf_dir, k) for k in (0, 1)]).query(PointQuery(["event_id"], EVENT_BOX)).select("cloud_id", "event_id")
 
 
 def _encode(df: DataFrame) -> DataFrame:

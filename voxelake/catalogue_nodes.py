@@ -201,9 +201,7 @@ def _sql_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The points of a stored cloud in a box, asked for in SQL text."""
-    folder = f"{shared_dir(spark)}/cloud-{uuid.uuid4().hex}"
-    _octree(spark, sf_dir).write(folder)
-    sql.register_cloud(spark, "vx_cloud", PointCloud.open(spark, folder))
+    sql.register_cloud(spark, "vx_cloud", _octree(spark, sf_dir))
     corners = ", ".join(f"{v!r}D" for v in (*EVENT_BOX.low, *EVENT_BOX.high))
     return spark.sql(f"select event_id, x, y, z from vx_cloud_in_box({corners})")
 

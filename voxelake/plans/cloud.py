@@ -163,16 +163,18 @@ class Client:
 
 
 class Providers:
-    """Openers by the beginning of a location; the longest beginning wins, a path without one is opened
-    as a cloud on Spark's file systems."""
+    """Openers by the beginning of a location; the longest beginning wins. A location without one is opened by
+    ``default``, as a cloud on Spark's file systems if not given; :func:`voxelake.plans.pyramids.read` makes it
+    a registry of pyramids."""
 
-    def __init__(self) -> None:
-        self._openers: dict[str, Callable[[SparkSession, str], PointCloud]] = {}
+    def __init__(self, default: Callable[[SparkSession, str], object] | None = None) -> None:
+        self._openers: dict[str, Callable[[SparkSession, str], object]] = {}
+        self._default = default or PointCloud.open
 
-    def register(self, prefix: str, opener: Callable[[SparkSession, str], PointCloud]) -> Providers:
+    def register(self, prefix: str, opener: Callable[[SparkSession, str], object]) -> Providers:
         self._openers[prefix] = opener
         return self
 
-    def open(self, spark: SparkSession, location: str) -> PointCloud:
+    def open(self, spark: SparkSession, location: str):
         fits = [p for p in self._openers if location.startswith(p)]
-        return self._openers[max(fits, key=len)](spark, location) if fits else PointCloud.open(spark, location)
+        return (self._openers[max(fits, key=len)] if fits else self._default)(spark, location)
