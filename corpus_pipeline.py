@@ -5,6 +5,13 @@
 3. near_dedup: one document of each group of near copies stays (five-word shingles, similarity 0.8).
 4. decontamination: documents that hold a benchmark item go.
 5. tokenise: ids of every whole text, with their digests.
+
+Defined cases: a null or empty text, or one without words, is rejected by the first stage (later ones keep it: it isn't
+toxic, has no copies, holds no item and has no ids); texts of any length are read whole; of equal rows and texts one
+stays, of a tie that of the smallest doc_id; texts of one doc_id that aren't near each other each stay; a row without a
+doc_id is judged like any other but takes no part in the search for copies and stays; labels and items without an id or a
+text count for nothing; an empty table gives an empty result at every stage; further columns, whatever they are called,
+go through all stages but the last, which returns its own.
 """
 
 from __future__ import annotations

@@ -43,3 +43,30 @@ def test_stages_keep_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_odd_rows_go_through_all_stages(spark):
+    """Nulls, empty and very long texts, repeats, ties and columns called like those of the stages."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    good = {r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1 and toxic = 0").collect()}
+    clean = docs.where(F.col("doc_id").isin(sorted(good)) & (F.length("text") > 400)).orderBy("doc_id").limit(4).collect()
+    long = " ".join(r["text"] for r in clean[1:]) * 40
+    rows = [
+        (1, None), (2, ""), (3, " \n\t"), (None, clean[0]["text"]), (10, clean[0]["text"]), (10, clean[0]["text"]), (11, clean[0]["text"]),
+        (12, clean[1]["text"]), (12, clean[2]["text"]), (13, long),
+    ]
+    clash = ["quality_score", "severity", "digest", "root", "component", "pivot", "n", "_id", "item_id", "n_tokens"]
+    own = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    own = own.select(docs.columns).withColumns({c: F.lit(f"own {c}") for c in clash})
+    now = own
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, SF)
+        assert now.columns == own.columns
+        now = spark.createDataFrame(now.collect(), own.schema)
+        assert all(r[c] == f"own {c}" for r in now.collect() for c in clash)
+    left = [(r["doc_id"], r["text"]) for r in now.collect()]
+    assert sorted(i for i, _ in left if i is not None) == [10, 12, 12, 13] and (None, clean[0]["text"]) in left and len(left) == 5
+    out = corpus_pipeline.STAGES[-1][1](spark, now, SF).collect()
+    assert len(out) == 5 and {r["doc_id"] for r in out} == {None, 10, 12, 13}
