@@ -13,7 +13,7 @@ from voxelake.operators.geometry import (
     CROSS, IN, OUT, Aabb, AllPoints, CellUnion, Cube, Frustum, Hull, MercatorRect, Obb, box_columns, box_corners, perspective, perspective_fov,
 )
 from voxelake.operators.summary import Summary
-from voxelake import commands
+from voxelake import commands, staging
 from voxelake.plans import pyramids, sql
 from voxelake.plans.cloud import Client, PointCloud, Providers
 from voxelake.sources import blob, meta, ply, png, rawnode, synthetic, terrain
@@ -494,6 +494,15 @@ def test_summary_of_small_tables(spark):
     assert len(one.tiers) == 1 and one.related(AllPoints(), "node_id").count() == 64
 
 
+def test_staged_tables_are_cleared(spark, monkeypatch):
+    monkeypatch.setattr(staging, "_WRITTEN", {})  # those of other tests stay
+    kept = [staging.staged(spark.range(k + 1), "some") for k in range(3)]
+    assert [df.count() for df in kept] == [1, 2, 3]
+    folders = [f.removeprefix("file://").rsplit("/", 1)[0] for df in kept for f in df.inputFiles()[:1]]
+    assert all(map(os.path.isdir, folders)) and staging.clear(spark) == 3 and not any(map(os.path.isdir, folders))
+    assert staging.clear(spark) == 0
+
+
 # --- views --------------------------------------------------------------------------------------
 
 

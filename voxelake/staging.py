@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: What was staged, by application.
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; where it is unset a local master gets a temporary folder."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
@@ -24,5 +28,16 @@ def staged(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet and read it again: survives lost executors, is computed once. ``by``: a column
     that deals the rows to folders, so that a filter on it reads only one."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete the tables that this application has staged so far, on whatever file system they are; gives how many were
+    there. Results that stand on them can't be read afterwards, so write or collect those first."""
+    gone = 0
+    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        gone += bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True))
+    return gone
