@@ -564,6 +564,14 @@ def test_walk_of_random_trees(spark, seed):
     assert got == plain_walk(nodes, root, view) and len(got) > 20
 
 
+def test_slabs():
+    slab = lod.Slab()
+    assert (slab.near, slab.far) == (2.0, 5.0) and slab.moved(-2.0) == slab and slab.moved(3.0) == lod.Slab(5.0, 8.0)
+    assert slab.deepened(-4.0) == lod.Slab(2.0, 2.5) and slab.deepened(1.0) == lod.Slab(2.0, 6.0)
+    seen = slab.frustum(np.eye(4)).hull().corners
+    assert np.allclose(sorted(set(seen[:, 2].round(9))), [-5.0, -2.0])
+
+
 def test_sampling(points):
     n = lod.random_prefix(points, ["id"], 0.25).count()
     assert 1300 < n < 1700 and n == lod.random_prefix(points, ["id"], 0.25).count()

@@ -101,14 +101,14 @@ def _grey(v: str, source: str) -> str:
     return f"select {_KEY}, {v} as red, {v} as green, {v} as blue, 255 as alpha from {source}"
 
 
-def _clip_row(k: int, p: tuple[str, str, str]) -> str:
-    return "(" + "+".join(f"{v}*{_num(m)}" for v, m in zip(p, CLIP[k, :3], strict=True)) + f"+{_num(CLIP[k, 3])})"
+def _clip_row(k: int, p: tuple[str, str, str], clip: np.ndarray = CLIP) -> str:
+    return "(" + "+".join(f"{v}*{_num(m)}" for v, m in zip(p, clip[k, :3], strict=True)) + f"+{_num(clip[k, 3])})"
 
 
-def _frustum() -> str:
+def _frustum(clip: np.ndarray = CLIP) -> str:
     p = ("x", "y", "z")
-    w = _clip_row(3, p)
-    return f"{w} <> 0 and " + " and ".join(f"{_clip_row(k, p)}/{w} > -1 and {_clip_row(k, p)}/{w} < 1" for k in range(3))
+    row = [_clip_row(k, p, clip) for k in range(4)]
+    return f"{row[3]} <> 0 and " + " and ".join(f"{v}/{row[3]} > -1 and {v}/{row[3]} < 1" for v in row[:3])
 
 
 def _screen() -> str:

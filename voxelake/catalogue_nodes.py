@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelake.catalogue import (
-    BOX, CLIP, ECEF, EVENT, EVENT_BOX, FRUSTUM, LINE, NODE_POINTS, OBB, RASTER, RASTER_BOX, RESOLUTION, ROOT, TURN,
-    Query, _blob, _events, _key, _line, _nodes_sql, _num, _octree, _orders, _pyramid, _screen, _tiles, oracle_sql as first_sql,
+    BOX, CLIP, ECEF, EVENT, EVENT_BOX, EYE, FRUSTUM, LINE, NODE_POINTS, OBB, RASTER, RASTER_BOX, RESOLUTION, ROOT, TURN,
+    Query, _blob, _events, _frustum, _key, _line, _nodes_sql, _num, _octree, _orders, _pyramid, _screen, _tiles, oracle_sql as first_sql,
 )
 from voxelake.functions import codec, colour, geodesy, ids
 from voxelake.functions.attributes import POSITION
 from voxelake.operators import build, lod, pyramid, xray
 from voxelake.operators.geometry import Frustum, Location, perspective_fov
+from voxelake.operators.query import PointQuery
 from voxelake.plans import sql
 from voxelake.plans.cloud import PointCloud
 from voxelake.shipping import ship
@@ -32,6 +33,8 @@ VIEW = (30.0, 10.0, 60.0, 51.2)
 LOW_EYE = np.array([[0.8, 0.0, 0.6, 90.0], [0.0, 1.0, 0.0, 40.0], [-0.6, 0.0, 0.8, 60.0], [0.0, 0.0, 0.0, 1.0]])
 LOW_CLIP = perspective_fov(1.0, 0.5, 0.1, 150.0) @ np.linalg.inv(LOW_EYE)
 LOW_VIEW = Frustum.of_matrix(LOW_CLIP)
+#: A slice of what the catalogue's eye sees, a quarter of the way down.
+SLAB = lod.Slab().moved(60.0).deepened(22.0).frustum(EYE)
 #: Sizes of a pixel.
 PIXELS = (0.05, 0.9, 3.2, 40.0)
 #: A resolution that keeps positions as doubles.
@@ -258,6 +261,7 @@ def queries() -> dict[str, Query]:
         "nodes_meeting_obb": _events(lambda df: _meeting(df, OBB)),
         "nodes_meeting_frustum": _events(lambda df: _meeting(df, FRUSTUM)),
         "tiles_in_view": _line(_view),
+        "slab_view": _line(lambda df: PointQuery(["l_orderkey"], SLAB).run(df)),
         "tiles_in_frustum": _line(_seen_tiles),
         "octree_moving_view": _moving,
         "node_blob_sizes": _blob_sizes,
@@ -438,6 +442,7 @@ def oracle_sql() -> dict[str, str]:
     seen = _corners(LOW_CLIP)
     plate = [f"tile_x*{_num(side)}", f"tile_y*{_num(side)}", _num(-pyramid.PLATE)]
     meets, _ = _told(seen, *_sides(seen), plate, [_num(side), _num(side), _num(2 * pyramid.PLATE)])
+    q["slab_view"] = f"select x, y, z, l_orderkey from {LINE} where {_frustum(np.array(SLAB.clip_from_query))}"
     q["tiles_in_frustum"] = f"select * from ({known['touched_tiles']}) t where {meets}"
     width = "case position_encoding when 'U8' then 1 when 'U16' then 2 when 'F32' then 4 else 8 end"
     padded = lambda v: f"(({v}+7)//8*8)"

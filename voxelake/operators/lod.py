@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
+from typing import ClassVar
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -13,7 +15,28 @@ from voxelake.functions.attributes import POSITION
 from voxelake.ranking import ranked
 from voxelake.staging import staged
 
-from .geometry import IN, OUT, Frustum
+from .geometry import IN, OUT, Frustum, perspective_fov
+
+
+@dataclass(frozen=True)
+class Slab:
+    """A view of what lies between two planes only, as slices of a body are shown."""
+
+    # Where the planes are at first, and the least depth.
+    near: float = 2.0
+    far: float = 5.0
+    LEAST_DEPTH: ClassVar[float] = 0.5
+
+    def moved(self, by: float) -> Slab:
+        """Both planes further away; not behind the eye."""
+        return Slab(self.near + by, self.far + by) if self.near + by > 0 else self
+
+    def deepened(self, by: float) -> Slab:
+        """The far plane further away."""
+        return Slab(self.near, max(self.near + self.LEAST_DEPTH, self.far + by))
+
+    def frustum(self, query_from_eye: np.ndarray, aspect: float = 1.0, fovy: float = math.pi / 4) -> Frustum:
+        return Frustum.of_pose(query_from_eye, perspective_fov(aspect, fovy, self.near, self.far))
 
 
 def screen_size_column(clip: np.ndarray) -> Column:
