@@ -13,15 +13,15 @@ from pyspark.sql import functions as F
 
 from voxelake.catalogue import (
     BOX, CLIP, ECEF, EVENT, EVENT_BOX, EYE, FRUSTUM, LINE, NODE_POINTS, OBB, RASTER, RASTER_BOX, RESOLUTION, ROOT, TURN,
-    Query, _blob, _events, _frustum, _key, _line, _nodes_sql, _num, _octree, _orders, _pyramid, _screen, _tiles, oracle_sql as first_sql,
+    Query, _blob, _events, _frustum, _half, _key, _line, _nodes_sql, _num, _octree, _orders, _pyramid, _screen, _tiles, oracle_sql as first_sql,
 )
 from voxelake.functions import codec, colour, geodesy, ids
-from voxelake.functions.attributes import POSITION
+from voxelake.functions.attributes import POSITION, schema_with_position
 from voxelake.operators import build, lod, pyramid, xray
 from voxelake.operators.geometry import Frustum, Location, perspective_fov
-from voxelake.operators.query import PointQuery
+from voxelake.operators.query import PointQuery, parse_interval, parse_key_value
 from voxelake.plans import sql
-from voxelake.plans.cloud import PointCloud
+from voxelake.plans.cloud import Client, PointCloud
 from voxelake.shipping import ship
 from voxelake.sources import blob, png, rawnode, views
 from voxelake.staging import shared_dir, staged
@@ -209,6 +209,31 @@ def _sql_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f"select event_id, x, y, z from vx_cloud_in_box({corners})")
 
 
+def _nan_interval(df: DataFrame) -> DataFrame:
+    """A number that isn't one is in no interval."""
+    gone = F.when(F.col("l_linenumber") == 1, F.lit(float("nan"))).otherwise(F.col("intensity").cast("double"))
+    return PointQuery(["depth"], intervals={"depth": (2.0, 5.0)}).run(df.withColumn("depth", gone)).select(*POSITION, "depth")
+
+
+def _parsed_interval(df: DataFrame) -> DataFrame:
+    """As commands take it: ``name=low,high``."""
+    name, text = parse_key_value("intensity=2,5")
+    return PointQuery(["intensity"], intervals={name: parse_interval(text)}).run(df)
+
+
+def _known_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of a stored cloud by its nodes table, and the box around two clouds."""
+    box = Client([_half(spark, sf_dir, k) for k in (0, 1)]).box
+    return spark.createDataFrame([(_octree(spark, sf_dir).num_points(), *map(float, (*box.low, *box.high)))], "num_points long, " + ", ".join(f"{e}_{c} double" for e in ("min", "max") for c in POSITION))
+
+
+def _schema(df: DataFrame) -> DataFrame:
+    """Attributes and their types, and how many points have each."""
+    kinds = schema_with_position(df)
+    named = [F.struct(F.lit(n).alias("attribute"), F.lit(k).alias("type"), F.col("x" if n == "xyz" else n).isNotNull().alias("_has")) for n, k in kinds]
+    return df.select(F.inline(F.array(*named))).where("_has").groupBy("attribute", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _rolled_pixels(tiles: DataFrame, level: int) -> DataFrame:
     return pyramid.tile_pixels(tiles.where(F.col("level") == level)).drop("level")
 
@@ -261,6 +286,10 @@ def queries() -> dict[str, Query]:
         "nodes_meeting_obb": _events(lambda df: _meeting(df, OBB)),
         "nodes_meeting_frustum": _events(lambda df: _meeting(df, FRUSTUM)),
         "tiles_in_view": _line(_view),
+        "nan_interval": _line(_nan_interval),
+        "parsed_interval": _line(_parsed_interval),
+        "known_size": _known_size,
+        "cloud_schema": _line(_schema),
         "slab_view": _line(lambda df: PointQuery(["l_orderkey"], SLAB).run(df)),
         "tiles_in_frustum": _line(_seen_tiles),
         "octree_moving_view": _moving,
@@ -442,6 +471,13 @@ def oracle_sql() -> dict[str, str]:
     seen = _corners(LOW_CLIP)
     plate = [f"tile_x*{_num(side)}", f"tile_y*{_num(side)}", _num(-pyramid.PLATE)]
     meets, _ = _told(seen, *_sides(seen), plate, [_num(side), _num(side), _num(2 * pyramid.PLATE)])
+    q["nan_interval"] = f"select x, y, z, cast(intensity as double) as depth from {LINE} where l_linenumber <> 1 and intensity between 2.0 and 5.0"
+    q["parsed_interval"] = f"select x, y, z, intensity from {LINE} where intensity between 2.0 and 5.0"
+    corners = ", ".join(f"{f}({c}) as {f}_{c}" for f in ("min", "max") for c in "xyz")
+    q["known_size"] = f"select count(*) as num_points, {corners} from {EVENT}"
+    kinds = {"color": "U8Vec3", "intensity": "F32", "xyz": "F64Vec3"} | dict.fromkeys(("l_orderkey", "l_partkey", "l_suppkey"), "I64") | {"l_linenumber": "I32"}
+    listed = ", ".join(f"('{n}', '{k}')" for n, k in kinds.items())
+    q["cloud_schema"] = f"select attribute, type, n from (values {listed}) k(attribute, type), (select count(*) as n from lineitem) c"
     q["slab_view"] = f"select x, y, z, l_orderkey from {LINE} where {_frustum(np.array(SLAB.clip_from_query))}"
     q["tiles_in_frustum"] = f"select * from ({known['touched_tiles']}) t where {meets}"
     width = "case position_encoding when 'U8' then 1 when 'U16' then 2 when 'F32' then 4 else 8 end"
