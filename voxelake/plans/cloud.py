@@ -16,7 +16,7 @@ from voxelake.functions.attributes import POSITION
 from voxelake.operators import build
 from voxelake.operators.geometry import IN, OUT, Aabb, CellUnion, Cube, Location, box_columns
 from voxelake.operators.query import PointQuery, within
-from voxelake.operators.summary import Summary
+from voxelake.operators.summary import FAN, Summary
 from voxelake.staging import staged
 from voxelake.streaming.delivery import POINTS_PER_BATCH, for_each_batch
 
@@ -47,17 +47,20 @@ class PointCloud:
         return cls(cloud.points, cloud.nodes, "cell", cloud.box)
 
     def write(self, path: str) -> None:
-        """Points clustered by node, the nodes table with its summary tree, and the box."""
+        """Points clustered by node, the nodes table, the box and, where a query would go down it, the summary tree."""
         build.write_clustered(self.points, f"{path}/points", self.key)
         self.nodes.write.parquet(f"{path}/nodes")
-        tree = self.summary or Summary.of(self.nodes, self.key)
-        tree.write(f"{path}/summary")
-        meta = [(self.key, json.dumps([self.box.low, self.box.high]), len(tree.tiers))]
+        tree = self.summary
+        if tree is None and self.nodes.where("num_points > 0").count() > FAN**2:
+            tree = Summary.of(self.nodes, self.key)
+        if tree is not None:
+            tree.write(f"{path}/summary")
+        meta = [(self.key, json.dumps([self.box.low, self.box.high]), len(tree.tiers) if tree is not None else None)]
         self.points.sparkSession.createDataFrame(meta, "key string, box string, tiers int").coalesce(1).write.json(f"{path}/meta")
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> PointCloud:
-        """Clouds written before there were summary trees are read without one."""
+        """Clouds of few nodes have no summary tree."""
         meta = spark.read.schema("key string, box string, tiers int").json(f"{path}/meta").first()
         low, high = json.loads(meta["box"])
         tree = Summary.open(spark, f"{path}/summary", meta["tiers"]) if meta["tiers"] is not None else None
