@@ -85,6 +85,28 @@ def test_toxicity_trains_on_one_text_of_each_id(spark, make_docs, monkeypatch):
     assert seen[0] == seen[1] and seen[0][:2] == (60, 19)
 
 
+def test_toxicity_counts_on_spark_as_on_the_driver(spark, make_docs, monkeypatch):
+    """Features of long labelled texts don't come to the driver, and the model is the same."""
+    r = np.random.default_rng(8)
+    word = lambda k: "".join("abcdefghij"[int(c)] for c in str(k))
+    rows = []
+    for i in range(120):
+        own = [word(x) for x in r.integers(100, 3000, 60)]
+        rows.append((i, " ".join(own + (["zorkish", "gromblex"] + [f"blub{word(x)}" for x in r.integers(0, 50, 6)]) * (i % 4 == 0))))
+    rows += [(200 + i, rows[i][1]) for i in range(12)] + [(300, None), (301, "12 34")]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    docs = make_docs(rows)
+    plain = toxicity.fit(docs, labels)
+    monkeypatch.setattr(toxicity, "DRIVER_ENTRIES", 100)
+    monkeypatch.setattr(toxicity, "train", None)
+    for broadcast in (toxicity.BROADCAST_ROWS, 1):
+        monkeypatch.setattr(toxicity, "BROADCAST_ROWS", broadcast)
+        spark_ = toxicity.fit(docs, labels)
+        assert spark_.weights.keys() == plain.weights.keys() and len(plain.weights) > 2
+        assert all(np.allclose(spark_.weights[h], w) for h, w in plain.weights.items())
+        assert np.allclose(spark_.thresholds, plain.thresholds)
+
+
 def test_ordinal_slopes_equal_finite_differences():
     r = np.random.default_rng(3)
     z, theta, grade = r.normal(size=40), np.array([-0.5, 0.4, 1.3]), r.integers(0, toxicity.GRADES, 40)

@@ -8,7 +8,9 @@ come from them: a toxic document's grade rises with the number of its telling fe
 
 Labelled documents train the model up to ``SAMPLE`` by hashed id, with one text of an id that repeats
 (the one of the largest hash); near copies count once. A G test
-against the labels picks the features, so that chance words of few documents carry no weight.
+against the labels picks the features, so that chance words of few documents carry no weight. Where the sampled texts
+have more than ``DRIVER_ENTRIES`` words and beginnings, Spark counts and picks them, and only what is picked comes to the
+driver; both ways give the same model.
 
 Defined cases: a null or empty text has expected severity 0; texts are read whole; rows that repeat an
 id are scored each on its own; labels with null ids or grades, or without a document, are ignored; a
@@ -28,9 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_sample, map_arrow, table
+from .common import hash_sample, map_arrow, staged, table
 
 SAMPLE, GRADES = 4000, 4
+#: Hashes of all sampled documents that may come to the driver (12 bytes each); above it Spark counts them.
+DRIVER_ENTRIES = 4_000_000
+BROADCAST_ROWS = 1_000_000
 #: Expected severity from which a document is rejected.
 REJECT_AT = 0.5
 CACHE_WORDS = 200_000
@@ -60,28 +65,40 @@ def parts(text: str | None) -> tuple[list[int], list[int], int]:
     return list(counts), list(counts.values()), len(words)
 
 
+def keys(rare: np.ndarray) -> list[tuple[int, int, int]]:
+    """Keys of a document with these rare hashes: pairs of MinHash values."""
+    if not len(rare):
+        return []
+    x = rare.astype(np.uint64)
+    low = [int((((x ^ (x >> np.uint64(15))) * np.uint64(m)) >> np.uint64(8)).min()) for m in _MARKS]
+    return [(i, low[2 * i], low[2 * i + 1]) for i in range(len(_MARKS) // 2)]
+
+
+def first_of_each(rows: list[tuple[int, list[tuple[int, int, int]]]]) -> list[int]:
+    """Positions of (how many hashes, keys) that have hashes and share no key with an earlier one."""
+    seen: set[tuple[int, int, int]] = set()
+    keep = []
+    for k, (n, found) in enumerate(rows):
+        if n and not seen.intersection(found):
+            keep.append(k)
+        seen.update(found)
+    return keep
+
+
+def common_from(rows: int) -> int:
+    """Hashes of more documents than this aren't rare."""
+    return 2 + rows // 100
+
+
 def distinct_rows(rows: list[np.ndarray]) -> list[int]:
     """Positions of rows that share no key with an earlier one: copies count once. A key is a pair of
     MinHash values over the hashes that at most a hundredth of the rows have."""
     if not rows:
         return []
     known, at, n = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
-    rare = (n <= 2 + len(rows) // 100)[at]
+    rare = (n <= common_from(len(rows)))[at]
     ends = np.cumsum([len(r) for r in rows])
-    seen: set[tuple[int, int, int]] = set()
-    keep = []
-    for k, row in enumerate(rows):
-        x = row[rare[ends[k] - len(row) : ends[k]]].astype(np.uint64)
-        if not len(x):
-            if len(row):
-                keep.append(k)
-            continue
-        low = [int((((x ^ (x >> np.uint64(15))) * np.uint64(m)) >> np.uint64(8)).min()) for m in _MARKS]
-        keys = {(i, low[2 * i], low[2 * i + 1]) for i in range(len(_MARKS) // 2)}
-        if not keys & seen:
-            keep.append(k)
-        seen |= keys
-    return keep
+    return first_of_each([(len(row), keys(row[rare[end - len(row) : end]])) for row, end in zip(rows, ends.tolist(), strict=True)])
 
 
 def telling(n: np.ndarray, bad: np.ndarray, rate: float) -> np.ndarray:
@@ -186,9 +203,13 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], toxic: np.ndarray) ->
         return Model({}, [40.0] * (GRADES - 1))
     h, k = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
     row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    chosen, at, at_row = chosen_entries(h, k, row, np.array([r[2] for r in rows]), toxic)
+    return fitted(*chosen_entries(h, k, row, np.array([r[2] for r in rows]), toxic), toxic)
+
+
+def fitted(chosen: np.ndarray, at: np.ndarray, at_row: np.ndarray, toxic: np.ndarray) -> Model:
+    """The model of entries ``at`` among the telling features ``chosen``, held by documents ``at_row``."""
     words = (chosen // LEVELS) >> 32 == 0
-    n = np.bincount(at_row, words[at], len(rows))
+    n = np.bincount(at_row, words[at], len(toxic))
     grade = np.where(toxic, 1 + (n >= 2) + (n >= 4), 0).astype(int)
     w, theta = _descend(at, at_row, grade, len(chosen), 1500, 1e-5)
     weights: dict[int, list[float]] = {}
@@ -197,6 +218,50 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], toxic: np.ndarray) ->
     return Model(weights, theta.tolist())
 
 
+def train_on_spark(found: DataFrame) -> Model:
+    """:func:`train` of (doc_id, toxic, h, k, n) without the entries on the driver: it gets a line for each document, the
+    telling features and the entries that hold these."""
+    rows = found.select("doc_id", "toxic", "n", F.size("h").alias("size")).toArrow()
+    entries = found.select("doc_id", "toxic", "n", F.explode(F.arrays_zip("h", "k")).alias("e")).select("doc_id", "toxic", "n", "e.h", "e.k")
+    common = staged(entries.groupBy("h").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > common_from(rows.num_rows)).select("h"), "common")
+    rare = entries.select("doc_id", "h").join(_small(common), "h", "left_anti").groupBy("doc_id").agg(F.collect_list("h").alias("h"))
+
+    def name(batch: pa.RecordBatch) -> pa.RecordBatch:
+        named = [[v for key in keys(h.values.to_numpy()) for v in key] for h in batch.column("h")]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(named, pa.list_(pa.int64()))], ["doc_id", "keys"])
+
+    named = {r["doc_id"]: list(zip(*[iter(r["keys"])] * 3, strict=True)) for r in map_arrow(rare.select("doc_id", "h"), name, "doc_id long, keys array<long>").collect()}
+    order = np.argsort(rows["doc_id"].to_numpy())
+    ids, size = rows["doc_id"].to_numpy()[order], rows["size"].to_numpy()[order]
+    keep = first_of_each([(n, named.get(i, [])) for i, n in zip(ids.tolist(), size.tolist(), strict=True)])
+    ids, toxic = ids[keep], rows["toxic"].to_numpy()[order][keep] > 0
+    if not toxic.any() or toxic.all():
+        return Model({}, [40.0] * (GRADES - 1))
+    kept = found.sparkSession.createDataFrame([(i, k) for k, i in enumerate(ids.tolist())], "doc_id long, row int")
+    entries = entries.join(F.broadcast(kept), "doc_id")  # SAMPLE rows at most
+    begins = F.shiftright("h", 32) > 0
+    held = [(F.col("k") >= c) & (begins if c > 1 else F.lit(True)) for c in COUNTS] + [(F.col("k") >= F.lit(c) * F.col("n")) & begins for c in SHARES]
+    counts = [f(F.when(on, x)).alias(f"{f.__name__}{k}") for k, on in enumerate(held) for f, x in ((F.count, F.lit(1)), (F.sum, F.col("toxic")))]
+    levels = F.array(*(F.struct(F.lit(k).alias("level"), F.col(f"count{k}").alias("docs"), F.col(f"sum{k}").alias("bad")) for k in range(LEVELS)))
+    tested = staged(entries.groupBy("h").agg(*counts).select("h", F.explode(levels).alias("f")).select("h", "f.*").where("docs >= 3"), "tested")
+    rate, n, bad = F.lit(float(toxic.mean())), F.col("docs"), F.col("bad")
+    g = F.when(bad > 0, bad * F.log(bad / (n * rate))).otherwise(0.0) + F.when(n > bad, (n - bad) * F.log((n - bad) / (n * (1 - rate)))).otherwise(0.0)
+    limit = 2 * math.log(max(tested.count(), 2))
+    telling_ = staged(tested.where((bad > n * rate) & (2 * g > limit)).select("h", "level"), "telling")
+    levels = F.filter(F.array(*(F.when(on, k) for k, on in enumerate(held))), lambda x: x.isNotNull())
+    entries = entries.join(_small(telling_.select("h").distinct()), "h", "left_semi").select("row", "h", F.explode(levels).alias("level"))
+    pairs = entries.join(_small(telling_), ["h", "level"]).select("row", (F.col("h") * LEVELS + F.col("level")).alias("feature")).toArrow()
+    feature, row = pairs["feature"].to_numpy(), pairs["row"].to_numpy()
+    chosen, at = np.unique(feature, return_inverse=True)
+    by_place = np.lexsort((row, at))  # so that sums are the same on every run
+    return fitted(chosen, at[by_place], row[by_place], toxic)
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast up to ``BROADCAST_ROWS``; larger ones are joined by a shuffle."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = hash_sample(known, "doc_id", SAMPLE)
@@ -205,10 +270,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     texts = texts.groupBy("doc_id", "toxic").agg(F.max_by("text", F.when(F.col("text").isNotNull(), F.struct(F.xxhash64("text"), "text"))).alias("text"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [parts(t) for t in batch.column("text").to_pylist()]
-        return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "h": pa.array([f[0] for f in found], pa.list_(pa.int64())), "k": pa.array([f[1] for f in found], pa.list_(pa.int32())), "n": pa.array([f[2] for f in found], pa.int32())})
-
-    found = map_arrow(texts.select("doc_id", "toxic", "text"), run, "doc_id long, toxic int, h array<long>, k array<int>, n int").toArrow()
+        h, k, n = [], [], []
+        for t in batch.column("text").to_pylist():
+            hashes, counts, words = parts(t)
+            h.append(np.array(hashes, np.int64))
+            k.append(np.array(counts, np.int32))
+            n.append(words)
+        return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "h": pa.array(h, pa.list_(pa.int64())), "k": pa.array(k, pa.list_(pa.int32())), "n": pa.array(n, pa.int32())})
+
+    found = staged(map_arrow(texts.select("doc_id", "toxic", "text"), run, "doc_id long, toxic int, h array<long>, k array<int>, n int"), "labelled")
+    if (found.agg(F.sum(F.size("h"))).first()[0] or 0) > DRIVER_ENTRIES:
+        return train_on_spark(found)
+    found = found.toArrow()
     ids, n = found["doc_id"].to_numpy(), found["n"].to_numpy()
     order = np.lexsort((n, ids))
     h, k = found["h"].combine_chunks(), found["k"].combine_chunks()
