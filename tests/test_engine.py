@@ -413,6 +413,15 @@ def test_large_nodes_are_numbered_exactly(spark, monkeypatch):
     assert [r[0] for r in got.select("_at").orderBy("_at").collect()] == list(range(2000)) and got.where("_up").count() == 250
 
 
+def test_large_nodes_are_numbered_in_order(spark, monkeypatch):
+    monkeypatch.setattr(build, "CELL_ROWS", 100)
+    df = spark.range(2000).select((F.col("id") * 7919 % 2000).alias("id"), F.when(F.col("id") < 1950, "r1").otherwise("r2").alias("node_id")).repartition(5)
+    got = build.sampled_up(df, "node_id", ["id"]).collect()
+    for node in ("r1", "r2"):
+        ids = sorted(r["id"] for r in got if r["node_id"] == node)
+        assert {r["id"]: (r["_at"], r["_up"]) for r in got if r["node_id"] == node} == {k: (at, at % 8 == 0) for at, k in enumerate(ids)}
+
+
 def test_s2_build(spark):
     pts = synthetic.ecef_box(spark, 2000, 5)
     cloud = PointCloud.of_s2(build.build_s2(pts, 16))

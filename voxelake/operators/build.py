@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from voxelake.functions import codec, geodesy, ids, s2
 from voxelake.functions.attributes import POSITION
+from voxelake.ranking import ranked
 from voxelake.staging import staged
 
 from .geometry import Aabb, Cube
@@ -21,8 +22,8 @@ from .geometry import Aabb, Cube
 # Points of a node that isn't split, and the share that moves up.
 MAX_POINTS_PER_NODE, SAMPLE = 100_000, 8
 DEFAULT_S2_LEVEL = 20
-#: Rows of one numbering cell of a node: only nodes that the resolution keeps from splitting can be larger; they are
-#: numbered in cells, then offset.
+#: Rows of a node that one window numbers: only nodes that the resolution keeps from splitting can be larger; their rows
+#: are ranked over ranges of the order.
 CELL_ROWS = 2 * MAX_POINTS_PER_NODE
 #: Levels that one pass over the points counts, and that one join tells a point's way through.
 STEP = 3
@@ -147,23 +148,18 @@ def with_leaf(points: DataFrame, cube: Cube, splits: list[Splits]) -> DataFrame:
 def numbered(points: DataFrame, node: str, order: list[str], sizes: DataFrame | None = None, most: float = math.inf) -> DataFrame:
     """Adds ``_at``, from 0 within each node in the order of ``order``.
 
-    Numbers are exact also for nodes of any size: those above CELL_ROWS (of ``sizes``: node, _size) are numbered in
-    cells of the order and offset by the counts before. ``most``: rows that no node has more of, where that is known."""
-    plain = points.withColumn("_at", (F.row_number().over(Window.partitionBy(node).orderBy(*order)) - 1).cast("long"))
+    Nodes above CELL_ROWS (of ``sizes``: node, _size) are sorted by ranges and numbered by the counts before, so a node
+    may hold any share of the rows. ``most``: rows that no node has more of, where that is known."""
+    placed = lambda rows: rows.withColumn("_at", (F.row_number().over(Window.partitionBy(node).orderBy(*order)) - 1).cast("long"))
     if most <= CELL_ROWS:
-        return plain
+        return placed(points)
     sizes = points.groupBy(node).agg(F.count(F.lit(1)).alias("_size")) if sizes is None else sizes
-    large = staged(sizes.where(F.col("_size") > CELL_ROWS).select(node, F.ceil(F.col("_size") / CELL_ROWS).alias("_cells")), "large")
+    large = staged(sizes.where(F.col("_size") > CELL_ROWS).select(node), "large")
     if not (n := large.count()):
-        return plain
-    cell = F.pmod(F.xxhash64(*order), F.lit(1 << 30)) % F.col("_cells")
-    celled = points.join(_small(large, n), node, "left").withColumn("_cell", F.coalesce(cell, F.lit(0)).cast("int")).drop("_cells")
-    counts = celled.join(_small(large, n), node, "left_semi").groupBy(node, "_cell").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(node).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = staged(counts.select(node, "_cell", before.alias("_start")), "starts")
-    inside = F.row_number().over(Window.partitionBy(node, "_cell").orderBy(*order))
-    found = celled.withColumn("_in", inside).join(_small(starts, starts.count()), [node, "_cell"], "left")
-    return found.withColumn("_at", F.coalesce("_start", F.lit(0)) + F.col("_in") - 1).drop("_cell", "_start", "_in")
+        return placed(points)
+    inside = ranked(points.join(_small(large, n), node, "left_semi"), order, node, "numbered")
+    inside = inside.select(*points.columns, F.col("rank").cast("long").alias("_at"))
+    return placed(points.join(_small(large, n), node, "left_anti")).select(*points.columns, "_at").unionByName(inside)
 
 
 def sampled_up(points: DataFrame, node: str, order: list[str]) -> DataFrame:
