@@ -54,3 +54,17 @@ def test_stored_clouds_are_built_again_when_gone(spark, sf):
     shutil.rmtree(folder.removeprefix("file://"))
     assert catalogue._octree(spark, sf).num_points() == first > 0
     assert catalogue._STORED[(spark.sparkContext.applicationId, sf, "octree")] != folder
+
+
+@pytest.mark.parametrize("name", ["octree_build"])
+def test_octrees_deeper_than_the_sql(spark, sf, tmp_path, monkeypatch, name):
+    """User ids far apart make octrees of more levels than the SQL counts; with more levels it gives the same rows."""
+    con = duckdb.connect()
+    con.execute(f"copy (select event_id + k * 1000000 as event_id, ts, user_id + k * 1000000 as user_id, value from '{sf}/events.parquet', range(8) t(k)) to '{tmp_path}/events.parquet' (format parquet)")
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
+    monkeypatch.setattr(catalogue_nodes, "SQL_LEVELS", 16)
+    found = con.execute(catalogue_nodes.oracle_sql()[name])
+    names = [c[0] for c in found.description]
+    df = QUERIES[name](spark, str(tmp_path)).select(*names)
+    assert Counter(map(tuple, df.collect())) == Counter(found.fetchall())
+    assert df.where("length(node_id) > 10").count() > 0
