@@ -56,7 +56,7 @@ def test_stored_clouds_are_built_again_when_gone(spark, sf):
     assert catalogue._STORED[(spark.sparkContext.applicationId, sf, "octree")] != folder
 
 
-@pytest.mark.parametrize("name", ["octree_build"])
+@pytest.mark.parametrize("name", ["octree_build", "visible_nodes"])
 def test_octrees_deeper_than_the_sql(spark, sf, tmp_path, monkeypatch, name):
     """User ids far apart make octrees of more levels than the SQL counts; with more levels it gives the same rows."""
     con = duckdb.connect()
